@@ -118,29 +118,32 @@ def token_set_ratio(a: str, b: str) -> Column:
     return F.expr(token_set_ratio_sql(a, b))
 
 
-def fuzzy(a: str, b: str) -> Column:
-    """Best of the three ratios on two canonical names (column names as strings)."""
-    return F.greatest(
-        token_set_ratio(a, b),
-        partial_ratio(a, b),
-        ratio(f"replace({a}, ' ', '')", f"replace({b}, ' ', '')"),
-    )
+def fuzzy_sql(a: str, b: str) -> str:
+    squeezed = ratio_sql(f"replace({a}, ' ', '')", f"replace({b}, ' ', '')")
+    return f"greatest({token_set_ratio_sql(a, b)}, {partial_ratio_sql(a, b)}, {squeezed})"
 
 
-def smart(a: str, b: str) -> Column:
-    """Fuzzy score with the abbreviation steps, which lower-case names never reach above."""
-    def initials(s):
-        return f"upper(substr({s}, 1, 1))"
+def fuzzy(a: str, b: str) -> Column:
+    """Best of the three ratios on two canonical names (given as column names)."""
+    return F.expr(fuzzy_sql(a, b))
+
 
-    ia, ib = initials(a), initials(b)
+def smart_sql(a: str, b: str) -> str:
+    # canonical names are lower case, so their initials at upper-case boundaries are the first letter
+    ia, ib = f"upper(substr({a}, 1, 1))", f"upper(substr({b}, 1, 1))"
     return (
-        F.when(F.expr(f"{a} = {b}"), F.lit(100.0))
-        .when(F.expr(f"(length({ia}) >= 2 AND {ia} = {b}) OR (length({ib}) >= 2 AND {ib} = {a})"), F.lit(95.0))
-        .when(F.expr(f"length({ia}) >= 2 AND {ia} = {ib}"), F.lit(90.0))
-        .otherwise(fuzzy(a, b))
+        f"(CASE WHEN {a} = {b} THEN 100D "
+        f"WHEN (length({ia}) >= 2 AND {ia} = {b}) OR (length({ib}) >= 2 AND {ib} = {a}) THEN 95D "
+        f"WHEN length({ia}) >= 2 AND {ia} = {ib} THEN 90D "
+        f"ELSE {fuzzy_sql(a, b)} END)"
     )
 
 
+def smart(a: str, b: str) -> Column:
+    """Fuzzy score after the abbreviation steps, on two canonical names (given as column names)."""
+    return F.expr(smart_sql(a, b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Size of intersection over union of two arrays; 0 when either is empty."""
     union = F.size(F.array_union(a, b))

@@ -95,3 +95,23 @@ TABLE_TEXT_FKS = 10
 SCORE_PER_TABLE = 0.5
 ENOUGH_COLUMNS = 0.80
 EXPECTED_VIEWS = 3
+
+# Words of the reports.
+YES = "Có"
+NO = "Không"
+STATUS_ERROR = "Lỗi"
+STATUS_BUSINESS = "Đúng nghiệp vụ"
+STATUS_DATA = "Khớp dữ liệu"
+STATUS_BUSINESS_WRONG = "Sai nghiệp vụ"
+STATUS_DATA_WRONG = "Sai lệch dữ liệu"
+NOTE_BUSINESS = "Dữ liệu và nghiệp vụ đều đúng."
+NOTE_DATA = "Số dòng khớp chính xác."
+NOTE_BUSINESS_WRONG = "Chênh lệch %d, dữ liệu hoặc nghiệp vụ sai."
+NOTE_DATA_WRONG = "Chênh lệch %d dòng so với đáp án."
+NOTE_DELTA = "Tăng %d thay vì %d"
+SUMMARY_PERFECT = "Hoàn hảo - khớp hoàn toàn"
+SUMMARY_EQUAL = "Khớp hoàn toàn"
+SUMMARY_BUSINESS_WRONG = "Nghiệp vụ sai"
+SUMMARY_DIFFERENT = "Chênh lệch"
+TABLE_COMPLETE = "ĐỦ"
+TABLE_INCOMPLETE = "THIẾU"

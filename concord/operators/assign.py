@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.session import FOLD_LIMIT, settle
+from concord.session import GREEDY_FOLD, OPTIMAL_FOLD, settle
 
 
 def split_by_size(edges: DataFrame, group: list[str], cap: int) -> tuple[DataFrame, DataFrame | None]:
@@ -32,7 +32,7 @@ def greedy(
     right: str,
     order: list[str],
     descending: bool = True,
-    cap: int = FOLD_LIMIT,
+    cap: int = GREEDY_FOLD,
 ) -> DataFrame:
     """Walk the edges of a group in ``order``, keeping each whose two ends are both still free.
 
@@ -140,7 +140,7 @@ def _solver():
 
 
 def optimal(
-    edges: DataFrame, group: list[str], left: str, right: str, weight: str, cap: int = FOLD_LIMIT
+    edges: DataFrame, group: list[str], left: str, right: str, weight: str, cap: int = OPTIMAL_FOLD
 ) -> DataFrame:
     """The set of edges with the largest total ``weight`` (BIGINT, above 0) that uses each end once.
 

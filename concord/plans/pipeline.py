@@ -1,0 +1,159 @@
+"""From catalogs to marks: the whole batch as one sequence of joins."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.functions import names, texts, vocab
+from concord.operators import columns as col_ops
+from concord.operators import counts, keys, scores, tables, views
+from concord.session import settle
+from concord.sources import catalog, synthetic
+
+
+@dataclass
+class Batch:
+    """One answer and many submissions, with every stage worked out once.
+
+    Catalog tables as in ``concord.sources.catalog``; ``answer_*`` without a submission id.
+    """
+
+    submissions: DataFrame
+    answer_columns: DataFrame
+    answer_keys: DataFrame
+    answer_fks: DataFrame
+    answer_counts: DataFrame
+    answer_views: DataFrame
+    columns: DataFrame
+    keys: DataFrame
+    fks: DataFrame
+    counts: DataFrame
+    views: DataFrame
+    expected: dict[str, int] = field(default_factory=lambda: dict(vocab.EXPECTED_DELTA))
+    n_views: int = vocab.EXPECTED_VIEWS
+    baseline: str = "after"
+
+    @cached_property
+    def table_map(self) -> DataFrame:
+        return settle(tables.table_map(self.answer_columns, self.columns, self.submissions))
+
+    @cached_property
+    def column_pairs(self) -> DataFrame:
+        return col_ops.column_pairs(self.answer_columns, self.columns, self.table_map)
+
+    @cached_property
+    def fk_pairs(self) -> DataFrame:
+        return keys.fk_match(catalog.fold_fks(self.answer_fks, []), catalog.fold_fks(self.fks), self.table_map, self.submissions)
+
+    @cached_property
+    def count_checks(self) -> DataFrame:
+        by_table = self.answer_counts.join(
+            self.answer_columns.select("original_name", F.col("cleaned_name").alias("ans_table")).distinct(), "original_name"
+        )
+        return settle(counts.count_checks(self.table_map, by_table, self.counts, self.expected))
+
+    @cached_property
+    def count_overall(self) -> DataFrame:
+        return counts.count_overall(self.count_checks, self.expected)
+
+    @cached_property
+    def count_report(self) -> DataFrame:
+        return counts.count_report(self.count_checks, self.count_overall, self.baseline)
+
+    @cached_property
+    def view_matches(self) -> DataFrame:
+        return views.match_one_to_one(self.answer_views, self.views)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return scores.summary(
+            self.submissions, self.column_pairs, self.fk_pairs, self.count_report, self.view_matches, self.n_views
+        )
+
+    def _cleaned_fks(self, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
+        folded = catalog.fold_fks(fks, lead)
+        return folded.select(
+            *lead, "fk_name", names.clean_table("parent_table").alias(table), "parent_cols",
+            names.clean_table("ref_table").alias("ref_table"), "ref_cols",
+        )
+
+    def _full_texts(self, columns: DataFrame, pk: DataFrame, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
+        by = [*lead, table]
+        cols = columns.withColumnRenamed("cleaned_name", table).groupBy(*by).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("ordinal", F.col("column_name").alias("name"), F.col("data_type").alias("type")))),
+            lambda c: F.struct(c["name"], c["type"])).alias("cols"))
+        key = catalog.fold_keys(pk, by)
+        ref = fks.groupBy(*by).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("fk_name", "parent_cols", "ref_table", "ref_cols"))),
+            lambda f: F.struct(f["parent_cols"], f["ref_table"].alias("ref"), f["ref_cols"])).alias("refs"))
+        joined = cols.join(key, by, "left").join(ref, by, "left")
+        refs = F.transform("refs", lambda f: F.struct(F.col(table).alias("parent"), f["parent_cols"], f["ref"], f["ref_cols"]))
+        empty_pk = F.array().cast("array<string>")
+        empty_fk = F.filter(F.array(F.struct(F.lit("").alias("parent"), empty_pk.alias("parent_cols"), F.lit("").alias("ref"), empty_pk.alias("ref_cols"))),
+                            lambda x: F.lit(False))
+        return joined.select(*by, texts.table_text_full(
+            F.col(table), F.col("cols"), F.coalesce("pk", empty_pk), F.coalesce(refs, empty_fk)).alias("text"))
+
+    @cached_property
+    def student_keys(self) -> DataFrame:
+        """Declared keys attached to their tables by name, with the cleaned table name."""
+        named = self.columns.select("submission_id", "original_name", F.col("cleaned_name").alias("stu_table")).distinct()
+        found, _ = catalog.attach_by_name(self.columns, self.keys)
+        return settle(found.drop("original_name").withColumnRenamed("table_name", "original_name").join(
+            named, ["submission_id", "original_name"]).select("submission_id", "stu_table", "column_name", "position"))
+
+    @cached_property
+    def text_map(self) -> DataFrame:
+        """Table mapping of the schema score: cosine of full texts, 0.80 and above."""
+        ans_pk = self.answer_keys.withColumnRenamed("cleaned_name", "ans_table")
+        ans = self._full_texts(self.answer_columns, ans_pk, self._cleaned_fks(self.answer_fks, [], "ans_table"), [], "ans_table")
+        stu = self._full_texts(self.columns, self.student_keys, self._cleaned_fks(self.fks, ["submission_id"], "stu_table"), ["submission_id"], "stu_table")
+        return settle(tables.map_by_text(ans, settle(stu)))
+
+    @cached_property
+    def table_results(self) -> DataFrame:
+        """Per mapped table of the schema score: columns, key and references."""
+        shapes = settle(tables.table_shapes(self.columns))
+        content = tables.shape_columns(self.columns, shapes)
+        mapped = settle(self.text_map.join(shapes.select("submission_id", F.col("cleaned_name").alias("stu_table"), "shape"), ["submission_id", "stu_table"]))
+        by = ["ans_table", "stu_table", "shape"]
+        wanted = mapped.select(*by).distinct()
+        left = wanted.join(col_ops.answer_column_texts(self.answer_columns), "ans_table")
+        right = wanted.join(content.withColumnRenamed("column_name", "stu_col").withColumnRenamed("data_type", "stu_type").withColumnRenamed("ordinal", "stu_ordinal"), "shape")
+        right = right.withColumn("text", texts.column_text(F.col("stu_table"), F.col("stu_col"), F.col("stu_type")))
+        solved = col_ops.match_by_text(left, right, by).filter("match").groupBy(*by).agg(F.count(F.lit(1)).alias("matched_cols"))
+        matches = mapped.join(settle(solved), by).select("submission_id", "ans_table", "matched_cols")
+        ans_pk = self.answer_keys.withColumnRenamed("cleaned_name", "ans_table")
+        pk = keys.pk_equal(ans_pk, self.student_keys, mapped)
+        fk = keys.fk_contained(
+            self._cleaned_fks(self.answer_fks, [], "ans_table"), self._cleaned_fks(self.fks, ["submission_id"], "stu_table"), mapped
+        )
+        return settle(scores.table_results(mapped, matches, pk, fk, self.answer_columns))
+
+    @cached_property
+    def schema_score(self) -> DataFrame:
+        return scores.schema_score(self.table_results, self.submissions, self.answer_columns)
+
+
+def star_batch(spark: SparkSession, sf: str) -> Batch:
+    """The batch derived from the star tables: one submission per customer."""
+    answer_views = catalog.view_shapes(synthetic.answer_view_queries(spark, sf))
+    return Batch(
+        submissions=synthetic.submissions(spark, sf),
+        answer_columns=synthetic.answer_columns(spark),
+        answer_keys=synthetic.answer_keys(spark),
+        answer_fks=synthetic.answer_fks(spark),
+        answer_counts=synthetic.answer_counts(spark, sf),
+        answer_views=answer_views,
+        columns=catalog.prepare_columns(synthetic.raw_columns(spark, sf)),
+        keys=synthetic.raw_keys(spark, sf),
+        fks=synthetic.raw_fks(spark, sf),
+        counts=synthetic.raw_counts(spark, sf),
+        views=synthetic.raw_views(spark, sf, answer_views),
+        expected=synthetic.EXPECTED_DELTA,
+        n_views=len(synthetic.VIEWS),
+    )

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-# A group folded inside one task never holds more entries than this; larger
-# groups take the round-based path of the same operator.
-FOLD_LIMIT = 1024
+# A group folded inside one task never holds more edges than this; larger groups
+# take the round-based path of the same operator.
+GREEDY_FOLD = 2_048
+OPTIMAL_FOLD = 16_384
 
 # Dictionaries turned into literal maps are configuration; more entries than this is an error.
 DICTIONARY_LIMIT = 10_000
@@ -44,6 +48,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table whose size the optimizer knows (a plain createDataFrame hides it)."""
+    fields = DataType.fromDDL(schema).fields
+    typed = pa.schema([pa.field(f.name, to_arrow_type(f.dataType), f.nullable) for f in fields])
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.table([list(c) for c in columns], schema=typed))
+
+
 def dictionary(df: DataFrame, key: str, value: str, limit: int = DICTIONARY_LIMIT) -> dict[str, str]:
     """A dictionary table as a Python dict, refused when it is larger than ``limit``."""
     rows = df.select(key, value).limit(limit + 1).collect()
