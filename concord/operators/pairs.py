@@ -75,6 +75,8 @@ def name_hits(
         for r in listed
     ])
     kept = F.expr(f"filter(answer_list, an -> {_is_hit('an.ans_name', 'stu_name', threshold)})")
+    # few names, much work per name: spread them over all tasks
+    stu = stu.repartition(int(stu.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return stu.withColumn("answer_list", entries).select("stu_name", F.explode(kept).alias("a")).select("a.ans_name", "stu_name")
 
 

@@ -99,9 +99,10 @@ def _table_name(key: Column, t: Column, table: Column) -> Column:
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per submission."""
+    """One row per submission, spread over the cluster because each becomes dozens of catalog rows."""
     key = F.col("c_custkey")
-    return _read(spark, sf, "customer").select(submission_of(key).alias("submission_id"), key.alias("key"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _read(spark, sf, "customer").select(submission_of(key).alias("submission_id"), key.alias("key")).repartition(n)
 
 
 def _expand(spark: SparkSession, sf: str, entries: list[Column]) -> DataFrame:
