@@ -13,7 +13,7 @@ from concord.session import settle
 PAIR = ["ans_table", "stu_table", "shape"]
 
 
-def _answer_side(answer: DataFrame) -> DataFrame:
+def answer_side(answer: DataFrame) -> DataFrame:
     return answer.select(
         F.col("cleaned_name").alias("ans_table"), F.col("ordinal").alias("ans_ordinal"),
         F.col("column_name").alias("ans_col"), F.col("data_type").alias("ans_type"),
@@ -21,7 +21,7 @@ def _answer_side(answer: DataFrame) -> DataFrame:
     )
 
 
-def _student_side(content: DataFrame) -> DataFrame:
+def student_side(content: DataFrame) -> DataFrame:
     return content.select(
         "shape", F.col("ordinal").alias("stu_ordinal"), F.col("column_name").alias("stu_col"),
         F.col("data_type").alias("stu_type"), names.canonical("column_name").alias("stu_col_canon"),
@@ -82,8 +82,8 @@ def solve_pairs(
     canonical; ``exact_first=False`` scores everything.
     """
     wanted = settle(wanted.select(*PAIR).distinct())
-    left = settle(wanted.join(_answer_side(answer), "ans_table"))
-    right = settle(wanted.join(_student_side(content), "shape").select(*PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon"))
+    left = settle(wanted.join(answer_side(answer), "ans_table"))
+    right = settle(wanted.join(student_side(content), "shape").select(*PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon"))
     mode = "both" if blended else "either"
     fits = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col", mode)
     found = None
@@ -124,7 +124,7 @@ def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, **op
     solved = settle(solve_pairs(answer, content, mapped.filter("stu_table is not null"), **options))
     known = mapped.filter("stu_table is not null").join(solved, PAIR)
     missing = mapped.filter("stu_table is null").join(
-        _answer_side(answer).drop("ans_col_canon"), "ans_table"
+        answer_side(answer).drop("ans_col_canon"), "ans_table"
     ).withColumns({
         "stu_col": F.lit(None).cast("string"), "stu_type": F.lit(None).cast("string"), "score": F.lit(0.0), "match": F.lit(False),
     })
@@ -184,7 +184,7 @@ def match_by_text(left: DataFrame, right: DataFrame, by: list[str], min_cosine:
 
 
 def answer_column_texts(answer: DataFrame) -> DataFrame:
-    return _answer_side(answer).drop("ans_col_canon").withColumn(
+    return answer_side(answer).drop("ans_col_canon").withColumn(
         "text", texts.column_text(F.col("ans_table"), F.col("ans_col"), F.col("ans_type"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, vocab
@@ -10,13 +10,15 @@ from concord.operators import pairs
 from concord.session import local_table
 
 
-def _expected(table: Column, expected: dict[str, int]) -> Column:
-    """Expected increase of a table, found by canonical name; NULL for tables without a rule."""
-    key = names.squeeze(names.canonical(table))
-    known = F.lit(None).cast("int")
-    for name, delta in expected.items():
-        known = F.when(key == names.squeeze(names.canonical(F.lit(name))), F.lit(delta)).otherwise(known)
-    return known
+def delta_rules(spark: SparkSession, expected: dict[str, int]) -> DataFrame:
+    """Expected increases keyed by canonical table name."""
+    return local_table(spark, list(expected.items()), "table_name string, expected_increase int").withColumn(
+        "table_key", table_key("table_name")
+    )
+
+
+def table_key(c: Column | str) -> Column:
+    return names.squeeze(names.canonical(c))
 
 
 def count_checks(mapping: DataFrame, answer_counts: DataFrame, student_counts: DataFrame, expected: dict[str, int]) -> DataFrame:
@@ -31,7 +33,10 @@ def count_checks(mapping: DataFrame, answer_counts: DataFrame, student_counts: D
         .join(student_counts.select("submission_id", "original_name", F.col("row_count").alias("student_count")),
               ["submission_id", "original_name"], "left")
     )
-    rule = _expected(F.col("ans_table"), expected)
+    joined = joined.withColumn("table_key", table_key("ans_table")).join(
+        delta_rules(mapping.sparkSession, expected).select("table_key", F.col("expected_increase").alias("_rule")), "table_key", "left"
+    )
+    rule = F.col("_rule")
     error = (
         F.when(F.col("stu_table").isNull(), F.lit("unmapped"))
         .when(F.col("answer_count").isNull(), F.lit("answer_not_counted"))
@@ -159,10 +164,7 @@ def business_delta(
     Counts are keyed by canonical table name: ``answer_counts`` (table_key, row_count),
     ``student_counts`` (submission_id, table_key, row_count).
     """
-    spark = submissions.sparkSession
-    rules = local_table(spark, [(n, d) for n, d in expected.items()], "table_name string, expected_increase int").withColumn(
-        "table_key", names.squeeze(names.canonical("table_name"))
-    )
+    rules = delta_rules(submissions.sparkSession, expected)
     rows = (
         pairs.per_submission(submissions, rules)
         .join(answer_counts.select("table_key", F.col("row_count").alias("answer_count")), "table_key", "left")

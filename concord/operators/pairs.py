@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity, texts, vocab
+from concord.session import literal_rows
 
 # Answer names carried along as one literal list; a longer answer goes through a join instead.
 ANSWER_LIST_LIMIT = 2_000
@@ -70,10 +71,7 @@ def name_hits(
             ans.join(stu, F.lower("ans_name") == F.lower("stu_name"))
         ).distinct()
         return pairs.filter(_is_hit("ans_name", "stu_name", threshold)).select("ans_name", "stu_name")
-    entries = F.array(*[
-        F.struct(F.lit(r["ans_name"]).alias("ans_name"), F.lit(r["ans_name_canon"]).alias("ans_name_canon"))
-        for r in listed
-    ])
+    entries = literal_rows([r.asDict() for r in listed])
     kept = F.expr(f"filter(answer_list, an -> {_is_hit('an.ans_name', 'stu_name', threshold)})")
     # few names, much work per name: spread them over all tasks
     stu = stu.repartition(int(stu.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -89,8 +87,7 @@ def per_submission(submissions: DataFrame, items: DataFrame, limit: int = 10_000
     rows = items.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"an answer has at most {limit} entries of a kind")
-    entries = [F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in sorted(rows)]
-    return submissions.select("submission_id", F.inline(F.array(*entries)))
+    return submissions.select("submission_id", F.inline(literal_rows([r.asDict() for r in sorted(rows)])))
 
 
 def _plausible(ans: DataFrame, stu: DataFrame, threshold: float) -> DataFrame:

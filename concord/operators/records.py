@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import names, similarity
 from concord.operators import assign
-from concord.session import settle
+from concord.session import literal_rows, settle
 
 
 def key_check(df: DataFrame, keys: list[str], table: str) -> DataFrame:
@@ -102,9 +102,7 @@ def vector_edges(vectors: DataFrame, id_col: str, vector: str, targets: DataFram
     rows = targets.select(target, "centroid").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} targets")
-    entries = F.array(*[
-        F.struct(F.lit(r[target]).alias("target"), F.array(*[F.lit(float(x)) for x in r["centroid"]]).alias("centroid")) for r in rows
-    ])
+    entries = literal_rows([{"target": r[target], "centroid": [float(x) for x in r["centroid"]]} for r in rows])
     return vectors.select(id_col, F.col(vector), F.inline(entries)).select(
         id_col, "target", F.round(similarity.cosine(F.col(vector), F.col("centroid")), 6).alias("cosine")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,27 +15,36 @@ from concord.session import settle
 from concord.sources import catalog, synthetic
 
 
-@dataclass
 class Batch:
-    """One answer and many submissions, with every stage worked out once.
+    """One answer and many submissions, with every stage worked out once, when asked for.
 
-    Catalog tables as in ``concord.sources.catalog``; ``answer_*`` without a submission id.
+    Inputs are DataFrames or functions giving one: ``submissions``, the catalog tables
+    ``columns``, ``keys``, ``fks``, ``counts`` and ``views`` as in ``concord.sources.catalog``,
+    and the same for the answer as ``answer_*`` without a submission id.
     """
 
-    submissions: DataFrame
-    answer_columns: DataFrame
-    answer_keys: DataFrame
-    answer_fks: DataFrame
-    answer_counts: DataFrame
-    answer_views: DataFrame
-    columns: DataFrame
-    keys: DataFrame
-    fks: DataFrame
-    counts: DataFrame
-    views: DataFrame
-    expected: dict[str, int] = field(default_factory=lambda: dict(vocab.EXPECTED_DELTA))
-    n_views: int = vocab.EXPECTED_VIEWS
-    baseline: str = "after"
+    INPUTS = (
+        "submissions", "answer_columns", "answer_keys", "answer_fks", "answer_counts", "answer_views",
+        "columns", "keys", "fks", "counts", "views",
+    )
+
+    def __init__(
+        self,
+        expected: dict[str, int] = vocab.EXPECTED_DELTA,
+        n_views: int = vocab.EXPECTED_VIEWS,
+        baseline: str = "after",
+        **inputs: DataFrame | Callable[[], DataFrame],
+    ):
+        self.expected, self.n_views, self.baseline = expected, n_views, baseline
+        self._inputs = inputs
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in Batch.INPUTS:
+            raise AttributeError(name)
+        given = self._inputs[name]
+        value = given() if callable(given) else given
+        setattr(self, name, value)
+        return value
 
     @cached_property
     def table_map(self) -> DataFrame:
@@ -74,14 +83,14 @@ class Batch:
             self.submissions, self.column_pairs, self.fk_pairs, self.count_report, self.view_matches, self.n_views
         )
 
-    def _cleaned_fks(self, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
+    def cleaned_fks(self, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
         folded = catalog.fold_fks(fks, lead)
         return folded.select(
             *lead, "fk_name", names.clean_table("parent_table").alias(table), "parent_cols",
             names.clean_table("ref_table").alias("ref_table"), "ref_cols",
         )
 
-    def _full_texts(self, columns: DataFrame, pk: DataFrame, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
+    def full_texts(self, columns: DataFrame, pk: DataFrame, fks: DataFrame, lead: list[str], table: str) -> DataFrame:
         by = [*lead, table]
         cols = columns.withColumnRenamed("cleaned_name", table).groupBy(*by).agg(F.transform(
             F.array_sort(F.collect_list(F.struct("ordinal", F.col("column_name").alias("name"), F.col("data_type").alias("type")))),
@@ -110,8 +119,8 @@ class Batch:
     def text_map(self) -> DataFrame:
         """Table mapping of the schema score: cosine of full texts, 0.80 and above."""
         ans_pk = self.answer_keys.withColumnRenamed("cleaned_name", "ans_table")
-        ans = self._full_texts(self.answer_columns, ans_pk, self._cleaned_fks(self.answer_fks, [], "ans_table"), [], "ans_table")
-        stu = self._full_texts(self.columns, self.student_keys, self._cleaned_fks(self.fks, ["submission_id"], "stu_table"), ["submission_id"], "stu_table")
+        ans = self.full_texts(self.answer_columns, ans_pk, self.cleaned_fks(self.answer_fks, [], "ans_table"), [], "ans_table")
+        stu = self.full_texts(self.columns, self.student_keys, self.cleaned_fks(self.fks, ["submission_id"], "stu_table"), ["submission_id"], "stu_table")
         return settle(tables.map_by_text(ans, settle(stu)))
 
     @cached_property
@@ -130,7 +139,7 @@ class Batch:
         ans_pk = self.answer_keys.withColumnRenamed("cleaned_name", "ans_table")
         pk = keys.pk_equal(ans_pk, self.student_keys, mapped)
         fk = keys.fk_contained(
-            self._cleaned_fks(self.answer_fks, [], "ans_table"), self._cleaned_fks(self.fks, ["submission_id"], "stu_table"), mapped
+            self.cleaned_fks(self.answer_fks, [], "ans_table"), self.cleaned_fks(self.fks, ["submission_id"], "stu_table"), mapped
         )
         return settle(scores.table_results(mapped, matches, pk, fk, self.answer_columns))
 
@@ -141,19 +150,19 @@ class Batch:
 
 def star_batch(spark: SparkSession, sf: str) -> Batch:
     """The batch derived from the star tables: one submission per customer."""
-    answer_views = catalog.view_shapes(synthetic.answer_view_queries(spark, sf))
-    return Batch(
-        submissions=synthetic.submissions(spark, sf),
-        answer_columns=synthetic.answer_columns(spark),
-        answer_keys=synthetic.answer_keys(spark),
-        answer_fks=synthetic.answer_fks(spark),
-        answer_counts=synthetic.answer_counts(spark, sf),
-        answer_views=answer_views,
-        columns=catalog.prepare_columns(synthetic.raw_columns(spark, sf)),
-        keys=synthetic.raw_keys(spark, sf),
-        fks=synthetic.raw_fks(spark, sf),
-        counts=synthetic.raw_counts(spark, sf),
-        views=synthetic.raw_views(spark, sf, answer_views),
+    batch = Batch(
         expected=synthetic.EXPECTED_DELTA,
         n_views=len(synthetic.VIEWS),
+        submissions=lambda: synthetic.submissions(spark, sf),
+        answer_columns=lambda: synthetic.answer_columns(spark),
+        answer_keys=lambda: synthetic.answer_keys(spark),
+        answer_fks=lambda: synthetic.answer_fks(spark),
+        answer_counts=lambda: synthetic.answer_counts(spark, sf),
+        answer_views=lambda: settle(catalog.view_shapes(synthetic.answer_view_queries(spark, sf))),
+        columns=lambda: catalog.prepare_columns(synthetic.raw_columns(spark, sf)),
+        keys=lambda: synthetic.raw_keys(spark, sf),
+        fks=lambda: synthetic.raw_fks(spark, sf),
+        counts=lambda: synthetic.raw_counts(spark, sf),
+        views=lambda: synthetic.raw_views(spark, sf, batch.answer_views),
     )
+    return batch

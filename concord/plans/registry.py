@@ -13,8 +13,9 @@ from concord.functions import names, similarity, texts, typerules, vocab
 from concord.operators import assign, counts, keys, lookup, pairs, records, scores, tables, views
 from concord.operators import columns as col_ops
 from concord.plans.pipeline import star_batch
-from concord.session import local_table, scratch_dir, settle
+from concord.session import dictionary, local_table, scratch_dir, settle
 from concord.sources import catalog, store, synthetic
+from concord.sources.tables import read_table
 from concord.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,10 +33,6 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
-
-
 def _scratch(spark: SparkSession, name: str) -> str:
     return tempfile.mktemp(prefix=f"{name}-", dir=scratch_dir(spark).removeprefix("file:"))
 
@@ -137,7 +134,7 @@ def clean_table_names(spark, sf):
 @query
 def normalize_names(spark, sf):
     """Whole documents and every column name in normal form."""
-    docs = _read(spark, sf, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("item"), names.normalize("text").alias("normalized"))
+    docs = read_table(spark, sf, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("item"), names.normalize("text").alias("normalized"))
     cols = synthetic.raw_columns(spark, sf).select("column_name").distinct().select(
         F.concat(F.lit("column "), "column_name").alias("item"), names.normalize("column_name").alias("normalized"))
     return docs.unionByName(cols)
@@ -146,7 +143,7 @@ def normalize_names(spark, sf):
 def _all_names(spark, sf):
     raw = synthetic.raw_columns(spark, sf)
     return raw.select(F.col("column_name").alias("name")).union(raw.select("original_name")).union(
-        _read(spark, sf, "part").select("p_name")).distinct()
+        read_table(spark, sf, "part").select("p_name")).distinct()
 
 
 @query
@@ -156,8 +153,6 @@ def canonical_names(spark, sf):
 
 @query
 def canonical_tokens(spark, sf):
-    from concord.session import dictionary
-
     abbr = catalog.domain_dictionary(local_table(spark, list(ABBREVIATIONS.items()), "k string, v string"), "k", "v", normalised=False)
     syn = catalog.domain_dictionary(local_table(spark, list(SYNONYMS.items()), "k string, v string"), "k", "v", normalised=True)
     abbr, syn = dictionary(abbr, "k", "v"), dictionary(syn, "k", "v")
@@ -174,7 +169,7 @@ def name_forms(spark, sf):
 
 @query
 def submission_ids(spark, sf):
-    return _read(spark, sf, "pages").select(
+    return read_table(spark, sf, "pages").select(
         "page_id", names.file_stem("url").alias("stem"), names.submission_id("url").alias("submission_id"))
 
 
@@ -323,7 +318,7 @@ def table_texts(spark, sf):
 def full_table_texts(spark, sf):
     """Table descriptions with types, keys and foreign keys."""
     b = star_batch(spark, sf)
-    return b._full_texts(b.columns, b.student_keys, b._cleaned_fks(b.fks, ["submission_id"], "stu_table"), ["submission_id"], "stu_table")
+    return b.full_texts(b.columns, b.student_keys, b.cleaned_fks(b.fks, ["submission_id"], "stu_table"), ["submission_id"], "stu_table")
 
 
 @query
@@ -334,14 +329,14 @@ def column_texts(spark, sf):
 
 @query
 def hash_embed(spark, sf):
-    d = _read(spark, sf, "documents")
+    d = read_table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(texts.hash_vector(F.col("text"))).alias("place", "v")).select(
         "doc_id", "place", F.round("v", 6).alias("value"))
 
 
 @query
 def domain_text(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", texts.domain_text(F.col("text")).alias("text"))
+    return read_table(spark, sf, "documents").select("doc_id", texts.domain_text(F.col("text")).alias("text"))
 
 
 @query
@@ -357,14 +352,14 @@ def gram_cosine(spark, sf):
 def embedding_cache(spark, sf):
     """Two passes over one cache: the second embeds only texts the first did not bring."""
     path = _scratch(spark, "embeddings")
-    store.embed_cached(_read(spark, sf, "benchmark").select("text"), path)
-    both = _read(spark, sf, "benchmark").select("text").union(_read(spark, sf, "conversations").select("text"))
+    store.embed_cached(read_table(spark, sf, "benchmark").select("text"), path)
+    both = read_table(spark, sf, "benchmark").select("text").union(read_table(spark, sf, "conversations").select("text"))
     done = store.embed_cached(both, path)
     return done.select("key", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size(texts.pad(F.col("vector"))).alias("width"))
 
 
 def _vector_edges(spark, sf):
-    v = _read(spark, sf, "embeddings")
+    v = read_table(spark, sf, "embeddings")
     return records.vector_edges(v, "vec_id", "embedding", records.centroids(v, "label", "embedding", 64), "label")
 
 
@@ -420,8 +415,8 @@ def exact_column_match(spark, sf):
     shapes = settle(tables.table_shapes(cols))
     content = settle(tables.shape_columns(cols, shapes))
     wanted = shapes.select(F.col("cleaned_name").alias("ans_table"), F.col("cleaned_name").alias("stu_table"), "shape").distinct()
-    left = wanted.join(col_ops._answer_side(answer), "ans_table")
-    right = wanted.join(col_ops._student_side(content), "shape").select(
+    left = wanted.join(col_ops.answer_side(answer), "ans_table")
+    right = wanted.join(col_ops.student_side(content), "shape").select(
         *col_ops.PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon")
     found = settle(col_ops.exact_columns(left, right))
     ok = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col")
@@ -532,7 +527,7 @@ def pk_fk_check(spark, sf):
         answer, F.col("stu_table") == F.col("ans_table"))
     mapped = settle(mapped)
     pk = keys.pk_equal(b.answer_keys.withColumnRenamed("cleaned_name", "ans_table"), b.student_keys, mapped)
-    fk = keys.fk_contained(b._cleaned_fks(b.answer_fks, [], "ans_table"), b._cleaned_fks(b.fks, ["submission_id"], "stu_table"), mapped)
+    fk = keys.fk_contained(b.cleaned_fks(b.answer_fks, [], "ans_table"), b.cleaned_fks(b.fks, ["submission_id"], "stu_table"), mapped)
     return pk.join(fk, ["submission_id", "ans_table", "stu_table"]).select("submission_id", "ans_table", "pk_ok", "fk_ok")
 
 
@@ -599,14 +594,14 @@ def count_summary(spark, sf):
 @query
 def row_count_reconcile(spark, sf):
     """Lineitem rows per supplier against the version without returned items."""
-    items = _read(spark, sf, "lineitem")
+    items = read_table(spark, sf, "lineitem")
     return records.reconcile_counts(items, items.filter("l_returnflag <> 'R'"), ["l_suppkey"])
 
 
 @query
 def order_count_reconcile(spark, sf):
     """Orders per customer in all orders against those still open."""
-    o = _read(spark, sf, "orders")
+    o = read_table(spark, sf, "orders")
     return records.reconcile_counts(o, o.filter("o_orderstatus <> 'F'"), ["o_custkey"])
 
 
@@ -636,7 +631,7 @@ def delta_statistics(spark, sf):
 @query
 def customer_growth(spark, sf):
     """Rule check on rows: every customer is expected to have one open order more than finished ones."""
-    o = _read(spark, sf, "orders")
+    o = read_table(spark, sf, "orders")
     return o.groupBy("o_custkey").agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("answer_count"), F.count_if(F.col("o_orderstatus") == "O").alias("student_count"),
     ).withColumn("actual_increase", F.col("student_count") - F.col("answer_count")).withColumn("correct", F.col("actual_increase") == 1)
@@ -677,30 +672,30 @@ def view_match(spark, sf):
 @query
 def key_check(spark, sf):
     checks = [
-        records.key_check(_read(spark, sf, t), synthetic.PRIMARY_KEYS[t], t) for t in synthetic.TABLES
-    ] + [records.key_check(_read(spark, sf, "conversations"), ["conv_id", "turn"], "conversations")]
+        records.key_check(read_table(spark, sf, t), synthetic.PRIMARY_KEYS[t], t) for t in synthetic.TABLES
+    ] + [records.key_check(read_table(spark, sf, "conversations"), ["conv_id", "turn"], "conversations")]
     return reduce(DataFrame.unionByName, checks)
 
 
 @query
 def orphan_check(spark, sf):
     return reduce(DataFrame.unionByName, [
-        records.orphan_check(_read(spark, sf, p), [c], _read(spark, sf, r), [rc], f"{p}.{c}") for p, c, r, rc in synthetic.FOREIGN_KEYS
-    ] + [records.orphan_check(_read(spark, sf, "documents"), ["doc_id"], _read(spark, sf, "labels"), ["doc_id"], "documents.doc_id")])
+        records.orphan_check(read_table(spark, sf, p), [c], read_table(spark, sf, r), [rc], f"{p}.{c}") for p, c, r, rc in synthetic.FOREIGN_KEYS
+    ] + [records.orphan_check(read_table(spark, sf, "documents"), ["doc_id"], read_table(spark, sf, "labels"), ["doc_id"], "documents.doc_id")])
 
 
 @query
 def record_link(spark, sf):
     """Supplier names linked with customer names."""
-    a = _read(spark, sf, "supplier").select(F.col("s_name").alias("name"))
-    b = _read(spark, sf, "customer").select(F.col("c_name").alias("name"))
+    a = read_table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    b = read_table(spark, sf, "customer").select(F.col("c_name").alias("name"))
     return records.record_link(a, b, 0.3, 60.0).select("a_name", "b_name", "score")
 
 
 @query
 def part_name_link(spark, sf):
     """Part names against their shape in upper case with the brand in front, linked one-to-one."""
-    p = _read(spark, sf, "part")
+    p = read_table(spark, sf, "part")
     a = p.select(F.col("p_name").alias("name"))
     b = p.select(F.upper(F.concat_ws(" ", "p_type", "p_name")).alias("name"))
     return records.record_link(a, b, 0.5, 70.0).select("a_name", "b_name", "score")
@@ -709,7 +704,7 @@ def part_name_link(spark, sf):
 @query
 def score_card(spark, sf):
     """Weighted marks per customer from checks on the orders."""
-    o = _read(spark, sf, "orders")
+    o = read_table(spark, sf, "orders")
     return scores.score_card(o, "o_custkey", {
         "finished": (F.col("o_orderstatus") == "F", 4.0),
         "prioritised": (F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 2.0),
@@ -743,8 +738,8 @@ def report_enriched(spark, sf):
 def store_replace(spark, sf):
     """Orders stored per customer nation, then the finished ones of every customer replace their rows."""
     path = _scratch(spark, "store")
-    own = _read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("submission_id"))
-    o = _read(spark, sf, "orders").join(own, F.col("o_custkey") == F.col("c_custkey")).select("submission_id", "o_orderkey", "o_orderstatus")
+    own = read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("submission_id"))
+    o = read_table(spark, sf, "orders").join(own, F.col("o_custkey") == F.col("c_custkey")).select("submission_id", "o_orderkey", "o_orderstatus")
     store.replace_submissions(o, path)
     store.replace_submissions(o.filter("o_orderstatus = 'F'"), path)
     return store.read_store(spark, path).groupBy("submission_id").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
@@ -765,12 +760,11 @@ def report_round_trip(spark, sf):
 def incremental_intake(spark, sf):
     """Events graded per user as files arrive, one user a submission."""
     out, checkpoint = _scratch(spark, "intake"), _scratch(spark, "intake-state")
-    source = f"{sf}/events.parquet"
-    schema = spark.read.parquet(source).schema
+    schema = read_table(spark, sf, "events").schema
 
     def grade(batch):
         return batch.groupBy(F.col("user_id").cast("string").alias("submission_id")).agg(
             F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
-    intake.grade_arrivals(spark, source, schema, grade, out, checkpoint).awaitTermination()
+    intake.grade_arrivals(spark, f"{sf}/events*.parquet", schema, grade, out, checkpoint).awaitTermination()
     return store.read_store(spark, out).select("submission_id", "events", "errors")

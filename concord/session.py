@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
@@ -56,6 +57,28 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table([list(c) for c in columns], schema=typed))
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"double('{v!r}')"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_rows(rows: list[dict]) -> Column:
+    """A constant array of structs from a few Python rows, parsed in one go."""
+    structs = [
+        "named_struct(" + ", ".join(f"'{k}', {_sql_literal(v)}" for k, v in row.items()) + ")" for row in rows
+    ]
+    return F.expr("array(" + ", ".join(structs) + ")")
+
+
 def dictionary(df: DataFrame, key: str, value: str, limit: int = DICTIONARY_LIMIT) -> dict[str, str]:
     """A dictionary table as a Python dict, refused when it is larger than ``limit``."""
     rows = df.select(key, value).limit(limit + 1).collect()

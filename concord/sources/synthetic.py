@@ -10,8 +10,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.session import local_table
+from concord.session import literal_rows, local_table
 from concord.sources import catalog
+from concord.sources.tables import read_table
 
 # The answer catalog: the star tables with their columns and types.
 ANSWER = {
@@ -76,10 +77,6 @@ def spec() -> list[tuple[int, str, int, str, str, list[str], str]]:
     return out
 
 
-def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
-
-
 def submission_of(key: Column) -> Column:
     return (key + 10000000).cast("string")
 
@@ -102,20 +99,17 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
     """One row per submission, spread over the cluster because each becomes dozens of catalog rows."""
     key = F.col("c_custkey")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _read(spark, sf, "customer").select(submission_of(key).alias("submission_id"), key.alias("key")).repartition(n)
+    return read_table(spark, sf, "customer").select(submission_of(key).alias("submission_id"), key.alias("key")).repartition(n)
 
 
-def _expand(spark: SparkSession, sf: str, entries: list[Column]) -> DataFrame:
-    return submissions(spark, sf).select("submission_id", "key", F.inline(F.array(*entries)))
+def _expand(spark: SparkSession, sf: str, entries: list[dict]) -> DataFrame:
+    return submissions(spark, sf).select("submission_id", "key", F.inline(literal_rows(entries)))
 
 
 def raw_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Every column of every submission, system and stage tables included."""
     entries = [
-        F.struct(
-            F.lit(t).alias("t"), F.lit(table).alias("table"), F.lit(o).alias("ordinal"),
-            F.array(*[F.lit(n) for n in names]).alias("names"), F.lit(dtype).alias("dtype"), F.lit(swapped).alias("swapped"),
-        )
+        {"t": t, "table": table, "ordinal": o, "names": names, "dtype": dtype, "swapped": swapped}
         for t, table, o, _, dtype, names, swapped in spec()
     ]
     key, t = F.col("key"), F.col("t")
@@ -138,10 +132,7 @@ def raw_keys(spark: SparkSession, sf: str) -> DataFrame:
     for table, cols in PRIMARY_KEYS.items():
         for position, name in enumerate(cols, 1):
             t, o, names = facts[table, name]
-            entries.append(F.struct(
-                F.lit(t).alias("t"), F.lit(table).alias("table"), F.lit(o).alias("o"),
-                F.lit(position).alias("position"), F.array(*[F.lit(n) for n in names]).alias("names"),
-            ))
+            entries.append({"t": t, "table": table, "o": o, "position": position, "names": names})
     key, t = F.col("key"), F.col("t")
     v = ((key * 7 + t * 3 + F.col("o")) % 10).cast("int")
     name = _table_name(key, t, F.col("table"))
@@ -165,11 +156,9 @@ def raw_fks(spark: SparkSession, sf: str) -> DataFrame:
     for n, (parent, column, ref, ref_column) in enumerate(FOREIGN_KEYS, 1):
         pt, po, pnames = facts[parent, column]
         rt, ro, rnames = facts[ref, ref_column]
-        entries.append(F.struct(
-            F.lit(n).alias("n"), F.lit(parent).alias("parent"), F.lit(ref).alias("ref"),
-            F.lit(pt).alias("pt"), F.lit(po).alias("po"), F.array(*[F.lit(x) for x in pnames]).alias("pnames"),
-            F.lit(rt).alias("rt"), F.lit(ro).alias("ro"), F.array(*[F.lit(x) for x in rnames]).alias("rnames"),
-        ))
+        entries.append({
+            "n": n, "parent": parent, "ref": ref, "pt": pt, "po": po, "pnames": pnames, "rt": rt, "ro": ro, "rnames": rnames,
+        })
     key, pt, rt = F.col("key"), F.col("pt"), F.col("rt")
     pv = ((key * 7 + pt * 3 + F.col("po")) % 10).cast("int")
     rv = ((key * 7 + rt * 3 + F.col("ro")) % 10).cast("int")
@@ -207,7 +196,7 @@ def answer_fks(spark: SparkSession) -> DataFrame:
 
 
 def star_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {t: _read(spark, sf, t) for t in TABLES}
+    return {t: read_table(spark, sf, t) for t in TABLES}
 
 
 def answer_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +210,7 @@ COUNT_DELTA = [0, -1, 1, 0, 1, -1, 0, 1, 5, None]
 
 def raw_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts per submission table: the answer count plus a difference; NULL when counting failed."""
-    entries = [F.struct(F.lit(t).alias("t"), F.lit(n).alias("table")) for t, n in enumerate(TABLES)]
+    entries = [{"t": t, "table": n} for t, n in enumerate(TABLES)]
     key, t = F.col("key"), F.col("t")
     delta = F.get(F.array(*[F.lit(d).cast("int") for d in COUNT_DELTA]), ((key * 3 + t * 7) % 10).cast("int"))
     return (
@@ -241,16 +230,16 @@ VIEWS = ("v_orders_by_status", "v_lineitem_by_flag", "v_customers_by_segment")
 def answer_view_queries(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Three named queries over the star tables, standing for the answer's views."""
     return {
-        VIEWS[0]: _read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")),
-        VIEWS[1]: _read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc")),
-        VIEWS[2]: _read(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
+        VIEWS[0]: read_table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")),
+        VIEWS[1]: read_table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc")),
+        VIEWS[2]: read_table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
     }
 
 
 def raw_views(spark: SparkSession, sf: str, answer_views: DataFrame) -> DataFrame:
     """Views per submission: the answer's shapes, some with other columns, rows or names, some unreadable."""
     key, i = F.col("key"), F.col("i")
-    entries = [F.struct(F.lit(n).alias("i"), F.lit(v).alias("view_name")) for n, v in enumerate(VIEWS)]
+    entries = [{"i": n, "view_name": v} for n, v in enumerate(VIEWS)]
     return (
         _expand(spark, sf, entries)
         .join(answer_views, "view_name")
