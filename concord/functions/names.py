@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concord.functions import vocab
+from concord.session import sql_literal
 
 
 def _accent_table() -> tuple[str, str]:
@@ -33,7 +34,7 @@ def _col(c: Column | str) -> Column:
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr("map(" + ", ".join(sql_literal(x) for kv in pairs.items() for x in kv) + ")")
 
 
 def lookup(pairs: dict[str, str], key: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,66 +56,82 @@ def _cosine_edges(left: DataFrame, right: DataFrame) -> DataFrame:
         right.select(F.col("stu_col_canon").alias("b")).distinct().withColumn("text", F.col("b")),
         [], "a", "b",
     ))
-    return left.join(scored, F.col("ans_col_canon") == F.col("a")).join(
-        right, [*[left[c] == right[c] for c in PAIR], F.col("stu_col_canon") == F.col("b")]
-    ).select(*[left[c] for c in PAIR], "ans_ordinal", "ans_col", "ans_type", "stu_ordinal", "stu_col", "stu_type", "cosine")
+    return left.withColumnRenamed("ans_col_canon", "a").join(scored, "a").join(
+        right.withColumnRenamed("stu_col_canon", "b"), [*PAIR, "b"]
+    ).select(*RESIDUAL)
 
 
-def _blend_edges(left: DataFrame, right: DataFrame) -> DataFrame:
-    """70 % cosine of column texts with table and type, 30 % token-set ratio of the names."""
+RESIDUAL = [*PAIR, "ans_ordinal", "ans_col", "ans_type", "stu_ordinal", "stu_col", "stu_type", "cosine"]
+
+
+def _text_edges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of a pair with the cosine of their texts 'table.column (type)'."""
     a = left.withColumn("text", texts.column_text(F.col("ans_table"), F.col("ans_col"), F.col("ans_type")))
     b = right.withColumn("text", texts.column_text(F.col("stu_table"), F.col("stu_col"), F.col("stu_type")))
-    meet = pairs.gram_edges(a, b, PAIR, "ans_ordinal", "stu_ordinal")
-    joined = meet.join(left, [*PAIR, "ans_ordinal"]).join(right, [*PAIR, "stu_ordinal"])
+    return pairs.gram_edges(a, b, PAIR, "ans_ordinal", "stu_ordinal")
+
+
+def _blend_edges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """70 % cosine of column texts, 30 % token-set ratio of the names.
+
+    A pair scores above 0 only if its texts share a gram or its names a letter.
+    """
+    ends = [*PAIR, "ans_ordinal", "stu_ordinal"]
+
+    def letters(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(*PAIR, key, F.explode(F.array_distinct(F.split(name, ""))).alias("_letter"))
+
+    by_letter = letters(left, "ans_ordinal", "ans_col_canon").join(
+        letters(right, "stu_ordinal", "stu_col_canon"), [*PAIR, "_letter"]
+    ).select(*ends, F.lit(0.0).alias("cosine"))
+    meet = _text_edges(left, right).unionByName(by_letter).groupBy(*ends).agg(F.max("cosine").alias("text_cosine"))
     token = similarity.token_set_ratio("ans_col_canon", "stu_col_canon") / 100
-    return joined.select(
-        *PAIR, "ans_ordinal", "ans_col", "ans_type", "stu_ordinal", "stu_col", "stu_type",
-        (F.col("cosine") * 0.7 + token * 0.3).alias("cosine"),
+    return meet.join(left, [*PAIR, "ans_ordinal"]).join(right, [*PAIR, "stu_ordinal"]).withColumn(
+        "cosine", F.col("text_cosine") * 0.7 + token * 0.3
     )
 
 
-def solve_pairs(
-    answer: DataFrame, content: DataFrame, wanted: DataFrame, blended: bool = False, exact_first: bool = True
-) -> DataFrame:
+def solve_pairs(answer: DataFrame, content: DataFrame, wanted: DataFrame, method: str = "two_phase") -> DataFrame:
     """Column matches of each wanted (answer table, table name, shape).
 
-    Equal names first; the rest by optimal assignment.  ``blended`` scores the rest as 70 %
-    text cosine and 30 % token set with the higher cutoff, and counts equal names only when
-    canonical; ``exact_first=False`` scores everything.
+    'two_phase': equal names first (canonical, space-free or lower-case), the rest by cosine of
+    the names, uncertain ones lifted by the cosine with types, matched from 0.75.
+    'blended': equal canonical names first, the rest by 70 % text cosine and 30 % token set,
+    matched from 0.82.  'text': everything by text cosine, matched from 0.82.
     """
     wanted = settle(wanted.select(*PAIR).distinct())
     left = settle(wanted.join(answer_side(answer), "ans_table"))
     right = settle(wanted.join(student_side(content), "shape").select(*PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon"))
-    mode = "both" if blended else "either"
-    fits = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col", mode)
-    found = None
+    fits = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col", "either" if method == "two_phase" else "both")
+    keep = [*PAIR, "ans_ordinal", "stu_col", "stu_type", "score", "match"]
+    matches = []
     rest_left, rest_right = left, right
-    if exact_first:
-        exact = settle(exact_columns(left, right, spaces=not blended))
-        found = exact.withColumn("score", F.lit(1.0)).withColumn("match", fits)
+    if method != "text":
+        exact = settle(exact_columns(left, right, spaces=method == "two_phase"))
+        matches.append(exact.withColumn("score", F.lit(1.0)).withColumn("match", fits).select(*keep))
         rest_left = left.join(exact, [*PAIR, "ans_ordinal"], "left_anti")
         rest_right = right.join(exact, [*PAIR, "stu_ordinal"], "left_anti")
-    edges = _blend_edges(rest_left, rest_right) if blended else _cosine_edges(rest_left, rest_right)
-    chosen = assign.optimal(
-        edges.withColumn("weight", pairs.micro(F.col("cosine"))).filter("weight > 0"), PAIR, "ans_ordinal", "stu_ordinal", "weight"
-    )
-    if blended:
-        score, cutoff = F.col("cosine"), vocab.COLUMN_LEGACY_SCORE
-    else:
+    if method == "two_phase":
+        edges = _cosine_edges(rest_left, rest_right)
         typed = pairs.text_cosine(F.concat_ws(" ", "ans_col", "ans_type"), F.concat_ws(" ", "stu_col", "stu_type"))
-        score = F.when(
-            F.col("cosine").between(vocab.UNCERTAIN_LOW, vocab.UNCERTAIN_HIGH), F.greatest(F.col("cosine"), typed)
-        ).otherwise(F.col("cosine"))
+        uncertain = F.col("cosine").between(vocab.UNCERTAIN_LOW, vocab.UNCERTAIN_HIGH)
+        score = F.when(uncertain, F.greatest(F.col("cosine"), typed)).otherwise(F.col("cosine"))
         cutoff = vocab.COLUMN_MIN_SCORE
-    rest = chosen.withColumn("score", score).withColumn("match", (F.col("score") >= cutoff) & fits)
-    keep = [*PAIR, "ans_ordinal", "stu_col", "stu_type", "score", "match"]
-    matches = rest.select(*keep) if found is None else found.select(*keep).unionByName(rest.select(*keep))
-    return left.drop("ans_col_canon").join(matches, [*PAIR, "ans_ordinal"], "left").withColumns({
+    else:
+        if method == "blended":
+            edges = _blend_edges(rest_left, rest_right)
+        else:
+            edges = _text_edges(left, right).join(left, [*PAIR, "ans_ordinal"]).join(right, [*PAIR, "stu_ordinal"])
+        score, cutoff = F.col("cosine"), vocab.COLUMN_LEGACY_SCORE
+    edges = edges.select(*RESIDUAL).withColumn("weight", pairs.micro(F.col("cosine"))).filter("weight > 0")
+    chosen = assign.optimal(edges, PAIR, "ans_ordinal", "stu_ordinal", "weight")
+    matches.append(chosen.withColumn("score", score).withColumn("match", (F.col("score") >= cutoff) & fits).select(*keep))
+    return left.drop("ans_col_canon").join(reduce(DataFrame.unionByName, matches), [*PAIR, "ans_ordinal"], "left").withColumns({
         "score": F.coalesce("score", F.lit(0.0)), "match": F.coalesce("match", F.lit(False)),
     })
 
 
-def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, **options) -> DataFrame:
+def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, method: str = "two_phase") -> DataFrame:
     """Every answer column of every submission with its match; unmapped tables give NULLs.
 
     Solved once per distinct (answer table, table name, shape), then joined to the mapping.
@@ -121,7 +139,7 @@ def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, **op
     shapes = table_shapes(columns)
     content = settle(shape_columns(columns, shapes))
     mapped = mapping.select("submission_id", "ans_table", "stu_table", "shape")
-    solved = settle(solve_pairs(answer, content, mapped.filter("stu_table is not null"), **options))
+    solved = settle(solve_pairs(answer, content, mapped.filter("stu_table is not null"), method))
     known = mapped.filter("stu_table is not null").join(solved, PAIR)
     missing = mapped.filter("stu_table is null").join(
         answer_side(answer).drop("ans_col_canon"), "ans_table"

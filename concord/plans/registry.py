@@ -437,13 +437,13 @@ def column_pairs(spark, sf):
 @query
 def column_pairs_blended(spark, sf):
     b = star_batch(spark, sf)
-    return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, blended=True))
+    return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, "blended"))
 
 
 @query
 def column_pairs_single_phase(spark, sf):
     b = star_batch(spark, sf)
-    return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, exact_first=False))
+    return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, "text"))
 
 
 @query

@@ -57,7 +57,7 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table([list(c) for c in columns], schema=typed))
 
 
-def _sql_literal(v) -> str:
+def sql_literal(v) -> str:
     if v is None:
         return "NULL"
     if isinstance(v, bool):
@@ -67,14 +67,14 @@ def _sql_literal(v) -> str:
     if isinstance(v, float):
         return f"double('{v!r}')"
     if isinstance(v, (list, tuple)):
-        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+        return "array(" + ", ".join(sql_literal(x) for x in v) + ")"
     return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def literal_rows(rows: list[dict]) -> Column:
     """A constant array of structs from a few Python rows, parsed in one go."""
     structs = [
-        "named_struct(" + ", ".join(f"'{k}', {_sql_literal(v)}" for k, v in row.items()) + ")" for row in rows
+        "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in row.items()) + ")" for row in rows
     ]
     return F.expr("array(" + ", ".join(structs) + ")")
 
