@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concord.functions import names, vocab
+from concord.functions import vocab
 
 
 def table_text(table: Column, columns: Column, limit: int = vocab.TABLE_TEXT_COLUMNS) -> Column:
@@ -56,55 +58,54 @@ def domain_text(c: Column, patterns: dict[str, list[str]] = vocab.DOMAIN_PATTERN
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to ``value`` worked out once (a lambda body repeats what it takes from outside)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_vector(c: Column) -> Column:
     """The 32 bytes of sha256 as numbers, L2-normed (the rest of the 384 places is zero)."""
-    digest = F.sha2(c, 256)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"),
-    )
-    # wrapped in a one-entry array so that the bytes are worked out once per row
-    return F.element_at(
-        F.transform(F.array(F.struct(raw.alias("v"))), lambda r: F.transform(r["v"], lambda x: x / (
-            F.sqrt(F.aggregate(r["v"], F.lit(0.0), lambda s, y: s + y * y)) + 1e-8))), 1)
+    def byte(digest: Column, i: Column) -> Column:
+        return F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+
+    raw = bind(F.sha2(c, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))
+    with_norm = bind(raw, lambda v: F.struct(
+        v.alias("v"), (F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + 1e-8).alias("n")))
+    return bind(with_norm, lambda r: F.transform(r["v"], lambda x: x / r["n"]))
 
 
 def pad(vector: Column, width: int = 384) -> Column:
     return F.concat(vector, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(vector)))
 
 
-def gram_counts(c: Column, n: int = 3) -> Column:
-    """Map from each n-gram of the normalised text to how often it occurs."""
-    return F.element_at(
-        F.transform(
-            F.array(grams(names.normalize(c), n)),
-            lambda g: F.map_from_entries(
-                F.transform(F.array_distinct(g), lambda x: F.struct(x, F.size(F.filter(g, lambda y: y == x))))
-            ),
-        ),
-        1,
-    )
-
+def gram_norm(grams_of: Column) -> Column:
+    """Squared length of the count vector of an array of grams: the sum of squared run lengths once sorted."""
+    def step(s: Column, g: Column) -> Column:
+        run = F.when(s["last"] == g, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        # (r + 1)^2 - r^2 = 2 r + 1, with run = r + 1
+        return F.struct(g.alias("last"), run.alias("run"), (s["total"] + run * 2 - 1).alias("total"))
 
-def gram_norm(counts: Column) -> Column:
-    """Squared length of a gram vector, an exact integer."""
-    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda s, x: s + x * x)
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+    return F.aggregate(F.array_sort(grams_of), start, step, lambda s: s["total"])
 
 
 def gram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two gram count maps; 0 when either is empty."""
-    shared = F.aggregate(
-        F.map_entries(a), F.lit(0).cast("long"),
-        lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)),
-    )
-    size = F.sqrt((gram_norm(a) * gram_norm(b)).cast("double"))
-    return F.when(size > 0, shared / size).otherwise(F.lit(0.0))
+    """Cosine of the count vectors of two short gram arrays; 0 when either is empty."""
+    def value(p: Column) -> Column:
+        shared = F.aggregate(
+            p["a"], F.lit(0).cast("long"), lambda s, x: s + F.size(F.filter(p["b"], lambda y: y == x)))
+        size = F.sqrt((gram_norm(p["a"]) * gram_norm(p["b"])).cast("double"))
+        return F.when(size > 0, shared / size).otherwise(F.lit(0.0))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), value)
 
 
 def grams(c: Column, n: int = 3) -> Column:
     """Character n-grams of the text with one space on either side."""
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.when(
-        F.length(c) + 2 >= n,
-        F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+    def cut(padded: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        return F.when(
+            F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.concat(F.lit(" "), c, F.lit(" ")), cut)

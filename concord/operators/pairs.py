@@ -20,27 +20,36 @@ ANSWER_LIST_LIMIT = 2_000
 RARE_FIRST = "0123456789zqjxkwvfbgypmdhucltsroniae_ "
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few rows with much work each, over as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def gram_edges(left: DataFrame, right: DataFrame, by: list[str], left_key: str, right_key: str) -> DataFrame:
     """Cosine of every (left, right) pair that shares a gram; both sides carry a ``text``.
 
-    Pairs meet inside equal ``by`` values.  Products are summed before and after the shuffle.
+    Pairs meet inside equal ``by`` values.  ``left`` is the answer's side, whose grams are
+    counted; a right text adds the left count of each gram it holds, so its own grams go
+    through the join uncounted and are summed in the same task before any shuffle.
     """
-    def spread(df: DataFrame, key: str, norm: str, n: str) -> DataFrame:
-        counts = df.select(*by, key, texts.gram_counts(F.col("text")).alias("_c"))
-        return counts.select(*by, key, texts.gram_norm(F.col("_c")).alias(norm), F.explode("_c").alias("_gram", n))
-
-    a, b = spread(left, left_key, "_na", "_a"), spread(right, right_key, "_nb", "_b")
-    return (
-        b.join(a, [*by, "_gram"])
-        .groupBy(*by, left_key, right_key, "_na", "_nb")
-        .agg(F.sum(F.col("_a").cast("long") * F.col("_b")).alias("_dot"))
-        .select(*by, left_key, right_key,
-                (F.col("_dot") / F.sqrt((F.col("_na") * F.col("_nb")).cast("double"))).alias("cosine"))
+    grams = texts.grams(names.normalize("text"))
+    a = (
+        left.select(*by, left_key, F.explode_outer(grams).alias("_gram"))
+        .groupBy(*by, left_key, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    norms = left.select(*by, left_key, texts.gram_norm(grams).alias("_na"))
+    b = spread(right.select(*by, right_key, "text"), *by, right_key).withColumn("_grams", grams).select(
+        *by, right_key, texts.gram_norm(F.col("_grams")).alias("_nb"), F.explode_outer("_grams").alias("_gram")
+    )
+    dots = b.join(a, [*by, "_gram"]).groupBy(*by, right_key, "_nb", left_key).agg(F.sum("_n").alias("_dot"))
+    return dots.join(norms, [*by, left_key]).select(
+        *by, left_key, right_key, (F.col("_dot") / F.sqrt((F.col("_na") * F.col("_nb")).cast("double"))).alias("cosine")
     )
 
 
 def text_cosine(a: Column, b: Column) -> Column:
-    return texts.gram_cosine(texts.gram_counts(a), texts.gram_counts(b))
+    """Cosine of two short texts of one row."""
+    return texts.gram_cosine(texts.grams(names.normalize(a)), texts.grams(names.normalize(b)))
 
 
 def micro(c: Column) -> Column:
@@ -73,9 +82,7 @@ def name_hits(
         return pairs.filter(_is_hit("ans_name", "stu_name", threshold)).select("ans_name", "stu_name")
     entries = literal_rows([r.asDict() for r in listed])
     kept = F.expr(f"filter(answer_list, an -> {_is_hit('an.ans_name', 'stu_name', threshold)})")
-    # few names, much work per name: spread them over all tasks
-    stu = stu.repartition(int(stu.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return stu.withColumn("answer_list", entries).select("stu_name", F.explode(kept).alias("a")).select("a.ans_name", "stu_name")
+    return spread(stu).withColumn("answer_list", entries).select("stu_name", F.explode(kept).alias("a")).select("a.ans_name", "stu_name")
 
 
 def _is_hit(a: str, b: str, threshold: float) -> str:

@@ -13,6 +13,11 @@ def match_ratio(rows: DataFrame, flag: str, out: str, by: str = "submission_id")
     return rows.groupBy(by).agg(F.avg(F.col(flag).cast("double")).alias(out))
 
 
+def view_ratio(matches: DataFrame, n_views: int) -> DataFrame:
+    """Matched views over expected views."""
+    return matches.groupBy("submission_id").agg((F.count(F.lit(1)) / F.lit(n_views)).alias("view_ratio"))
+
+
 def table_results(mapped: DataFrame, matches: DataFrame, pk: DataFrame, fk: DataFrame, answer: DataFrame) -> DataFrame:
     """Per mapped table: matched columns, enough columns, key and reference equality.
 
@@ -88,7 +93,7 @@ def summary(
         match_ratio(cols, "match", "column_ratio"),
         match_ratio(fk_pairs, "is_matched", "fk_ratio"),
         report.groupBy("submission_id").agg(*yes),
-        view_matches.groupBy("submission_id").agg((F.count(F.lit(1)) / F.lit(n_views)).alias("view_ratio")),
+        view_ratio(view_matches, n_views),
     ]
     out = submissions.select("submission_id")
     for part in parts:

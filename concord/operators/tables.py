@@ -77,13 +77,12 @@ def table_edges(answer: DataFrame, columns: DataFrame) -> DataFrame:
     shapes = settle(table_shapes(columns))
     content = settle(shape_columns(columns, shapes))
     counts = matching_columns(answer, content)
-    named = shapes.select("cleaned_name", "shape").distinct()
-    stu = named.join(first_columns(content, "shape"), "shape").select(
-        "cleaned_name", "shape", texts.gram_counts(texts.table_text(F.col("cleaned_name"), F.col("first_columns"))).alias("_b")
-    )
-    ans = answer_texts(answer).select("ans_table", texts.gram_counts(F.col("text")).alias("_a"))
-    scored = stu.join(counts, "shape").join(ans, "ans_table").select(
-        "cleaned_name", "shape", "ans_table", "n_cols", texts.gram_cosine(F.col("_a"), F.col("_b")).alias("cosine")
+    named = shapes.select("cleaned_name", "shape").distinct().join(first_columns(content, "shape"), "shape")
+    text = texts.table_text(F.col("cleaned_name"), F.col("first_columns"))
+    stu = settle(named.select("cleaned_name", "shape", text.alias("text"), F.md5(text).alias("text_id")))
+    cosines = pairs.gram_edges(answer_texts(answer), stu.select("text_id", "text").distinct(), [], "ans_table", "text_id")
+    scored = stu.drop("text").join(counts, "shape").join(cosines, ["ans_table", "text_id"], "left").select(
+        "cleaned_name", "shape", "ans_table", "n_cols", F.coalesce("cosine", F.lit(0.0)).alias("cosine")
     )
     return shapes.join(settle(scored), ["cleaned_name", "shape"]).select(
         "submission_id", "ans_table", F.col("cleaned_name").alias("stu_table"), "original_name", "shape", "n_cols", "cosine"
@@ -112,9 +111,10 @@ def map_by_text(answer_texts: DataFrame, student_texts: DataFrame, min_cosine: f
 
     ``answer_texts`` (ans_table, text); ``student_texts`` (submission_id, stu_table, text).
     """
-    distinct = student_texts.select("text").distinct().withColumn("stu_text", F.col("text"))
-    scored = settle(pairs.gram_edges(answer_texts, distinct, [], "ans_table", "stu_text"))
-    edges = student_texts.join(scored, student_texts.text == scored.stu_text).select(
+    student_texts = student_texts.withColumn("text_id", F.md5("text"))
+    distinct = student_texts.select("text_id", "text").distinct()
+    scored = settle(pairs.gram_edges(answer_texts, distinct, [], "ans_table", "text_id"))
+    edges = student_texts.join(scored, "text_id").select(
         "submission_id", "ans_table", "stu_table", "cosine", pairs.micro(F.col("cosine")).alias("weight")
     )
     return assign.optimal(edges.filter("weight > 0"), ["submission_id"], "ans_table", "stu_table", "weight").drop(

@@ -9,18 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, texts
+from concord.session import settle
 
 
-def replace_submissions(df: DataFrame, path: str) -> None:
-    """Write rows keyed by ``submission_id``; submissions present in ``df`` replace their stored rows."""
+def replace_submissions(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write rows keyed by ``submission_id``; submissions present in ``df`` replace their stored rows.
+
+    The store is partitioned by a hash bucket of the id, not by the id itself, so millions of
+    submissions do not become millions of folders.  Only the buckets of the new submissions
+    are rewritten, each from its other submissions and the new rows.
+    """
+    spark = df.sparkSession
+    fresh = settle(df.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(buckets)).cast("int")))
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        stored = None
+    if stored is not None:
+        # at most ``buckets`` values
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        others = stored.filter(F.col("bucket").isin(touched)).join(
+            fresh.select("submission_id").distinct(), "submission_id", "left_anti"
+        )
+        fresh = settle(fresh.unionByName(others))
     (
-        df.repartition("submission_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("submission_id").parquet(path)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).withColumn("submission_id", F.col("submission_id").cast("string"))
+    return spark.read.parquet(path).drop("bucket")
 
 
 def resolve_ids(keys: DataFrame, tables: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,14 +50,14 @@ def resolve_ids(keys: DataFrame, tables: DataFrame, columns: DataFrame) -> tuple
     return joined.filter("column_id is not null"), joined.filter("column_id is null").withColumn("missing", reason)
 
 
-def write_report(df: DataFrame, path: str, per_submission: bool = True) -> None:
-    """CSV with a header row, in one folder per submission or as one report."""
+def write_report(df: DataFrame, path: str, per_submission: bool = False) -> None:
+    """CSV with a header row: one report for the batch, or a folder per submission (small batches)."""
     writer = df.write.mode("overwrite").option("header", True)
     (writer.partitionBy("submission_id") if per_submission else writer).csv(path)
 
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Report files back, the submission id taken from their folder."""
+    """Report files back, the submission id taken from their folder where it names one."""
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
