@@ -140,7 +140,7 @@ def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, meth
     content = settle(shape_columns(columns, shapes))
     mapped = mapping.select("submission_id", "ans_table", "stu_table", "shape")
     solved = settle(solve_pairs(answer, content, mapped.filter("stu_table is not null"), method))
-    known = mapped.filter("stu_table is not null").join(solved, PAIR)
+    known = pairs.join_back(mapped.filter("stu_table is not null"), solved, PAIR)
     missing = mapped.filter("stu_table is null").join(
         answer_side(answer).drop("ans_col_canon"), "ans_table"
     ).withColumns({

@@ -44,11 +44,11 @@ def fk_similarity(answer_texts: DataFrame, student_texts: DataFrame, min_similar
             a.withColumn("text", F.col("ans_text")), b.withColumn("text", F.col("stu_text")), [], "ans_text", "stu_text"
         ).withColumnRenamed("cosine", "similarity")
         return scored.filter(F.col("similarity") >= min_similarity)
-    # the texts of the answer travel as one literal list; a text is compared, not paired
-    listed = pairs.per_submission(b.select(F.col("stu_text").alias("submission_id")), a).withColumnRenamed("submission_id", "stu_text")
-    x, y = F.col("ans_text"), F.col("stu_text")
-    score = F.greatest(similarity.jaccard(similarity.words(x), similarity.words(y)), similarity.char_similarity(x, y))
-    return listed.withColumn("similarity", score).filter(F.col("similarity") >= min_similarity)
+    def score(x, y):
+        return F.greatest(similarity.jaccard(similarity.words(x), similarity.words(y)), similarity.char_similarity(x, y))
+
+    kept = pairs.matching_items(pairs.spread(b), a, lambda item: score(item["ans_text"], F.col("stu_text")) >= min_similarity)
+    return kept.withColumn("similarity", score(F.col("ans_text"), F.col("stu_text")))
 
 
 def fk_match(
@@ -67,7 +67,7 @@ def fk_match(
     )
     scored = settle(fk_similarity(ans, stu, min_similarity, measure))
     edges = (
-        stu.withColumnRenamed("fk_text", "stu_text").join(scored, "stu_text")
+        pairs.join_back(stu.withColumnRenamed("fk_text", "stu_text"), scored, ["stu_text"])
         .join(ans.withColumnRenamed("fk_text", "ans_text"), "ans_text")
         .select("submission_id", "ans_fk", "stu_fk", "similarity", "stu_text")
     )

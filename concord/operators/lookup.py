@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from concord.functions import names, similarity, vocab
 from concord.operators import pairs
 from concord.operators.tables import shape_columns, table_shapes
-from concord.session import settle
+from concord.session import literal_rows, settle
+
+
+def _short_list(ans: DataFrame) -> list:
+    rows = ans.select("a", "cleaned_name").limit(pairs.ANSWER_LIST_LIMIT + 1).collect()
+    if len(rows) > pairs.ANSWER_LIST_LIMIT:
+        raise ValueError(f"an answer has at most {pairs.ANSWER_LIST_LIMIT} tables")
+    return rows
 
 
 def table_blocks(answer: DataFrame, shapes: DataFrame, min_table: float = vocab.FUZZY_MIN) -> DataFrame:
@@ -20,11 +27,15 @@ def table_blocks(answer: DataFrame, shapes: DataFrame, min_table: float = vocab.
     stu = settle(stu)
     equal = settle(stu.join(ans, stu.b == ans.a).select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape"))
     # distinct table names against the answer's short list of them
-    near = pairs.per_submission(stu.select(F.col("b").alias("submission_id")).distinct(), ans.select("a", "cleaned_name")).withColumnRenamed("submission_id", "b")
-    score = F.greatest(similarity.token_set_ratio("a", "b"), similarity.ratio("a", "b"), similarity.partial_ratio("a", "b"))
-    near = settle(near.filter(~F.col("b").startswith("stage ")).filter(score >= min_table))
+    near = pairs.spread(stu.select("b").distinct().filter(~F.col("b").startswith("stage "))).withColumn(
+        "_items", literal_rows([r.asDict() for r in sorted(_short_list(ans))])
+    )
+    score = "greatest({}, {}, {})".format(*[f("an.a", "b") for f in (
+        similarity.token_set_ratio_sql, similarity.ratio_sql, similarity.partial_ratio_sql)])
+    kept = F.expr(f"filter(_items, an -> {score} >= {min_table})")
+    near = settle(near.select("b", F.explode(kept).alias("an")).select("b", "an.cleaned_name"))
     similar = (
-        stu.join(near, "b").select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape")
+        pairs.join_back(stu, near, ["b"]).select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape")
         .join(equal.select("submission_id", "ans_table").distinct(), ["submission_id", "ans_table"], "left_anti")
     )
     return equal.unionByName(similar)
@@ -52,7 +63,7 @@ def blocked_lookup(answer: DataFrame, columns: DataFrame, submissions: DataFrame
         .agg(F.min(hit).alias("first_hit"), F.max("score").alias("best"))
     )
     first = F.min(F.when(F.col("first_hit").isNotNull(), F.struct("original_name", "first_hit")))
-    found = blocks.join(per_shape, ["ans_table", "shape"]).groupBy("submission_id", "ans_table", "ans_col").agg(
+    found = pairs.join_back(blocks, per_shape, ["ans_table", "shape"]).groupBy("submission_id", "ans_table", "ans_col").agg(
         first.alias("f"), F.max("best").alias("best")
     )
     return pairs.per_submission(submissions, ans.select("ans_table", "ans_col")).join(

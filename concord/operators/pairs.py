@@ -7,6 +7,8 @@ names on a shared rare letter or inside a size-checked answer list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def join_back(many: DataFrame, few: DataFrame, keys: list[str], salt_from: str = "submission_id", salts: int = 16) -> DataFrame:
+    """Rows joined to what was worked out once per distinct key.
+
+    A key that a third of all rows share is spread over ``salts`` tasks; the worked-out side is
+    repeated that often, which is little as it holds distinct keys only.
+    """
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
+    return many.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def matching_items(df: DataFrame, items: DataFrame, test: Callable[[Column], Column], limit: int = ANSWER_LIST_LIMIT) -> DataFrame:
+    """Each row with the answer's items that pass ``test``; only those are emitted.
+
+    The items travel as one literal list and are refused above ``limit``.
+    """
+    rows = items.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"an answer has at most {limit} entries of a kind")
+    listed = df.withColumn("_items", literal_rows([r.asDict() for r in sorted(rows)]))
+    return listed.withColumn("_item", F.explode(F.filter("_items", test))).select(*df.columns, "_item.*")
+
+
 def gram_edges(left: DataFrame, right: DataFrame, by: list[str], left_key: str, right_key: str) -> DataFrame:
     """Cosine of every (left, right) pair that shares a gram; both sides carry a ``text``.
 

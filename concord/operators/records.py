@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity
-from concord.operators import assign
+from concord.operators import assign, pairs
 from concord.session import literal_rows, settle
 
 
@@ -70,7 +70,8 @@ def word_overlap_pairs(left: DataFrame, right: DataFrame, min_jaccard: float) ->
     )
 
     def rare_words(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, F.size("words").alias("n"), F.explode("words").alias("w")).join(frequency, "w").groupBy(name, "n").agg(
+        listed = df.select(name, F.size("words").alias("n"), F.explode("words").alias("w"))
+        ranked = pairs.join_back(listed, frequency, ["w"], salt_from=name).groupBy(name, "n").agg(
             F.array_sort(F.collect_list(F.struct("count", "w"))).alias("r")
         )
         kept = F.col("n") - F.ceil(F.col("n") * min_jaccard - 1e-9).cast("int") + 1
@@ -97,12 +98,25 @@ def centroids(vectors: DataFrame, label: str, vector: str, width: int) -> DataFr
     return means.select(label, F.array(*[f"_{i}" for i in range(width)]).alias("centroid"))
 
 
-def vector_edges(vectors: DataFrame, id_col: str, vector: str, targets: DataFrame, target: str, limit: int = 10_000) -> DataFrame:
-    """Cosine of every vector with every target; targets are few, checked, and travel as one list."""
+def target_cosines(vectors: DataFrame, vector: str, targets: DataFrame, target: str, limit: int = 10_000) -> DataFrame:
+    """Vectors with ``near``: (cosine, target) of every target, in the row; targets are few and checked."""
     rows = targets.select(target, "centroid").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} targets")
-    entries = literal_rows([{"target": r[target], "centroid": [float(x) for x in r["centroid"]]} for r in rows])
-    return vectors.select(id_col, F.col(vector), F.inline(entries)).select(
-        id_col, "target", F.round(similarity.cosine(F.col(vector), F.col("centroid")), 6).alias("cosine")
+    listed = literal_rows([{"target": r[target], "centroid": [float(x) for x in r["centroid"]]} for r in rows])
+    return vectors.withColumn("_targets", listed).withColumn("near", F.transform("_targets", lambda t: F.struct(
+        F.round(similarity.cosine(F.col(vector), t["centroid"]), 6).alias("cosine"), t["target"].alias("target")))).drop("_targets")
+
+
+def nearest_targets(cosines: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The ``k`` nearest targets per vector, smaller target first among equals; nothing is shuffled."""
+    ranked = F.array_sort(F.transform("near", lambda n: F.struct((-n["cosine"]).alias("c"), n["target"].alias("target"))))
+    return cosines.select(id_col, F.posexplode(F.slice(ranked, 1, k)).alias("p", "n")).select(
+        id_col, F.col("n.target").alias("target"), (-F.col("n.c")).alias("cosine"), (F.col("p") + 1).alias("rank")
     )
+
+
+def vector_link(cosines: DataFrame, id_col: str, min_cosine: float) -> DataFrame:
+    """One vector per target and one target per vector, greedily by cosine."""
+    edges = cosines.select(id_col, F.inline(F.filter("near", lambda n: n["cosine"] > min_cosine))).withColumn("_all", F.lit(0))
+    return assign.greedy(edges, ["_all"], id_col, "target", ["cosine"]).drop("_all")

@@ -84,7 +84,7 @@ def table_edges(answer: DataFrame, columns: DataFrame) -> DataFrame:
     scored = stu.drop("text").join(counts, "shape").join(cosines, ["ans_table", "text_id"], "left").select(
         "cleaned_name", "shape", "ans_table", "n_cols", F.coalesce("cosine", F.lit(0.0)).alias("cosine")
     )
-    return shapes.join(settle(scored), ["cleaned_name", "shape"]).select(
+    return pairs.join_back(shapes, settle(scored), ["cleaned_name", "shape"]).select(
         "submission_id", "ans_table", F.col("cleaned_name").alias("stu_table"), "original_name", "shape", "n_cols", "cosine"
     )
 
@@ -114,7 +114,7 @@ def map_by_text(answer_texts: DataFrame, student_texts: DataFrame, min_cosine: f
     student_texts = student_texts.withColumn("text_id", F.md5("text"))
     distinct = student_texts.select("text_id", "text").distinct()
     scored = settle(pairs.gram_edges(answer_texts, distinct, [], "ans_table", "text_id"))
-    edges = student_texts.join(scored, "text_id").select(
+    edges = pairs.join_back(student_texts, scored, ["text_id"]).select(
         "submission_id", "ans_table", "stu_table", "cosine", pairs.micro(F.col("cosine")).alias("weight")
     )
     return assign.optimal(edges.filter("weight > 0"), ["submission_id"], "ans_table", "stu_table", "weight").drop(

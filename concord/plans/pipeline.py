@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import names, texts, vocab
 from concord.operators import columns as col_ops
-from concord.operators import counts, keys, scores, tables, views
+from concord.operators import counts, keys, pairs, scores, tables, views
 from concord.session import settle
 from concord.sources import catalog, synthetic
 
@@ -135,7 +135,7 @@ class Batch:
         right = wanted.join(content.withColumnRenamed("column_name", "stu_col").withColumnRenamed("data_type", "stu_type").withColumnRenamed("ordinal", "stu_ordinal"), "shape")
         right = right.withColumn("text", texts.column_text(F.col("stu_table"), F.col("stu_col"), F.col("stu_type")))
         solved = col_ops.match_by_text(left, right, by).filter("match").groupBy(*by).agg(F.count(F.lit(1)).alias("matched_cols"))
-        matches = mapped.join(settle(solved), by).select("submission_id", "ans_table", "matched_cols")
+        matches = pairs.join_back(mapped, settle(solved), by).select("submission_id", "ans_table", "matched_cols")
         ans_pk = self.answer_keys.withColumnRenamed("cleaned_name", "ans_table")
         pk = keys.pk_equal(ans_pk, self.student_keys, mapped)
         fk = keys.fk_contained(

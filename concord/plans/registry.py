@@ -310,7 +310,7 @@ def table_texts(spark, sf):
     cols = _columns(spark, sf)
     shapes = settle(tables.table_shapes(cols))
     first = tables.first_columns(tables.shape_columns(cols, shapes), "shape")
-    return shapes.join(first, "shape").select(
+    return pairs.join_back(shapes, first, ["shape"]).select(
         "submission_id", "cleaned_name", texts.table_text(F.col("cleaned_name"), F.col("first_columns")).alias("text"))
 
 
@@ -358,24 +358,21 @@ def embedding_cache(spark, sf):
     return done.select("key", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size(texts.pad(F.col("vector"))).alias("width"))
 
 
-def _vector_edges(spark, sf):
+def _vector_cosines(spark, sf):
     v = read_table(spark, sf, "embeddings")
-    return records.vector_edges(v, "vec_id", "embedding", records.centroids(v, "label", "embedding", 64), "label")
+    return records.target_cosines(v, "embedding", records.centroids(v, "label", "embedding", 64), "label")
 
 
 @query
 def dense_cosine_topk(spark, sf):
     """The five label centroids nearest to every vector."""
-    e = _vector_edges(spark, sf).withColumn("submission_id", F.col("vec_id")).withColumnRenamed("target", "stu_table")
-    best = tables.best_tables(e.withColumn("ans_table", F.col("vec_id")).withColumnRenamed("cosine", "ratio"), k=5)
-    return best.select("vec_id", F.col("stu_table").alias("label"), F.col("ratio").alias("cosine"), "rank")
+    return records.nearest_targets(_vector_cosines(spark, sf), "vec_id", 5).withColumnRenamed("target", "label")
 
 
 @query
 def vector_link(spark, sf):
     """One vector per label centroid, greedily by cosine over all pairs at once."""
-    e = _vector_edges(spark, sf).filter(F.col("cosine") > 0).withColumn("g", F.lit(0))
-    return assign.greedy(e, ["g"], "vec_id", "target", ["cosine"]).select("vec_id", F.col("target").alias("label"), "cosine")
+    return records.vector_link(_vector_cosines(spark, sf), "vec_id", 0.0).select("vec_id", F.col("target").alias("label"), "cosine")
 
 
 # --- tables and columns -------------------------------------------------------------------
@@ -420,7 +417,8 @@ def exact_column_match(spark, sf):
         *col_ops.PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon")
     found = settle(col_ops.exact_columns(left, right))
     ok = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col")
-    return shapes.select("submission_id", F.col("cleaned_name").alias("stu_table"), "shape").join(found, ["stu_table", "shape"]).select(
+    own = shapes.select("submission_id", F.col("cleaned_name").alias("stu_table"), "shape")
+    return pairs.join_back(own, found, ["stu_table", "shape"]).select(
         "submission_id", "ans_table", "ans_col", "stu_col", ok.alias("match"))
 
 
@@ -449,7 +447,7 @@ def column_pairs_single_phase(spark, sf):
 @query
 def schema_columns(spark, sf):
     matches, schemas = col_ops.schema_columns(synthetic.answer_columns(spark), _columns(spark, sf))
-    return schemas.join(matches, "schema").select(
+    return pairs.join_back(schemas, matches, ["schema"]).select(
         "submission_id", "ans_table", "ans_col", "stu_table", "stu_col", F.round("cosine", 6).alias("cosine"), "match")
 
 
@@ -458,7 +456,7 @@ def table_ratio(spark, sf):
     answer = synthetic.answer_columns(spark)
     matches, schemas = col_ops.schema_columns(answer, _columns(spark, sf))
     ratio = settle(col_ops.table_ratio(matches, answer, "schema"))
-    return schemas.join(ratio, "schema").select("submission_id", "ans_table", "stu_table", F.round("ratio", 6).alias("ratio"))
+    return pairs.join_back(schemas, ratio, ["schema"]).select("submission_id", "ans_table", "stu_table", F.round("ratio", 6).alias("ratio"))
 
 
 @query
@@ -466,7 +464,7 @@ def refined_columns(spark, sf):
     answer, cols = synthetic.answer_columns(spark), _columns(spark, sf)
     matches, schemas = col_ops.schema_columns(answer, cols)
     refined = settle(col_ops.refine_tables(matches, answer, cols, schemas))
-    return schemas.join(refined, "schema").select(
+    return pairs.join_back(schemas, refined, ["schema"]).select(
         "submission_id", "ans_table", "ans_col", "stu_table", "stu_col", F.round("cosine", 6).alias("cosine"), "match")
 
 
