@@ -46,6 +46,26 @@ def hit(a: str, ca: str, b: str, cb: str) -> str:
     return f"({ca} = {cb} OR replace({ca}, ' ', '') = replace({cb}, ' ', '') OR lower({a}) = lower({b}))"
 
 
+_plain = lambda x: f"replace(trim(lower({x})), '_', ' ')"
+def jaccard(a: str, b: str) -> str:
+    return (
+        f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / "
+        f"len(list_distinct(list_concat({a}, {b}))) ELSE 0 END)"
+    )
+
+
+def split_words(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+
+
+def char_sim(a: str, b: str) -> str:
+    same = f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1)))"
+    return (
+        f"(CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+        f"ELSE {same}::DOUBLE / greatest(length({a}), length({b})) END)"
+    )
+
+
 def alias(x: str, pairs: dict[str, str]) -> str:
     return K.case_map(pairs, f"lower({x})", x)
 
@@ -92,6 +112,22 @@ def _map_tables(edges: str, weight: str) -> str:
 
 
 EXTRA["tab_best"] = _map_tables("SELECT * FROM tab_edges", f"(1000000 + n_cols * 1000) * 1000000 + {K.micro('cosine')}")
+EXTRA["plain_hits"] = f"""SELECT ans_name, stu_name FROM ans_names, stu_names
+    WHERE replace({_plain('ans_name')}, ' ', '') = replace({_plain('stu_name')}, ' ', '') OR lower(ans_name) = lower(stu_name)
+      OR {jaccard(split_words('lower(ans_name)'), split_words('lower(stu_name)'))} * 100 >= 70"""
+EXTRA["plain_fit"] = K.greedy(f"""SELECT cid, ans_table, ans_ordinal, c.ordinal AS stu_ordinal
+    FROM content c JOIN plain_hits ON column_name = stu_name JOIN ans ON ans_col = ans_name WHERE {loose('ans_type', 'data_type')}""",
+    ["cid", "ans_table"], "ans_ordinal", "stu_ordinal", ["ans_ordinal"], False)
+EXTRA["plain_sim"] = f"""SELECT submission_id, ans_table, stu_table, ns, cs, (ns + cs) / 2 AS similarity FROM (
+      SELECT submission_id, ans_table, cleaned_name AS stu_table, CASE WHEN ans_table = cleaned_name THEN 1::DOUBLE
+        ELSE {jaccard('aw', 'bw')} END AS ns, {jaccard('ac', 'bc')} AS cs FROM
+      (SELECT ans_table, list(DISTINCT {_plain('ans_col')}) AS ac, {split_words(_plain('ans_table'))} AS aw FROM ans GROUP BY ans_table) a,
+      (SELECT submission_id, cleaned_name, list(DISTINCT {_plain('column_name')}) AS bc, {split_words(_plain('cleaned_name'))} AS bw
+       FROM cols GROUP BY submission_id, cleaned_name) b) q WHERE ns > 0 OR cs > 0"""
+EXTRA["plain_edges"] = """SELECT submission_id, n.ans_table, cleaned_name AS stu_table, n_cols, coalesce(similarity, 0) AS cosine FROM tabs
+    JOIN (SELECT cid, ans_table, count(*) AS n_cols FROM plain_fit GROUP BY 1, 2) n USING (cid)
+    LEFT JOIN (SELECT submission_id, ans_table, stu_table AS cleaned_name, similarity FROM plain_sim) p USING (submission_id, ans_table, cleaned_name)"""
+EXTRA["plain_best"] = _map_tables("SELECT * FROM plain_edges", f"(1000000 + n_cols * 1000) * 1000000 + {K.micro('cosine')}")
 EXTRA["every_tab"] = "SELECT submission_id, ans_table FROM subs, (SELECT DISTINCT ans_table FROM ans) a"
 EXTRA["tab_map"] = """SELECT submission_id, ans_table, stu_table, original_name, cid, n_cols, cosine
     FROM every_tab LEFT JOIN (SELECT * FROM tab_best WHERE cosine >= 0.5) b USING (submission_id, ans_table)"""
@@ -105,8 +141,12 @@ def _column_pairs(method: str) -> str:
     """Column matches of every mapped table by one of the three methods."""
     both = f"SELECT * FROM l_side JOIN r_side USING ({ends})"
     exact_on = hit("ans_col", "ac", "stu_col", "sc") if method == "two_phase" else "ac = sc"
+    if method == "plain":
+        exact_on = hit("ans_col", _plain("ans_col"), "stu_col", _plain("stu_col"))
     mode = "either" if method == "two_phase" else "both"
     ok = same_type("ans_type", "stu_type", "ans_col", "stu_col", mode)
+    if method == "plain":
+        ok = loose("ans_type", "stu_type")
     left_text = "ans_table || '.' || ans_col || ' (' || ans_type || ')'"
     right_text = "stu_table || '.' || stu_col || ' (' || stu_type || ')'"
     exact = K.greedy(f"SELECT {ends}, ans_ordinal, stu_ordinal FROM ({both}) b WHERE {exact_on}", PAIR, "ans_ordinal", "stu_ordinal", ["ans_ordinal"], False)
@@ -120,6 +160,13 @@ def _column_pairs(method: str) -> str:
             "SELECT DISTINCT p, 2 AS y, stu_col || ' ' || stu_type AS text FROM joined", ["p"], "x", "y")}),"""
         score = "CASE WHEN score0 BETWEEN 0.5 AND 0.8 THEN greatest(score0, coalesce(typed.cosine, 0)) ELSE score0 END"
         join_typed, cutoff = "LEFT JOIN typed USING (p)", "0.75"
+    elif method == "plain":
+        cos = "SELECT 1 AS unused"
+        value = f"greatest({jaccard(split_words(_plain('ans_col')), split_words(_plain('stu_col')))}, {char_sim('lower(ans_col)', 'lower(stu_col)')})"
+        edges = f"SELECT {ends}, ans_ordinal, stu_ordinal, {value} AS score0 FROM rest_l JOIN rest_r USING ({ends})"
+        shared = " OR ".join(f"(contains(lower(ans_col), '{w}') AND contains(lower(stu_col), '{w}'))" for w in vocab.SHARED_WORDS)
+        extra, join_typed, cutoff = "", "", "0.75"
+        score = f"CASE WHEN score0 BETWEEN 0.5 AND 0.8 AND ({shared}) THEN least(score0 + 0.1::DOUBLE, 1) ELSE score0 END"
     else:
         cos = K.gram_edges(f"SELECT {ends}, ans_ordinal, {left_text} AS text FROM rest_l", f"SELECT {ends}, stu_ordinal, {right_text} AS text FROM rest_r", PAIR, "ans_ordinal", "stu_ordinal")
         if method == "text":
@@ -162,7 +209,6 @@ EXTRA["col_pairs"] = _column_pairs("two_phase")
 
 # --- foreign keys
 _fk = lambda p, c, r, rc, f: f"{f(p)} || '(' || {f(c)} || ') -> ' || {f(r)} || '(' || {f(rc)} || ')'"
-_plain = lambda x: f"replace(trim(lower({x})), '_', ' ')"
 EXTRA["fk_ans"] = f"""SELECT fk_name AS ans_fk, {_fk('parent_table', 'fk_column', 'ref_table', 'pk_column', K.canonical)} AS answer_fk,
     {_fk('parent_table', 'fk_column', 'ref_table', 'pk_column', _plain)} AS plain_fk FROM ans_fks"""
 EXTRA["fk_stu"] = f"""SELECT submission_id, fk_name AS stu_fk, {_fk('pt', 'fk_column', 'rt', 'pk_column', K.canonical)} AS student_fk,
@@ -188,25 +234,6 @@ _fk_cos = f"""SELECT a_text, st, cosine AS similarity FROM ({K.gram_edges('SELEC
     'SELECT DISTINCT student_fk AS st, student_fk AS text FROM fk_stu', [], 'a_text', 'st')}) q"""
 
 
-def jaccard(a: str, b: str) -> str:
-    return (
-        f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / "
-        f"len(list_distinct(list_concat({a}, {b}))) ELSE 0 END)"
-    )
-
-
-def split_words(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
-
-
-def char_sim(a: str, b: str) -> str:
-    same = f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1)))"
-    return (
-        f"(CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
-        f"ELSE {same}::DOUBLE / greatest(length({a}), length({b})) END)"
-    )
-
-
 _fk_plain = f"""SELECT a_text, st, greatest({jaccard(split_words('a_text'), split_words('st'))}, {char_sim('a_text', 'st')}) AS similarity
     FROM (SELECT DISTINCT plain_fk AS a_text FROM fk_ans) a, (SELECT DISTINCT plain_fk AS st FROM fk_stu) b"""
 EXTRA["fk_pairs"] = _fk_match(_fk_cos, "student_fk")
@@ -436,13 +463,13 @@ _shared = " OR ".join(f"(contains(lower(ans_name), '{w}') AND contains(lower(stu
 add("pattern_boost", f"""SELECT ans_name, stu_name, round(base, 6) AS base,
     round(CASE WHEN base BETWEEN 0.5 AND 0.8 AND ({_shared}) THEN least(base + 0.1::DOUBLE, 1) ELSE base END, 6) AS score
     FROM (SELECT *, greatest({_pj}, {_cs}) AS base FROM {_mp}) q""")
-add("plain_table_similarity", f"""SELECT submission_id, ans_table, stu_table, round(ns, 6) AS name_similarity, round(cs, 6) AS column_similarity,
-    round((ns + cs) / 2, 6) AS similarity FROM (
-      SELECT submission_id, ans_table, cleaned_name AS stu_table, CASE WHEN ans_table = cleaned_name THEN 1::DOUBLE
-        ELSE {jaccard('aw', 'bw')} END AS ns, {jaccard('ac', 'bc')} AS cs FROM
-      (SELECT ans_table, list(DISTINCT {_plain('ans_col')}) AS ac, {split_words(_plain('ans_table'))} AS aw FROM ans GROUP BY ans_table) a,
-      (SELECT submission_id, cleaned_name, list(DISTINCT {_plain('column_name')}) AS bc, {split_words(_plain('cleaned_name'))} AS bw
-       FROM cols GROUP BY submission_id, cleaned_name) b) q WHERE ns > 0 OR cs > 0""")
+add("plain_table_similarity", """SELECT submission_id, ans_table, stu_table, round(ns, 6) AS name_similarity, round(cs, 6) AS column_similarity,
+    round(similarity, 6) AS similarity FROM plain_sim""")
+add("first_fit_columns", "SELECT submission_id, ans_table, cleaned_name AS stu_table, n_cols FROM tabs JOIN fit_n USING (cid)")
+add("table_map_plain", """SELECT submission_id, ans_table, stu_table, n_cols, round(cosine, 6) AS similarity FROM every_tab
+    LEFT JOIN (SELECT * FROM plain_best WHERE cosine >= 0.5) b USING (submission_id, ans_table)""")
+add("fk_system_tables", """SELECT submission_id, fk_name, parent_table, fk_column, ref_table, pk_column, 1 AS ordinal FROM raw_fks""")
+add("fk_relationships", "SELECT DISTINCT submission_id, parent_table, ref_table FROM raw_fks")
 add("table_texts", "SELECT submission_id, cleaned_name, text FROM tabs")
 add("full_table_texts", "SELECT submission_id, stu_table, text FROM full_stu")
 add("column_texts", f"SELECT submission_id, ordinal, {COLTEXT} AS text FROM cols")
@@ -483,6 +510,7 @@ _out = "submission_id, ans_table, ans_col, ans_type, stu_table, stu_col, stu_typ
 add("column_pairs", f"SELECT {_out} FROM col_pairs")
 add("column_pairs_blended", f"SELECT {_out} FROM ({_column_pairs('blended')}) q")
 add("column_pairs_single_phase", f"SELECT {_out} FROM ({_column_pairs('text')}) q")
+add("column_pairs_plain", f"SELECT {_out} FROM ({_column_pairs('plain')}) q")
 add("best_table", """SELECT submission_id, ans_table, stu_table, round(ratio, 6) AS ratio FROM (SELECT *,
     row_number() OVER (PARTITION BY submission_id, ans_table ORDER BY ratio DESC, stu_table) AS rank FROM contained) q WHERE rank = 1""")
 add("table_suggestions", """SELECT submission_id, ans_table, stu_table, round(ratio, 6) AS ratio, rank FROM (SELECT *,

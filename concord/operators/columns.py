@@ -30,20 +30,23 @@ def student_side(content: DataFrame) -> DataFrame:
     )
 
 
-def exact_columns(left: DataFrame, right: DataFrame, spaces: bool = True) -> DataFrame:
+def exact_columns(left: DataFrame, right: DataFrame, method: str = "two_phase") -> DataFrame:
     """First-fit matches of equal names inside a table pair: canonical, space-free or lower-case equal.
 
-    ``left`` and ``right`` carry the pair; one equi-join per kind of equality.  With
-    ``spaces=False`` only canonical names count.
+    ``left`` and ``right`` carry the pair; one equi-join per kind of equality.  'blended' counts
+    canonical names only, 'plain' uses plainly canonical ones.
     """
     def meet(a: Column, b: Column) -> DataFrame:
         return left.withColumn("_k", a).join(right.withColumn("_k", b), [*PAIR, "_k"]).drop("_k")
 
-    if not spaces:
+    if method == "blended":
         edges = meet(F.col("ans_col_canon"), F.col("stu_col_canon"))
     else:
         # space-free equality covers canonical equality
-        edges = meet(names.squeeze("ans_col_canon"), names.squeeze("stu_col_canon")).unionByName(
+        a, b = F.col("ans_col_canon"), F.col("stu_col_canon")
+        if method == "plain":
+            a, b = names.simple_canonical("ans_col"), names.simple_canonical("stu_col")
+        edges = meet(names.squeeze(a), names.squeeze(b)).unionByName(
             meet(F.lower("ans_col"), F.lower("stu_col"))
         ).distinct()
     return assign.greedy(edges, PAIR, "ans_ordinal", "stu_ordinal", ["ans_ordinal", "stu_ordinal"], descending=False)
@@ -91,23 +94,45 @@ def _blend_edges(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _plain_edges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The larger of word Jaccard and share of equal positions.
+
+    A pair scores above 0 only if it shares a word or has the same letter at the same place.
+    """
+    def marks(df: DataFrame, key: str, name: str) -> DataFrame:
+        words = F.transform(similarity.words(names.simple_canonical(name)), lambda w: F.concat(F.lit("w:"), w))
+        places = F.transform(F.split(F.lower(name), ""), lambda x, i: F.concat_ws(":", F.lit("p"), i.cast("string"), x))
+        return df.select(*PAIR, key, F.explode(F.array_union(words, places)).alias("_mark"))
+
+    meet = marks(left, "ans_ordinal", "ans_col").join(marks(right, "stu_ordinal", "stu_col"), [*PAIR, "_mark"]).select(
+        *PAIR, "ans_ordinal", "stu_ordinal").distinct()
+    a, b = F.col("ans_col"), F.col("stu_col")
+    score = F.greatest(
+        similarity.token_jaccard(names.simple_canonical(a), names.simple_canonical(b)), similarity.char_similarity(F.lower(a), F.lower(b)))
+    return meet.join(left, [*PAIR, "ans_ordinal"]).join(right, [*PAIR, "stu_ordinal"]).withColumn("cosine", score)
+
+
 def solve_pairs(answer: DataFrame, content: DataFrame, wanted: DataFrame, method: str = "two_phase") -> DataFrame:
     """Column matches of each wanted (answer table, table name, shape).
 
     'two_phase': equal names first (canonical, space-free or lower-case), the rest by cosine of
     the names, uncertain ones lifted by the cosine with types, matched from 0.75.
     'blended': equal canonical names first, the rest by 70 % text cosine and 30 % token set,
-    matched from 0.82.  'text': everything by text cosine, matched from 0.82.
+    matched from 0.82.  'text': everything by text cosine, matched from 0.82.  'plain': equal
+    plain names first, the rest by words and letters, uncertain ones lifted by a shared word,
+    matched from 0.75 with loosely equal types.
     """
     wanted = settle(wanted.select(*PAIR).distinct())
     left = settle(wanted.join(answer_side(answer), "ans_table"))
     right = settle(wanted.join(student_side(content), "shape").select(*PAIR, "stu_ordinal", "stu_col", "stu_type", "stu_col_canon"))
     fits = typerules.same_type("ans_type", "stu_type", "ans_col", "stu_col", "either" if method == "two_phase" else "both")
+    if method == "plain":
+        fits = typerules.loose_type("ans_type", "stu_type")
     keep = [*PAIR, "ans_ordinal", "stu_col", "stu_type", "score", "match"]
     matches = []
     rest_left, rest_right = left, right
     if method != "text":
-        exact = settle(exact_columns(left, right, spaces=method == "two_phase"))
+        exact = settle(exact_columns(left, right, method))
         matches.append(exact.withColumn("score", F.lit(1.0)).withColumn("match", fits).select(*keep))
         rest_left = left.join(exact, [*PAIR, "ans_ordinal"], "left_anti")
         rest_right = right.join(exact, [*PAIR, "stu_ordinal"], "left_anti")
@@ -117,6 +142,10 @@ def solve_pairs(answer: DataFrame, content: DataFrame, wanted: DataFrame, method
         uncertain = F.col("cosine").between(vocab.UNCERTAIN_LOW, vocab.UNCERTAIN_HIGH)
         score = F.when(uncertain, F.greatest(F.col("cosine"), typed)).otherwise(F.col("cosine"))
         cutoff = vocab.COLUMN_MIN_SCORE
+    elif method == "plain":
+        edges = _plain_edges(rest_left, rest_right)
+        score = similarity.shared_word_boost(F.col("cosine"), F.col("ans_col"), F.col("stu_col"), vocab.SHARED_WORDS)
+        cutoff = vocab.COLUMN_MIN_SCORE
     else:
         if method == "blended":
             edges = _blend_edges(rest_left, rest_right)

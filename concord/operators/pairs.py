@@ -110,6 +110,22 @@ def name_hits(
     return spread(stu).withColumn("answer_list", entries).select("stu_name", F.explode(kept).alias("a")).select("a.ans_name", "stu_name")
 
 
+def plain_hits(answers: DataFrame, students: DataFrame, threshold: float = vocab.SMART_MIN) -> DataFrame:
+    """Distinct (ans_name, stu_name): equal plainly, without spaces or in lower case, or by word Jaccard in percent.
+
+    One equi-join per way of being alike.
+    """
+    ans = answers.select(F.col("column_name").alias("ans_name")).distinct()
+    stu = students.select(F.col("column_name").alias("stu_name")).distinct()
+
+    def meet(key: Callable[[str], Column]) -> DataFrame:
+        return ans.withColumn("_k", key("ans_name")).join(stu.withColumn("_k", key("stu_name")), "_k").drop("_k")
+
+    by_word = meet(lambda c: F.explode(similarity.words(F.lower(c)))).distinct().filter(
+        similarity.token_jaccard(F.col("ans_name"), F.col("stu_name")) * 100 >= threshold)
+    return meet(lambda c: names.squeeze(names.simple_canonical(c))).unionByName(meet(F.lower)).unionByName(by_word).distinct()
+
+
 def _is_hit(a: str, b: str, threshold: float) -> str:
     return f"({exact_name(a, b)} OR {similarity.smart_sql(a + '_canon', b + '_canon')} >= {threshold})"
 

@@ -53,9 +53,8 @@ def answer_texts(answer: DataFrame) -> DataFrame:
     )
 
 
-def matching_columns(answer: DataFrame, content: DataFrame, threshold: float = vocab.SMART_MIN) -> DataFrame:
-    """First-fit count of answer columns found in each shape, by similar name and loosely equal type."""
-    hits = pairs.name_hits(answer, content, threshold)
+def matching_columns(answer: DataFrame, content: DataFrame, hits: DataFrame) -> DataFrame:
+    """First-fit count of answer columns found in each shape, by the name pairs in ``hits`` and loosely equal type."""
     a = answer.select(F.col("cleaned_name").alias("ans_table"), F.col("ordinal").alias("ans_ordinal"),
                       F.col("column_name").alias("ans_name"), F.col("data_type").alias("ans_type"))
     edges = (
@@ -69,21 +68,29 @@ def matching_columns(answer: DataFrame, content: DataFrame, threshold: float = v
     return taken.groupBy("shape", "ans_table").agg(F.count(F.lit(1)).alias("n_cols"))
 
 
-def table_edges(answer: DataFrame, columns: DataFrame) -> DataFrame:
-    """Per submission, the table pairs with a common column: how many, and the cosine of their texts.
+def table_edges(answer: DataFrame, columns: DataFrame, plain: bool = False) -> DataFrame:
+    """Per submission, the table pairs with a common column: how many, and how similar the tables are.
 
-    Worked out once per distinct (table name, shape) and joined back.
+    Columns count by fuzzy names and tables compare by the cosine of their texts, or with
+    ``plain`` by word overlap of plainly canonical names alone.  Worked out once per distinct
+    (table name, shape) and joined back.
     """
     shapes = settle(table_shapes(columns))
     content = settle(shape_columns(columns, shapes))
-    counts = matching_columns(answer, content)
-    named = shapes.select("cleaned_name", "shape").distinct().join(first_columns(content, "shape"), "shape")
-    text = texts.table_text(F.col("cleaned_name"), F.col("first_columns"))
-    stu = settle(named.select("cleaned_name", "shape", text.alias("text"), F.md5(text).alias("text_id")))
-    cosines = pairs.gram_edges(answer_texts(answer), stu.select("text_id", "text").distinct(), [], "ans_table", "text_id")
-    scored = stu.drop("text").join(counts, "shape").join(cosines, ["ans_table", "text_id"], "left").select(
-        "cleaned_name", "shape", "ans_table", "n_cols", F.coalesce("cosine", F.lit(0.0)).alias("cosine")
-    )
+    named = shapes.select("cleaned_name", "shape").distinct()
+    if plain:
+        counts = matching_columns(answer, content, pairs.plain_hits(answer, content))
+        similar = plain_similarity(answer, named.join(content, "shape"), ["cleaned_name", "shape"]).select(
+            "cleaned_name", "shape", "ans_table", F.col("similarity").alias("cosine"))
+        scored = named.join(counts, "shape").join(similar, ["cleaned_name", "shape", "ans_table"], "left")
+    else:
+        counts = matching_columns(answer, content, pairs.name_hits(answer, content))
+        text = texts.table_text(F.col("cleaned_name"), F.col("first_columns"))
+        stu = settle(named.join(first_columns(content, "shape"), "shape").select(
+            "cleaned_name", "shape", text.alias("text"), F.md5(text).alias("text_id")))
+        cosines = pairs.gram_edges(answer_texts(answer), stu.select("text_id", "text").distinct(), [], "ans_table", "text_id")
+        scored = stu.join(counts, "shape").join(cosines, ["ans_table", "text_id"], "left")
+    scored = scored.select("cleaned_name", "shape", "ans_table", "n_cols", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
     return pairs.join_back(shapes, settle(scored), ["cleaned_name", "shape"]).select(
         "submission_id", "ans_table", F.col("cleaned_name").alias("stu_table"), "original_name", "shape", "n_cols", "cosine"
     )
@@ -96,10 +103,10 @@ def complete_map(matched: DataFrame, answer: DataFrame, submissions: DataFrame)
 
 
 def table_map(
-    answer: DataFrame, columns: DataFrame, submissions: DataFrame, min_cosine: float = vocab.TABLE_MIN_COSINE
+    answer: DataFrame, columns: DataFrame, submissions: DataFrame, min_cosine: float = vocab.TABLE_MIN_COSINE, plain: bool = False
 ) -> DataFrame:
     """One-to-one table mapping by common columns first, cosine second; pairs under ``min_cosine`` are dropped."""
-    edges = table_edges(answer, columns).withColumn(
+    edges = table_edges(answer, columns, plain).withColumn(
         "weight", (F.lit(PAIR_BONUS) + F.col("n_cols") * 1000) * 1000000 + pairs.micro(F.col("cosine"))
     )
     chosen = assign.optimal(edges, ["submission_id"], "ans_table", "stu_table", "weight")
@@ -143,34 +150,35 @@ def best_tables(containment: DataFrame, k: int = 1) -> DataFrame:
     return containment.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def plain_similarity(answer: DataFrame, columns: DataFrame) -> DataFrame:
+def plain_similarity(answer: DataFrame, columns: DataFrame, lead: list[str] = TABLE) -> DataFrame:
     """Mean of table-name and column-set Jaccard on plainly canonical names, pairs above 0 only.
 
-    Pairs meet on a shared column name or a shared name word.
+    Pairs meet on a shared column name or a shared name word; ``lead`` identifies a student
+    table and includes its cleaned name.
     """
-    def sets(df: DataFrame, table: str, lead: list[str]) -> DataFrame:
-        return df.groupBy(*lead).agg(F.collect_set(simple_canonical("column_name")).alias("cols")).withColumn(
-            "words", similarity.words(simple_canonical(table))
+    def sets(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.collect_set(simple_canonical("column_name")).alias("cols")).withColumn(
+            "words", similarity.words(simple_canonical("cleaned_name"))
         )
 
-    a = sets(answer, "cleaned_name", ["cleaned_name"]).select(
+    a = sets(answer, ["cleaned_name"]).select(
         F.col("cleaned_name").alias("ans_table"), F.col("cols").alias("a_cols"), F.col("words").alias("a_words")
     )
-    b = sets(columns, "cleaned_name", TABLE).withColumnRenamed("cleaned_name", "stu_table")
+    b = sets(columns, lead)
 
     def keys(cols: str, words: str):
         return F.explode(F.array_union(F.transform(cols, lambda c: F.concat(F.lit("c:"), c)),
                                        F.transform(words, lambda w: F.concat(F.lit("w:"), w))))
 
     meet = (
-        b.select("submission_id", "stu_table", keys("cols", "words").alias("k"))
+        b.select(*lead, keys("cols", "words").alias("k"))
         .join(a.select("ans_table", keys("a_cols", "a_words").alias("k")), "k")
-        .select("submission_id", "stu_table", "ans_table").distinct()
+        .select(*lead, "ans_table").distinct()
     )
-    same = F.col("ans_table") == F.col("stu_table")
+    same = F.col("ans_table") == F.col("cleaned_name")
     name_sim = F.when(same, F.lit(1.0)).otherwise(similarity.jaccard(F.col("a_words"), F.col("words")))
-    return meet.join(b, ["submission_id", "stu_table"]).join(a, "ans_table").select(
-        "submission_id", "ans_table", "stu_table",
-        name_sim.alias("name_similarity"), similarity.jaccard(F.col("a_cols"), F.col("cols")).alias("column_similarity"),
-        ((name_sim + similarity.jaccard(F.col("a_cols"), F.col("cols"))) / 2).alias("similarity"),
+    column_sim = similarity.jaccard(F.col("a_cols"), F.col("cols"))
+    return meet.join(b, lead).join(a, "ans_table").select(
+        *lead, "ans_table", name_sim.alias("name_similarity"), column_sim.alias("column_similarity"),
+        ((name_sim + column_sim) / 2).alias("similarity"),
     )

@@ -194,6 +194,26 @@ def fk_text(spark, sf):
     return described.join(plain, ["submission_id", "fk_name"])
 
 
+@query
+def fk_system_tables(spark, sf):
+    """Foreign keys joined from system tables with surrogate ids."""
+    raw = synthetic.raw_fks(spark, sf)
+    cols = synthetic.raw_columns(spark, sf)
+    table_id = F.xxhash64("submission_id", "original_name")
+    t = cols.select("submission_id", "original_name").distinct().select("submission_id", table_id.alias("table_id"), F.col("original_name").alias("name"))
+    c = cols.select("submission_id", table_id.alias("table_id"), F.xxhash64("column_name").alias("column_id"), F.col("column_name").alias("name"))
+    fks = raw.select("submission_id", "fk_name", F.xxhash64("fk_name").alias("fk_id"),
+                     F.xxhash64("submission_id", "parent_table").alias("parent_id"), F.xxhash64("submission_id", "ref_table").alias("ref_id"))
+    fk_columns = raw.select("submission_id", F.xxhash64("fk_name").alias("fk_id"), "ordinal",
+                            F.xxhash64("fk_column").alias("parent_column_id"), F.xxhash64("pk_column").alias("ref_column_id"))
+    return catalog.fks_from_system_tables(fks, fk_columns, t, c)
+
+
+@query
+def fk_relationships(spark, sf):
+    return catalog.relationships(synthetic.raw_fks(spark, sf))
+
+
 @query
 def fk_clean(spark, sf):
     return catalog.clean_fk_names(synthetic.raw_fks(spark, sf)).select(
@@ -299,7 +319,7 @@ def pattern_boost(spark, sf):
 @query
 def plain_table_similarity(spark, sf):
     s = tables.plain_similarity(synthetic.answer_columns(spark), _columns(spark, sf))
-    return s.select("submission_id", "ans_table", "stu_table", *[F.round(c, 6).alias(c) for c in ("name_similarity", "column_similarity", "similarity")])
+    return s.select("submission_id", "ans_table", F.col("cleaned_name").alias("stu_table"), *[F.round(c, 6).alias(c) for c in ("name_similarity", "column_similarity", "similarity")])
 
 
 # --- texts and vectors --------------------------------------------------------------------
@@ -377,6 +397,16 @@ def vector_link(spark, sf):
 
 # --- tables and columns -------------------------------------------------------------------
 
+@query
+def first_fit_columns(spark, sf):
+    """Columns of every answer table found in every distinct student table, first fit."""
+    cols, answer = _columns(spark, sf), synthetic.answer_columns(spark)
+    shapes = settle(tables.table_shapes(cols))
+    content = settle(tables.shape_columns(cols, shapes))
+    n = settle(tables.matching_columns(answer, content, pairs.name_hits(answer, content)))
+    return pairs.join_back(shapes, n, ["shape"]).select("submission_id", "ans_table", F.col("cleaned_name").alias("stu_table"), "n_cols")
+
+
 @query
 def table_edges(spark, sf):
     e = tables.table_edges(synthetic.answer_columns(spark), _columns(spark, sf))
@@ -389,6 +419,13 @@ def table_map(spark, sf):
     return m.select("submission_id", "ans_table", "stu_table", "original_name", "n_cols", F.round("cosine", 6).alias("cosine"))
 
 
+@query
+def table_map_plain(spark, sf):
+    """Table mapping without fuzzy names or embeddings."""
+    m = tables.table_map(synthetic.answer_columns(spark), _columns(spark, sf), synthetic.submissions(spark, sf), plain=True)
+    return m.select("submission_id", "ans_table", "stu_table", "n_cols", F.round("cosine", 6).alias("similarity"))
+
+
 @query
 def table_map_text(spark, sf):
     return star_batch(spark, sf).text_map.select("submission_id", "ans_table", "stu_table", F.round("cosine", 6).alias("cosine"))
@@ -444,6 +481,12 @@ def column_pairs_single_phase(spark, sf):
     return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, "text"))
 
 
+@query
+def column_pairs_plain(spark, sf):
+    b = star_batch(spark, sf)
+    return _pairs_out(col_ops.column_pairs(b.answer_columns, b.columns, b.table_map, "plain"))
+
+
 @query
 def schema_columns(spark, sf):
     matches, schemas = col_ops.schema_columns(synthetic.answer_columns(spark), _columns(spark, sf))

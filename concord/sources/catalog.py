@@ -78,6 +78,33 @@ def keys_from_constraints(constraints: DataFrame, key_usage: DataFrame) -> DataF
     )
 
 
+def fks_from_system_tables(fks: DataFrame, fk_columns: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Foreign key columns by name from the system tables of a database.
+
+    ``fks`` (submission_id, fk_name, fk_id, parent_id, ref_id), ``fk_columns`` (submission_id,
+    fk_id, ordinal, parent_column_id, ref_column_id), ``tables`` (submission_id, table_id, name),
+    ``columns`` (submission_id, table_id, column_id, name).
+    """
+    def table(side: str) -> DataFrame:
+        return tables.filter(~names.is_system("name")).select("submission_id", F.col("table_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_table"))
+
+    def column(side: str, out: str) -> DataFrame:
+        return columns.select("submission_id", F.col("table_id").alias(f"{side}_id"), F.col("column_id").alias(f"{side}_column_id"), F.col("name").alias(out))
+
+    return (
+        fks.join(table("parent"), ["submission_id", "parent_id"]).join(table("ref"), ["submission_id", "ref_id"])
+        .join(fk_columns, ["submission_id", "fk_id"])
+        .join(column("parent", "fk_column"), ["submission_id", "parent_id", "parent_column_id"])
+        .join(column("ref", "pk_column"), ["submission_id", "ref_id", "ref_column_id"])
+        .select("submission_id", "fk_name", "parent_table", "fk_column", "ref_table", "pk_column", "ordinal")
+    )
+
+
+def relationships(fks: DataFrame) -> DataFrame:
+    """Distinct (parent, referenced) tables per submission."""
+    return fks.select("submission_id", "parent_table", "ref_table").distinct()
+
+
 def only_base_tables(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Columns of tables listed as base tables."""
     base = tables.filter(F.col("table_type") == "BASE TABLE").select("submission_id", "original_name")
