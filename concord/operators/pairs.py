@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity, texts, vocab
-from concord.session import literal_rows
+from concord.session import literal_rows, settle
 
 # Answer names carried along as one literal list; a longer answer goes through a join instead.
 ANSWER_LIST_LIMIT = 2_000
 
+# A table of at most this many rows may be sent to every task; rows here are under a hundred bytes or so.
+BROADCAST_ROWS = 100_000
+
 # Characters of a canonical name, rarest first.
 RARE_FIRST = "0123456789zqjxkwvfbgypmdhucltsroniae_ "
 
@@ -30,9 +33,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def join_back(many: DataFrame, few: DataFrame, keys: list[str], salt_from: str = "submission_id", salts: int = 16) -> DataFrame:
     """Rows joined to what was worked out once per distinct key.
 
-    A key that a third of all rows share is spread over ``salts`` tasks; the worked-out side is
-    repeated that often, which is little as it holds distinct keys only.
+    ``few`` is a settled table, so counting it is cheap: up to ``BROADCAST_ROWS`` it is sent to
+    every task.  Beyond that both sides are shuffled, with the rows of a key that very many
+    share spread over ``salts`` tasks and ``few``, which holds distinct keys, repeated as often.
     """
+    if few.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), keys)
     salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
     return many.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
@@ -66,7 +72,9 @@ def gram_edges(left: DataFrame, right: DataFrame, by: list[str], left_key: str,
     b = spread(right.select(*by, right_key, "text"), *by, right_key).withColumn("_grams", grams).select(
         *by, right_key, texts.gram_norm(F.col("_grams")).alias("_nb"), F.explode_outer("_grams").alias("_gram")
     )
-    dots = b.join(a, [*by, "_gram"]).groupBy(*by, right_key, "_nb", left_key).agg(F.sum("_n").alias("_dot"))
+    # inside a pair of tables no gram is common enough to matter; over all texts some are in every one
+    met = b.join(a, [*by, "_gram"]) if by else join_back(b, settle(a), ["_gram"], salt_from=right_key)
+    dots = met.groupBy(*by, right_key, "_nb", left_key).agg(F.sum("_n").alias("_dot"))
     return dots.join(norms, [*by, left_key]).select(
         *by, left_key, right_key, (F.col("_dot") / F.sqrt((F.col("_na") * F.col("_nb")).cast("double"))).alias("cosine")
     )

@@ -58,7 +58,8 @@ def matching_columns(answer: DataFrame, content: DataFrame, hits: DataFrame) ->
     a = answer.select(F.col("cleaned_name").alias("ans_table"), F.col("ordinal").alias("ans_ordinal"),
                       F.col("column_name").alias("ans_name"), F.col("data_type").alias("ans_type"))
     edges = (
-        content.join(hits, content.column_name == hits.stu_name).join(a, "ans_name")
+        pairs.join_back(content, settle(hits.withColumnRenamed("stu_name", "column_name")), ["column_name"], salt_from="shape")
+        .join(a, "ans_name")
         .filter(typerules.loose_type("ans_type", "data_type"))
         .select("shape", "ans_table", "ans_ordinal", F.col("ordinal").alias("stu_ordinal"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from concord.functions import names, similarity, texts, typerules, vocab
 from concord.operators import assign, counts, keys, lookup, pairs, records, scores, tables, views
 from concord.operators import columns as col_ops
-from concord.plans.pipeline import star_batch
+from concord.plans.batch import star_batch
 from concord.session import dictionary, local_table, scratch_dir, settle
 from concord.sources import catalog, store, synthetic
 from concord.sources.tables import read_table
@@ -34,7 +34,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return tempfile.mktemp(prefix=f"{name}-", dir=scratch_dir(spark).removeprefix("file:"))
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +329,7 @@ def table_texts(spark, sf):
     """Short description of every distinct student table."""
     cols = _columns(spark, sf)
     shapes = settle(tables.table_shapes(cols))
-    first = tables.first_columns(tables.shape_columns(cols, shapes), "shape")
+    first = settle(tables.first_columns(tables.shape_columns(cols, shapes), "shape"))
     return pairs.join_back(shapes, first, ["shape"]).select(
         "submission_id", "cleaned_name", texts.table_text(F.col("cleaned_name"), F.col("first_columns")).alias("text"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from concord.functions import vocab
 from concord.operators import columns as col_ops
 from concord.operators import counts, records, scores, tables, views
-from concord.plans.pipeline import Batch
+from concord.plans.batch import Batch
 from concord.session import local_table
 from concord.sources import catalog, synthetic
 from tests.test_similarity import cosine
