@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import names, similarity, texts, typerules, vocab
 from concord.operators import assign, pairs
-from concord.operators.tables import TABLE, shape_columns, table_shapes
+from concord.operators.tables import shape_columns
 from concord.session import settle
 
 PAIR = ["ans_table", "stu_table", "shape"]
@@ -165,9 +165,9 @@ def column_pairs(answer: DataFrame, columns: DataFrame, mapping: DataFrame, meth
 
     Solved once per distinct (answer table, table name, shape), then joined to the mapping.
     """
-    shapes = table_shapes(columns)
-    content = settle(shape_columns(columns, shapes))
     mapped = mapping.select("submission_id", "ans_table", "stu_table", "shape")
+    shapes = mapped.filter("stu_table is not null").withColumnRenamed("stu_table", "cleaned_name")
+    content = settle(shape_columns(columns, shapes))
     solved = settle(solve_pairs(answer, content, mapped.filter("stu_table is not null"), method))
     known = pairs.join_back(mapped.filter("stu_table is not null"), solved, PAIR)
     missing = mapped.filter("stu_table is null").join(

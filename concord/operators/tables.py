@@ -69,14 +69,14 @@ def matching_columns(answer: DataFrame, content: DataFrame, hits: DataFrame) ->
     return taken.groupBy("shape", "ans_table").agg(F.count(F.lit(1)).alias("n_cols"))
 
 
-def table_edges(answer: DataFrame, columns: DataFrame, plain: bool = False) -> DataFrame:
+def table_edges(answer: DataFrame, columns: DataFrame, plain: bool = False, shapes: DataFrame | None = None) -> DataFrame:
     """Per submission, the table pairs with a common column: how many, and how similar the tables are.
 
     Columns count by fuzzy names and tables compare by the cosine of their texts, or with
     ``plain`` by word overlap of plainly canonical names alone.  Worked out once per distinct
     (table name, shape) and joined back.
     """
-    shapes = settle(table_shapes(columns))
+    shapes = settle(table_shapes(columns)) if shapes is None else shapes
     content = settle(shape_columns(columns, shapes))
     named = shapes.select("cleaned_name", "shape").distinct()
     if plain:
@@ -104,10 +104,15 @@ def complete_map(matched: DataFrame, answer: DataFrame, submissions: DataFrame)
 
 
 def table_map(
-    answer: DataFrame, columns: DataFrame, submissions: DataFrame, min_cosine: float = vocab.TABLE_MIN_COSINE, plain: bool = False
+    answer: DataFrame,
+    columns: DataFrame,
+    submissions: DataFrame,
+    min_cosine: float = vocab.TABLE_MIN_COSINE,
+    plain: bool = False,
+    shapes: DataFrame | None = None,
 ) -> DataFrame:
     """One-to-one table mapping by common columns first, cosine second; pairs under ``min_cosine`` are dropped."""
-    edges = table_edges(answer, columns, plain).withColumn(
+    edges = table_edges(answer, columns, plain, shapes).withColumn(
         "weight", (F.lit(PAIR_BONUS) + F.col("n_cols") * 1000) * 1000000 + pairs.micro(F.col("cosine"))
     )
     chosen = assign.optimal(edges, ["submission_id"], "ans_table", "stu_table", "weight")

@@ -46,9 +46,14 @@ class Batch:
         setattr(self, name, value)
         return value
 
+    @cached_property
+    def shapes(self) -> DataFrame:
+        """Every student table with its original name and shape."""
+        return settle(tables.table_shapes(self.columns))
+
     @cached_property
     def table_map(self) -> DataFrame:
-        return settle(tables.table_map(self.answer_columns, self.columns, self.submissions))
+        return settle(tables.table_map(self.answer_columns, self.columns, self.submissions, shapes=self.shapes))
 
     @cached_property
     def column_pairs(self) -> DataFrame:
@@ -110,8 +115,8 @@ class Batch:
     @cached_property
     def student_keys(self) -> DataFrame:
         """Declared keys attached to their tables by name, with the cleaned table name."""
-        named = self.columns.select("submission_id", "original_name", F.col("cleaned_name").alias("stu_table")).distinct()
-        found, _ = catalog.attach_by_name(self.columns, self.keys)
+        named = self.shapes.select("submission_id", "original_name", F.col("cleaned_name").alias("stu_table"))
+        found, _ = catalog.attach_by_name(self.shapes, self.keys)
         return settle(found.drop("original_name").withColumnRenamed("table_name", "original_name").join(
             named, ["submission_id", "original_name"]).select("submission_id", "stu_table", "column_name", "position"))
 
@@ -126,9 +131,8 @@ class Batch:
     @cached_property
     def table_results(self) -> DataFrame:
         """Per mapped table of the schema score: columns, key and references."""
-        shapes = settle(tables.table_shapes(self.columns))
-        content = tables.shape_columns(self.columns, shapes)
-        mapped = settle(self.text_map.join(shapes.select("submission_id", F.col("cleaned_name").alias("stu_table"), "shape"), ["submission_id", "stu_table"]))
+        content = tables.shape_columns(self.columns, self.shapes)
+        mapped = settle(self.text_map.join(self.shapes.select("submission_id", F.col("cleaned_name").alias("stu_table"), "shape"), ["submission_id", "stu_table"]))
         by = ["ans_table", "stu_table", "shape"]
         wanted = mapped.select(*by).distinct()
         left = wanted.join(col_ops.answer_column_texts(self.answer_columns), "ans_table")

@@ -437,7 +437,7 @@ def unmapped_tables(spark, sf):
     b = star_batch(spark, sf)
     m = b.table_map
     answer_side = m.filter("stu_table is null").select("submission_id", F.col("ans_table").alias("table_name"), F.lit("answer").alias("side"))
-    own = b.columns.select("submission_id", F.col("cleaned_name").alias("table_name")).dropDuplicates()
+    own = b.shapes.select("submission_id", F.col("cleaned_name").alias("table_name"))
     used = m.filter("stu_table is not null").select("submission_id", F.col("stu_table").alias("table_name"))
     return answer_side.unionByName(own.join(used, ["submission_id", "table_name"], "left_anti").withColumn("side", F.lit("student")))
 
@@ -564,7 +564,7 @@ def pk_fk_check(spark, sf):
     """Key and reference equality of tables with the same cleaned name."""
     b = star_batch(spark, sf)
     answer = b.answer_columns.select(F.col("cleaned_name").alias("ans_table")).distinct()
-    mapped = b.columns.select("submission_id", F.col("cleaned_name").alias("stu_table")).distinct().join(
+    mapped = b.shapes.select("submission_id", F.col("cleaned_name").alias("stu_table")).join(
         answer, F.col("stu_table") == F.col("ans_table"))
     mapped = settle(mapped)
     pk = keys.pk_equal(b.answer_keys.withColumnRenamed("cleaned_name", "ans_table"), b.student_keys, mapped)
@@ -593,8 +593,7 @@ def _plain_checks(spark, sf):
     """Count checks over tables of the same cleaned name, in place of a table mapping."""
     b = star_batch(spark, sf)
     answer = b.answer_columns.select("original_name", F.col("cleaned_name").alias("ans_table")).distinct()
-    own = b.columns.groupBy("submission_id", "cleaned_name").agg(F.min("original_name").alias("original_name"))
-    matched = own.select("submission_id", F.col("cleaned_name").alias("ans_table"), F.col("cleaned_name").alias("stu_table"), "original_name").join(
+    matched = b.shapes.select("submission_id", F.col("cleaned_name").alias("ans_table"), F.col("cleaned_name").alias("stu_table"), "original_name").join(
         answer.select("ans_table"), "ans_table", "left_semi")
     mapping = tables.complete_map(matched, b.answer_columns, b.submissions)
     by_table = b.answer_counts.join(answer, "original_name")

@@ -172,3 +172,13 @@ def test_catalog_statistics_of_the_star(spark):
     b = copies_of_the_answer(spark, ("s1",))
     row = catalog.statistics(b.columns, b.keys, b.fks).first()
     assert (row.tables, row["columns"], row.tables_with_pk, row.tables_with_fk, row.relationships) == (8, 43, 8, 5, 7)
+
+
+def test_joins_beyond_the_size_check_give_the_same(spark, monkeypatch):
+    from concord.operators import pairs
+
+    small = copies_of_the_answer(spark, ("s1", "s2")).column_pairs
+    want = sorted(map(str, small.collect()))
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", -1)
+    large = copies_of_the_answer(spark, ("s1", "s2")).column_pairs
+    assert sorted(map(str, large.collect())) == want
