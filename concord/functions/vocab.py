@@ -115,3 +115,63 @@ SUMMARY_BUSINESS_WRONG = "Nghiệp vụ sai"
 SUMMARY_DIFFERENT = "Chênh lệch"
 TABLE_COMPLETE = "ĐỦ"
 TABLE_INCOMPLETE = "THIẾU"
+
+# Column headings of the report files.
+SUMMARY_HEADINGS = {
+    "submission_id": "MSSV",
+    "column_ratio": "Tỷ lệ cột đúng",
+    "fk_ratio": "Tỷ lệ khóa ngoại đúng",
+    "data_ratio": "Tỷ lệ nhập dữ liệu đúng",
+    "business_ratio": "Tỷ lệ nghiệp vụ đúng",
+    "view_ratio": "Tỷ lệ view đúng",
+    "mark_a1": "Điểm A1",
+    "mark_a2": "Điểm A2",
+    "mark_a3": "Điểm A3",
+    "mark_b": "Điểm B",
+    "mark_c": "Điểm C",
+    "total": "Tổng điểm",
+}
+COUNT_HEADINGS = {
+    "submission_id": "MSSV",
+    "ans_table": "Tên bảng đáp án",
+    "original_name": "Tên bảng sinh viên",
+    "answer_count": "Số dòng đáp án",
+    "student_count": "Số dòng sinh viên",
+    "difference": "Chênh lệch",
+    "data_ok": "Đã nhập đúng dữ liệu",
+    "rule_ok": "Đã nhập đúng nghiệp vụ",
+    "business_table": "Là bảng nghiệp vụ",
+    "business_points": "Điểm nghiệp vụ",
+    "status": "Trạng thái",
+    "note": "Ghi chú",
+}
+COUNT_SUMMARY_HEADINGS = {
+    "submission_id": "MSSV",
+    "ans_table": "Tên bảng đáp án",
+    "original_name": "Tên bảng sinh viên",
+    "answer_count": "Số dòng đáp án",
+    "student_count": "Số dòng sinh viên",
+    "difference": "Chênh lệch",
+    "rows_match": "Số dòng khớp",
+    "business_done": "Đã nhập đúng nghiệp vụ",
+    "business_table": "Là bảng nghiệp vụ",
+    "business_points": "Điểm nghiệp vụ",
+    "data_status": "Trạng thái data",
+    "note": "Ghi chú",
+}
+DELTA_HEADINGS = {
+    "submission_id": "MSSV",
+    "table_name": "Tên bảng",
+    "answer_count": "Số dòng đáp án",
+    "student_count": "Số dòng sinh viên",
+    "expected_increase": "Tăng mong đợi",
+    "actual_increase": "Tăng thực tế",
+    "correct": "Số dòng khớp",
+    "all_correct": "Đã nhập đúng nghiệp vụ",
+    "points": "Điểm",
+    "note": "Ghi chú",
+}
+PAIR_HEADINGS = {
+    "ans_table": "AnsTbl", "ans_col": "AnsCol", "ans_type": "AnsType", "stu_table": "StuTbl",
+    "stu_col": "StuCol", "stu_type": "StuType", "score": "Cos", "match": "Match",
+}

@@ -50,6 +50,11 @@ def resolve_ids(keys: DataFrame, tables: DataFrame, columns: DataFrame) -> tuple
     return joined.filter("column_id is not null"), joined.filter("column_id is null").withColumn("missing", reason)
 
 
+def headed(df: DataFrame, headings: dict[str, str]) -> DataFrame:
+    """The columns of a report file in order, under their headings."""
+    return df.select(*[F.col(c).alias(h) for c, h in headings.items()])
+
+
 def write_report(df: DataFrame, path: str, per_submission: bool = False) -> None:
     """CSV with a header row: one report for the batch, or a folder per submission (small batches)."""
     writer = df.write.mode("overwrite").option("header", True)

@@ -84,3 +84,13 @@ def test_intake_grades_only_what_is_new_and_equals_the_batch(spark, tmp_path):
     intake.grade_arrivals(spark, folder, ROWS, grade, out, state).awaitTermination()
     assert graded == [["1", "2"], ["2", "3"]]
     assert {(r.submission_id, r.n) for r in store.read_store(spark, out).collect()} == {("1", 3), ("2", 6), ("3", 7)}
+
+
+def test_report_headings(spark):
+    from concord.functions import vocab
+    from concord.operators import scores
+
+    df = spark.createDataFrame([("1", 1.0, 0.5, 1.0, 0.0, 1.0)],
+                               "submission_id string, column_ratio double, fk_ratio double, data_ratio double, business_ratio double, view_ratio double")
+    row = store.headed(scores.marks(df), vocab.SUMMARY_HEADINGS).first().asDict()
+    assert list(row)[0] == "MSSV" and row["Tổng điểm"] == 8.0 and row["Điểm A2"] == 1.0
