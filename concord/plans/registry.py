@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from concord.functions import names, similarity, texts, typerules, vocab
 from concord.operators import assign, counts, keys, lookup, pairs, records, scores, tables, views
 from concord.operators import columns as col_ops
-from concord.plans.batch import star_batch
+from concord.plans.batch import Batch, star_batch
 from concord.session import dictionary, local_table, scratch_dir, settle
 from concord.sources import catalog, store, synthetic
 from concord.sources.tables import read_table
@@ -807,3 +807,22 @@ def incremental_intake(spark, sf):
 
     intake.grade_arrivals(spark, f"{sf}/events*.parquet", schema, grade, out, checkpoint).awaitTermination()
     return store.read_store(spark, out).select("submission_id", "events", "errors")
+
+
+@query
+def catalog_intake(spark, sf):
+    """Whole catalogs graded as their files arrive: the column ratio of every submission."""
+    folder, out, checkpoint = (_scratch(spark, n) for n in ("catalogs", "grades", "grades-state"))
+    raw = synthetic.raw_columns(spark, sf)
+    raw.repartition(4, "submission_id").write.parquet(folder)
+
+    def grade(arrived):
+        arrived = settle(arrived)
+        b = Batch(
+            submissions=arrived.select("submission_id").distinct(), answer_columns=synthetic.answer_columns(arrived.sparkSession),
+            columns=catalog.prepare_columns(arrived),
+        )
+        return scores.match_ratio(b.column_pairs, "match", "column_ratio")
+
+    intake.grade_arrivals(spark, folder, raw.schema, grade, out, checkpoint, files_per_batch=2).awaitTermination()
+    return store.read_store(spark, out).select("submission_id", F.round("column_ratio", 6).alias("column_ratio"))
