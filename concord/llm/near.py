@@ -5,9 +5,10 @@ prefix filter).  Each of ORDERS orders puts members that a sketch of the whole c
 ties by its own hash.  The first order's prefixes generate candidates; prefixes under the others are then intersected,
 and what is left is verified on the whole sets.
 
-Equal sets are one class.  In a prefix's bucket every class is first held against the bucket's most typical class, so
-that a large group of near copies gives as many pairs as it has members.  Classes of a bucket that are then still in
-different components are compared pair by pair, so that no link between components is lost.
+Equal sets are one class.  In a prefix's bucket every class is first held against one hub, the bucket's most typical
+class, so that a large group of near copies gives as many pairs as it has members.  Links that the hubs don't show are
+then found exactly: near a hub by what classes share of their differences from it (see ``apart_from_hub``), far from
+it by pairs of the bucket that are still in different components.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concord.llm.components import components
 from concord.llm.words import Words, long_ints, mixed, slices, words_of
@@ -28,6 +30,8 @@ GRAM, PERCENT, ORDERS = 4, 85, 3
 COUNTERS = 1 << 18
 #: Counters in one row of a sketch on its way, and partial sketches that one task adds up.
 CHUNK, FAN_IN = 1 << 12, 64
+#: Share in percent from which a class counts as near its hub.
+NEAR = 50
 #: 48 bits name a member of a set.
 _NAME = np.uint64((1 << 48) - 1)
 
@@ -159,11 +163,16 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.astype(np.int64)))
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar: prefixes of all orders must meet, then whole sets."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) of classes with both sides' sets as a_... and b_... columns."""
     columns = [c for c in sets.columns if c != "class"]
     side = lambda s: sets.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets are similar: prefixes of all orders must meet, then whole sets."""
+    both = overlaps(pairs, sets)
     for order in range(1, ORDERS):
         both = both.filter(F.arrays_overlap(f"a_prefix{order}", f"b_prefix{order}"))
     common = F.size(F.array_intersect("a_members", "b_members"))
@@ -171,6 +180,35 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     return both.filter(100 * common >= percent * union).select("a", "b")
 
 
+def compatible(x: str, y: str, percent: int):
+    """Sizes that allow a link."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def apart_from_hub(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes near one hub that may be linked although the hub doesn't join them.
+
+    ``held`` has (class, hub, size, linked, root, missing, extra): the hub's members that the class lacks, and the
+    class's that the hub lacks.  Let s be the number of differences that a and b share, and t = percent / 100.  Then
+    they link only if (1 + t) * s >= d(a) + d(b) - (1 - t) * |hub| with d = missing + t * extra, and b is not linked to
+    the hub just if d(b) > (1 - t) * |hub|.  So a and an unlinked b must share more than d(a) / (1 + t) differences, and
+    the prefix filter holds for them: some difference of b is among the first of a's, rare ones first.
+    """
+    rows = held.select("class", "hub", "size", "linked", "root", (F.size("missing") + F.size("extra")).alias("n"),
+                       F.floor((100 * F.size("missing") + percent * F.size("extra")) / F.lit(100 + percent)).alias("shared"),
+                       F.explode(F.concat("missing", "extra")).alias("member"))
+    rows = settle(rows)
+    often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("x"), F.max("root").alias("y"),
+                                              F.min("linked").alias("all_linked")).filter("often > 1")
+    place = F.row_number().over(Window.partitionBy("hub", "class").orderBy(F.coalesce("often", F.lit(1)), "member"))
+    placed = rows.join(often, ["hub", "member"], "left").withColumn("place", place)
+    met = settle(placed.filter((F.col("x") != F.col("y")) & ~F.col("all_linked")))
+    x, y = met.filter(F.col("place") <= F.col("n") - F.col("shared")).alias("x"), met.filter(~F.col("linked")).alias("y")
+    return x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root"))
+                  & compatible("x.size", "y.size", percent)).select(
+        F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, to find the row again).
 
@@ -190,27 +228,48 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     prefix = text.select("text").mapInArrow(_prefix_rows(gram, percent, sketch), "member bigint, class bigint, size bigint, typical bigint")
     # Buckets of at least two classes, each with its most typical class.
     hubs = prefix.groupBy("member").agg(
-        F.min("class").alias("least"), F.max("class").alias("most"), F.max_by("class", "typical").alias("hub")
-    ).filter(F.col("least") != F.col("most")).select("member", "hub")
+        F.min("class").alias("least"), F.max("class").alias("most"), F.max_by("class", "typical").alias("hub"),
+        F.max_by("size", "typical").alias("hub_size")).filter(F.col("least") != F.col("most")).select("member", "hub", "hub_size")
     members = settle(prefix.select("member", "class", "size").join(hubs.hint("shuffle_hash"), "member").distinct())
-    asked = settle(members.select("class").distinct().join(classes, "class"))
-    known = settle(text.join(asked.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(
-        _set_rows(gram, percent, sketch), "class bigint, members array<bigint>, " + ", ".join(f"prefix{o} array<bigint>" for o in range(1, ORDERS))
-    ).dropDuplicates(["class"]))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    to_hub = members.filter(F.col("class") != F.col("hub")).select(*pair("class", "hub")).distinct()
-    linked = settle(links(to_hub, known, percent))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        first = asked.join(classes, "class").select(F.col("first_id").alias("doc_id"))
+        return settle(text.join(first, "doc_id", "left_semi").select("text").mapInArrow(
+            _set_rows(gram, percent, sketch), "class bigint, members array<bigint>, " + ", ".join(f"prefix{o} array<bigint>" for o in range(1, ORDERS))
+        ).dropDuplicates(["class"]))
+
+    sides = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    # Every class against the hub of its bucket: how much they share, and in what they differ if it is half or more.
+    to_hub = settle(members.filter((F.col("class") != F.col("hub")) & compatible("size", "hub_size", percent)).select(
+        F.col("class").alias("a"), F.col("hub").alias("b"), "size").distinct())
+    known = sets(sides(to_hub))
+    common = F.size(F.array_intersect("a_members", "b_members"))
+    share = 100 * common / (F.size("a_members") + F.size("b_members") - common)
+    held = overlaps(to_hub, known).withColumn("share", share).withColumn("near", F.col("share") >= NEAR)
+    held = settle(held.select(
+        F.col("a").alias("class"), F.col("b").alias("hub"), "size", "share", (F.col("share") >= percent).alias("linked"),
+        F.when(F.col("near"), F.array_except("b_members", "a_members")).alias("missing"),
+        F.when(F.col("near"), F.array_except("a_members", "b_members")).alias("extra")))
+    linked = held.filter("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     root = components(linked)
-    # What the hubs have not joined: classes of one bucket that are in different components.
-    placed = members.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed_buckets = placed.groupBy("member").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("member")
-    open_ = settle(placed.join(mixed_buckets, "member").select("member", "class", "size", "root", "hub"))
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
-                   & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-                   & (F.col("x.class") != F.col("x.hub")) & (F.col("y.class") != F.col("y.hub"))
-                   ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    linked = settle(linked.unionByName(links(apart, known, percent)))
+    rooted = lambda df: df.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    near_hub = apart_from_hub(rooted(held.filter(F.col("share") >= NEAR)), percent)
+    # Classes that are far from their hub (or of another size) are compared with those of their bucket that are in
+    # other components.  By the triangle inequality of the distance 1 - share, one that is far has no link to one that
+    # is nearer than NEAR + 100 - percent.
+    placed = rooted(members).join(held.select("class", "hub", "share"), ["class", "hub"], "left").withColumn(
+        "far", F.coalesce(F.col("share") < NEAR, F.lit(True)))
+    open_ = placed.groupBy("member").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("far").alias("any_far")).filter(
+        "x != y and any_far").select("member")
+    placed = settle(placed.filter("class != hub").join(open_, "member").select("member", "class", "size", "root", "share", "far"))
+    x, y = placed.filter("far").alias("x"), placed.alias("y")
+    reach = F.col("x.share").isNull() | F.col("y.share").isNull() | (F.col("y.share") < NEAR + 100 - percent)
+    far = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root")) & reach
+                 & (~F.col("y.far") | (F.col("x.class") < F.col("y.class"))) & compatible("x.size", "y.size", percent)).select(
+        F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    apart = settle(far.unionByName(near_hub).distinct())
+    known = known.unionByName(sets(sides(apart).join(known.select("class"), "class", "left_anti")))
+    linked = linked.unionByName(links(apart, known, percent))
     root = components(linked)
     ends = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = ends.join(ends.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "component_id")
