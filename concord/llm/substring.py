@@ -156,15 +156,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     first = every.filter(F.col("n_words") >= window).groupBy("sequence", "n_words").agg(F.min("doc_id").alias("first_id"))
     first = settle(first)
     # Anchors that different word sequences share; copies of one text make none.
-    shared = text.mapInArrow(_anchors(size, False), "anchor bigint, sequence bigint").groupBy("anchor").agg(
-        F.min("sequence").alias("least"), F.max("sequence").alias("most")).filter(F.col("least") != F.col("most")).select("anchor")
+    shared = settle(text.mapInArrow(_anchors(size, False), "anchor bigint, sequence bigint").groupBy("anchor").agg(
+        F.min("sequence").alias("least"), F.max("sequence").alias("most")).filter(F.col("least") != F.col("most")).select("anchor"))
     places = text.mapInArrow(_anchors(size, True), "anchor bigint, doc_id bigint, sequence bigint, place int").join(
         shared.hint("shuffle_hash"), "anchor").groupBy("doc_id", "sequence").agg(F.collect_list("place").alias("places"))
     places = settle(places.join(first.select("sequence", F.col("first_id").alias("doc_id")), ["doc_id", "sequence"]))
     chosen = settle(text.join(places, "doc_id"))
     windows = chosen.mapInArrow(_windows(window), "window bigint, doc_id bigint, start int")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(
-        F.col("least") < F.col("most")).select("window", "least")
+    least = settle(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(
+        F.col("least") < F.col("most")).select("window", "least"))
     found = windows.join(least.hint("shuffle_hash"), "window").filter(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(
         F.collect_list("start").alias("starts"))
     cut = settle(chosen.drop("places").join(found, "doc_id").mapInArrow(
