@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +33,8 @@ COUNTERS = 1 << 18
 CHUNK, FAN_IN = 1 << 12, 64
 #: Share in percent from which a class counts as near its hub.
 NEAR = 50
+#: A set of so many members for each bucket in which it meets a hub is held against it.
+MEETS = 200
 #: 48 bits name a member of a set.
 _NAME = np.uint64((1 << 48) - 1)
 
@@ -142,19 +145,20 @@ def _prefix_rows(gram: int, percent: int, sketch):
     return run
 
 
-def _set_rows(gram: int, percent: int, sketch):
-    """(class, members, prefixes under the other orders) of whole texts."""
+def _list_rows(gram: int, percent: int, sketch, order: int | None):
+    """(class, list): whole sets, or their prefixes under one order, of texts whose class is the expected one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
         for batch in batches:
             for part in slices(batch):
                 rows, names = sets_of(words_of(part.column("text"), lower=True), gram)
                 sizes = np.bincount(rows, minlength=part.num_rows)
-                lists = [_lists(names, sizes)]
-                for order in range(1, ORDERS):
-                    at = prefixes(rows, names, sizes, counts, order, percent)
-                    lists.append(_lists(names[at], np.bincount(rows[at], minlength=part.num_rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(class_of(rows, names, sizes)), *lists], ["class", "members", *[f"prefix{o}" for o in range(1, ORDERS)]])
+                own = pa.array(class_of(rows, names, sizes))
+                found = _lists(names, sizes)
+                if order is not None:
+                    at = prefixes(rows, names, sizes, sketch.value, order, percent)
+                    found = _lists(names[at], np.bincount(rows[at], minlength=part.num_rows))
+                made = pa.RecordBatch.from_arrays([own, found], ["class", "list"])
+                yield made.filter(pc.equal(own, part.column("class")))
 
     return run
 
@@ -163,21 +167,20 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.astype(np.int64)))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) of classes with both sides' sets as a_... and b_... columns."""
-    columns = [c for c in sets.columns if c != "class"]
-    side = lambda s: sets.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+def both_lists(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) of classes with both sides' lists."""
+    side = lambda s: lists.select(F.col("class").alias(s), F.col("list").alias(f"{s}_list"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar: prefixes of all orders must meet, then whole sets."""
-    both = overlaps(pairs, sets)
-    for order in range(1, ORDERS):
-        both = both.filter(F.arrays_overlap(f"a_prefix{order}", f"b_prefix{order}"))
-    common = F.size(F.array_intersect("a_members", "b_members"))
-    union = F.size("a_members") + F.size("b_members") - common
-    return both.filter(100 * common >= percent * union).select("a", "b")
+def sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+
+
+def share():
+    """Jaccard similarity of both lists in percent.  A quotient of small whole numbers never rounds across a whole one."""
+    common = F.size(F.array_intersect("a_list", "b_list"))
+    return 100 * common / (F.size("a_list") + F.size("b_list") - common)
 
 
 def compatible(x: str, y: str, percent: int):
@@ -232,44 +235,49 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
         F.max_by("size", "typical").alias("hub_size")).filter(F.col("least") != F.col("most")).select("member", "hub", "hub_size")
     members = settle(prefix.select("member", "class", "size").join(hubs.hint("shuffle_hash"), "member").distinct())
 
-    def sets(asked: DataFrame) -> DataFrame:
-        first = asked.join(classes, "class").select(F.col("first_id").alias("doc_id"))
-        return settle(text.join(first, "doc_id", "left_semi").select("text").mapInArrow(
-            _set_rows(gram, percent, sketch), "class bigint, members array<bigint>, " + ", ".join(f"prefix{o} array<bigint>" for o in range(1, ORDERS))
-        ).dropDuplicates(["class"]))
-
-    sides = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    # Every class against the hub of its bucket: how much they share, and in what they differ if it is half or more.
-    to_hub = settle(members.filter((F.col("class") != F.col("hub")) & compatible("size", "hub_size", percent)).select(
-        F.col("class").alias("a"), F.col("hub").alias("b"), "size").distinct())
-    known = sets(sides(to_hub))
-    common = F.size(F.array_intersect("a_members", "b_members"))
-    share = 100 * common / (F.size("a_members") + F.size("b_members") - common)
-    held = overlaps(to_hub, known).withColumn("share", share).withColumn("near", F.col("share") >= NEAR)
+    # Texts of the classes that share a bucket with one of a fitting size; a class is read from its first document.
+    by_size = Window.partitionBy("member").orderBy("size")
+    fits = F.coalesce(compatible("size", F.lag("size").over(by_size), percent), F.lit(False)) | F.coalesce(
+        compatible("size", F.lead("size").over(by_size), percent), F.lit(False))
+    asked = members.withColumn("fits", fits).filter("fits").select("class").distinct()
+    texts = settle(text.join(asked.join(classes, "class").select("class", F.col("first_id").alias("doc_id")), "doc_id").select("class", "text"))
+
+    def lists(wanted: DataFrame, order: int | None) -> DataFrame:
+        return texts.join(wanted, "class", "left_semi").mapInArrow(
+            _list_rows(gram, percent, sketch, order), "class bigint, list array<bigint>").dropDuplicates(["class"])
+
+    # Classes against the hub of their bucket: how much they share, and in what they differ if it is half or more.
+    # Large sets that meet a hub in very few buckets are left to the pairs below.
+    to_hub = settle(members.filter((F.col("class") != F.col("hub")) & compatible("size", "hub_size", percent)).groupBy(
+        F.col("class").alias("a"), F.col("hub").alias("b"), "size").agg(F.count(F.lit(1)).alias("meets")).filter(
+        F.col("meets") * MEETS >= F.col("size")).drop("meets"))
+    held = both_lists(to_hub, lists(sides(to_hub), None)).withColumn("share", share())
+    near = F.col("share") >= NEAR
     held = settle(held.select(
         F.col("a").alias("class"), F.col("b").alias("hub"), "size", "share", (F.col("share") >= percent).alias("linked"),
-        F.when(F.col("near"), F.array_except("b_members", "a_members")).alias("missing"),
-        F.when(F.col("near"), F.array_except("a_members", "b_members")).alias("extra")))
+        F.when(near, F.array_except("b_list", "a_list")).alias("missing"), F.when(near, F.array_except("a_list", "b_list")).alias("extra")))
     linked = held.filter("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     root = components(linked)
     rooted = lambda df: df.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    near_hub = apart_from_hub(rooted(held.filter(F.col("share") >= NEAR)), percent)
-    # Classes that are far from their hub (or of another size) are compared with those of their bucket that are in
+    near_hub = apart_from_hub(rooted(held.filter(near)), percent)
+    # Classes that are far from their hub, or not held against it, are compared with those of their bucket that are in
     # other components.  By the triangle inequality of the distance 1 - share, one that is far has no link to one that
     # is nearer than NEAR + 100 - percent.
     placed = rooted(members).join(held.select("class", "hub", "share"), ["class", "hub"], "left").withColumn(
-        "far", F.coalesce(F.col("share") < NEAR, F.lit(True)))
+        "share", F.when(F.col("class") == F.col("hub"), 100.0).otherwise(F.col("share"))).withColumn("far", F.coalesce(F.col("share") < NEAR, F.lit(True)))
     open_ = placed.groupBy("member").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("far").alias("any_far")).filter(
         "x != y and any_far").select("member")
-    placed = settle(placed.filter("class != hub").join(open_, "member").select("member", "class", "size", "root", "share", "far"))
+    placed = settle(placed.join(open_, "member").select("member", "class", "size", "root", "share", "far"))
     x, y = placed.filter("far").alias("x"), placed.alias("y")
     reach = F.col("x.share").isNull() | F.col("y.share").isNull() | (F.col("y.share") < NEAR + 100 - percent)
     far = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root")) & reach
                  & (~F.col("y.far") | (F.col("x.class") < F.col("y.class"))) & compatible("x.size", "y.size", percent)).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    # Prefixes under all orders must meet before whole sets are compared.
     apart = settle(far.unionByName(near_hub).distinct())
-    known = known.unionByName(sets(sides(apart).join(known.select("class"), "class", "left_anti")))
-    linked = linked.unionByName(links(apart, known, percent))
+    for order in range(1, ORDERS):
+        apart = settle(both_lists(apart, lists(sides(apart), order)).filter(F.arrays_overlap("a_list", "b_list")).select("a", "b"))
+    linked = linked.unionByName(both_lists(apart, lists(sides(apart), None)).filter(share() >= percent).select("a", "b"))
     root = components(linked)
     ends = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = ends.join(ends.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "component_id")
