@@ -7,7 +7,7 @@ and what is left is verified on the whole sets.
 
 Equal sets are one class.  In a prefix's bucket every class is first held against one hub, the bucket's most typical
 class, so that a large group of near copies gives as many pairs as it has members.  Links that the hubs don't show are
-then found exactly: near a hub by what classes share of their differences from it (see ``apart_from_hub``), far from
+then found exactly: near a hub by what classes share of their differences from it (see ``may_link``), far from
 it by pairs of the bucket that are still in different components.
 """
 
@@ -188,27 +188,43 @@ def compatible(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def apart_from_hub(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes near one hub that may be linked although the hub doesn't join them.
+def differences(held: DataFrame, percent: int) -> DataFrame:
+    """One row for each class near a hub and each difference between them that others near the hub share.
 
-    ``held`` has (class, hub, size, linked, root, missing, extra): the hub's members that the class lacks, and the
-    class's that the hub lacks.  Let s be the number of differences that a and b share, and t = percent / 100.  Then
-    they link only if (1 + t) * s >= d(a) + d(b) - (1 - t) * |hub| with d = missing + t * extra, and b is not linked to
-    the hub just if d(b) > (1 - t) * |hub|.  So a and an unlinked b must share more than d(a) / (1 + t) differences, and
-    the prefix filter holds for them: some difference of b is among the first of a's, rare ones first.
+    ``held`` has (class, hub, size, linked, missing, extra): the hub's members that the class lacks, and the class's
+    that the hub lacks.  Columns: class, hub, member, size, linked, n differences, weight = 100 * missing + percent *
+    extra, hub_size, and the difference's place in the class's list, rare ones first.
     """
-    rows = held.select("class", "hub", "size", "linked", "root", (F.size("missing") + F.size("extra")).alias("n"),
-                       F.floor((100 * F.size("missing") + percent * F.size("extra")) / F.lit(100 + percent)).alias("shared"),
-                       F.explode(F.concat("missing", "extra")).alias("member"))
-    rows = settle(rows)
-    often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("x"), F.max("root").alias("y"),
-                                              F.min("linked").alias("all_linked")).filter("often > 1")
+    missing, extra = F.size("missing"), F.size("extra")
+    rows = settle(held.select("class", "hub", "size", "linked", (missing + extra).alias("n"), (100 * missing + percent * extra).alias("weight"),
+                              (F.col("size") - extra + missing).alias("hub_size"), F.explode(F.concat("missing", "extra")).alias("member")))
+    often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("linked").alias("all_linked")).filter("often > 1")
     place = F.row_number().over(Window.partitionBy("hub", "class").orderBy(F.coalesce("often", F.lit(1)), "member"))
     placed = rows.join(often, ["hub", "member"], "left").withColumn("place", place)
-    met = settle(placed.filter((F.col("x") != F.col("y")) & ~F.col("all_linked")))
-    x, y = met.filter(F.col("place") <= F.col("n") - F.col("shared")).alias("x"), met.filter(~F.col("linked")).alias("y")
+    return settle(placed.filter("often > 1 and not all_linked").drop("often", "all_linked"))
+
+
+def may_link(x: str, y: str, percent: int):
+    """Whether classes that first meet in this difference from a hub can be linked.
+
+    Let s be the number of differences that both share, and t = percent / 100.  They link only if (1 + t) * s >=
+    d(x) + d(y) - (1 - t) * |hub|, with d = missing + t * extra; and of their lists in one order, s is at most what
+    stands from the first shared difference on, in either.
+    """
+    need = F.col(f"{x}.weight") + F.col(f"{y}.weight") - (100 - percent) * F.col(f"{x}.hub_size")
+    rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place")) + 1
+    return ((100 + percent) * rest >= need) & compatible(f"{x}.size", f"{y}.size", percent)
+
+
+def apart_from_hub(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes near one hub, in different components (``root``), that may be linked nevertheless.
+
+    If x is linked to the hub and y is, too, they are in one component; so y is taken not to be.  Then d(y) > (1 - t) *
+    |hub|, hence x and y share differences (see ``may_link``) and meet in the first one.
+    """
+    x, y = met.alias("x"), met.filter("not linked").alias("y")
     return x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root"))
-                  & compatible("x.size", "y.size", percent)).select(
+                  & (F.col("x.linked") | (F.col("x.class") < F.col("y.class"))) & may_link("x", "y", percent)).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
@@ -259,7 +275,18 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     linked = held.filter("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     root = components(linked)
     rooted = lambda df: df.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    near_hub = apart_from_hub(rooted(held.filter(near)), percent)
+    # Others that a hub doesn't join may be near copies of one another: in each difference from the hub that they share,
+    # they are held against the one that differs least, which joins large groups by as many pairs as they have members.
+    met = differences(held.filter(near), percent)
+    second = met.filter("not linked").groupBy("hub", "member").agg(
+        F.min_by(F.struct("class", "size", "n", "place", "weight", "hub_size"), F.struct("weight", "class")).alias("y"))
+    x, y = met.filter("not linked").alias("x"), second.select("hub", "member", "y.*").alias("y")
+    again = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.member") == F.col("y.member")) & (F.col("x.class") != F.col("y.class"))
+                   & may_link("x", "y", percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    again = settle(again.distinct())
+    linked = settle(linked.unionByName(both_lists(again, lists(sides(again), None)).filter(share() >= percent).select("a", "b")))
+    root = components(linked)
+    near_hub = apart_from_hub(rooted(met), percent)
     # Classes that are far from their hub, or not held against it, are compared with those of their bucket that are in
     # other components.  By the triangle inequality of the distance 1 - share, one that is far has no link to one that
     # is nearer than NEAR + 100 - percent.
