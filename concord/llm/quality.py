@@ -142,15 +142,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
     A labeller is taken to vote more often on bad documents; chances stay within 0.001 and 0.999.
     """
-    n = patterns.shape[1]
-    prior, good, bad = 0.1, np.full(n, 0.01), np.full(n, 0.5)
+    p = np.array([0.02, 0.60, 0.95])[np.minimum(patterns.sum(axis=1), 2)]  # to begin with: by the number of votes
+    prior, good, bad = 0.0, np.zeros(0), np.zeros(0)
     for _ in range(rounds):
-        p = _posterior(patterns, prior, good, bad)
         in_bad, in_good = counts * p, counts * (1 - p)
         prior = float(np.clip((in_bad.sum() + 1) / (counts.sum() + 2), 0.001, 0.5))
         bad = np.clip((in_bad @ patterns + 1) / (in_bad.sum() + 2), 0.001, 0.999)
         good = np.clip((in_good @ patterns + 0.01) / (in_good.sum() + 2), 0.0005, 0.999)
         good = np.minimum(good, bad)
+        p = _posterior(patterns, prior, good, bad)
     return prior, good, bad
 
 
