@@ -232,19 +232,25 @@ def mix(t: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray]:
     of, depth, node, bit = spread(model.code, t.symbol[order])
     of = order[of]
     contexts = token_contexts(t)
-    chance = logit(np.clip(model.code[3], 1e-6, 1 - 1e-6)) if len(model.code[3]) else np.zeros(1)
-    run_class = np.where(last[of] >= 0, 1 + np.searchsorted(RUNS, run[of], "right") - 1, 0)
-    said = t.symbol[np.maximum(last[of], 0)]
-    first, nodes, bits, _ = model.code
-    there = np.minimum(first[said] + depth, max(len(nodes) - 1, 0))
-    follows = (last[of] >= 0) & (depth < first[said + 1] - first[said]) & (nodes[there] == node if len(nodes) else False)
+    chance = logit(np.clip(model.code[3], 1e-6, 1 - 1e-6)).astype(np.float32)
+    run_class = np.searchsorted(RUNS, run, "right")
     x = np.zeros((4, len(of)), np.float32)
-    x[0] = chance[node] if len(node) else 0
+    x[0] = chance[node]
     for k in range(CONTEXTS):
         x[1 + k] = model.tables[k][slots(contexts[k][of], node, SLOTS)]
-    x[3] = np.where(follows, np.where(bits[there] == 1, 1, -1) * TRUST[run_class], 0) if len(nodes) else 0
     gates = len(TRUST) * (len(DEPTHS) + 1)
-    gate = t.row[of] * gates + np.where(follows, run_class, 0) * (len(DEPTHS) + 1) + np.searchsorted(DEPTHS, depth, "right")
+    gate = t.row[of] * gates + np.searchsorted(DEPTHS, np.arange(depth.max(initial=0) + 1), "right")[depth]
+    # Bits of tokens after a known pair, as long as they agree with the token that followed it last time.
+    first, nodes, bits, _ = model.code
+    told = np.flatnonzero((last >= 0)[of])
+    token, said = of[told], t.symbol[last[of[told]]]
+    there = first[said] + depth[told]
+    inside = there < first[said + 1]
+    told, token, there = told[inside], token[inside], there[inside]
+    agree = nodes[there] == node[told]
+    told, token, there = told[agree], token[agree], there[agree]
+    x[3, told] = np.where(bits[there] == 1, 1, -1) * TRUST[run_class[token]]
+    gate[told] += run_class[token] * (len(DEPTHS) + 1)
     weights = np.tile(START, (n * gates, 1)).T.copy()
     curve = np.full((4, n * gates), INERTIA)
     stretch, stretch_curve = np.ones(n), np.full(n, INERTIA)
@@ -254,12 +260,13 @@ def mix(t: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray]:
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if a == b:
             continue
-        g, r, y, xs = gate[a:b], t.row[of[a:b]], bit[a:b], x[:, a:b]
-        inner = (weights[:, g] * xs).sum(axis=0)
-        z = np.clip(stretch[r] * inner + shift[r], -LIMIT, LIMIT)
-        out += np.bincount(r, -np.logaddexp(0, np.where(y == 1, -z, z)), n)
-        p = 1 / (1 + np.exp(-z))
-        error, flat = y - p, p * (1 - p)
+        g, r, one, xs = gate[a:b], t.row[of[a:b]], bit[a:b] == 1, x[:, a:b]
+        inner = sum(weights[k].astype(np.float32)[g] * xs[k] for k in range(4))
+        z = np.clip(stretch[r].astype(np.float32) * inner + shift[r].astype(np.float32), -LIMIT, LIMIT)
+        against = np.exp(np.where(one, -z, z))
+        out -= np.bincount(r, np.log(1 + against.astype(np.float64)), n)
+        wrong = against / (1 + against)
+        error, flat = np.where(one, wrong, -wrong), wrong * (1 - wrong)
         for k in range(4):
             curve[k] += np.bincount(g, flat * xs[k] ** 2, n * gates)
             weights[k] += PACE * np.bincount(g, error * xs[k], n * gates) / curve[k]
@@ -342,12 +349,12 @@ def _tables(text: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 contexts = token_contexts(t)
                 of, _, node, bit = spread(sent.value.code, t.symbol)
                 for k in range(CONTEXTS):
-                    np.add.at(own[k], slots(contexts[k][of], node, SLOTS) * 2 + bit, 1)
+                    own[k] += np.bincount(slots(contexts[k][of], node, SLOTS) * 2 + bit, minlength=sizes[k]).astype(np.uint32)
                 word = np.delete(t.symbol, t.first[1:] - 1) == sent.value.rare
                 _, at, _ = distinct(np.delete(t.hash, t.first[1:] - 1)[word])
                 _, _, bit, at = Letters.bits(w, np.flatnonzero(word)[at], sent.value)
                 for k in range(LETTER_CONTEXTS):
-                    np.add.at(own[CONTEXTS + k], at[k] * 2 + bit, 1)
+                    own[CONTEXTS + k] += np.bincount(at[k] * 2 + bit, minlength=sizes[CONTEXTS + k]).astype(np.uint32)
         if any_rows:
             rows = np.concatenate(own).reshape(-1, CHUNK)
             for k, row in enumerate(rows):
