@@ -251,29 +251,38 @@ def mix(t: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray]:
     told, token, there = told[agree], token[agree], there[agree]
     x[3, told] = np.where(bits[there] == 1, 1, -1) * TRUST[run_class[token]]
     gate[told] += run_class[token] * (len(DEPTHS) + 1)
+    # Within a block, bits of one gate and hence of one row stand together, so that sums are sums of stretches.
+    key = block[of] * (n * gates) + gate
+    # Two bytes are sorted by counting, which most slices allow.
+    ranked = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 1 << 16 else key, kind="stable")
+    gate, sign, x = gate[ranked], np.where(bit[ranked] == 1, np.float32(1), np.float32(-1)), x[:, ranked]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(block[of]))]) if len(of) else np.zeros(1, np.int64)
     weights = np.tile(START, (n * gates, 1)).T.copy()
     curve = np.full((4, n * gates), INERTIA)
     stretch, stretch_curve = np.ones(n), np.full(n, INERTIA)
     shift, shift_curve = np.zeros(n), np.full(n, INERTIA)
     out = np.zeros(n)
-    edges = np.searchsorted(block[of], np.arange(block.max(initial=-1) + 2)) if len(of) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if a == b:
             continue
-        g, r, one, xs = gate[a:b], t.row[of[a:b]], bit[a:b] == 1, x[:, a:b]
-        inner = sum(weights[k].astype(np.float32)[g] * xs[k] for k in range(4))
-        z = np.clip(stretch[r].astype(np.float32) * inner + shift[r].astype(np.float32), -LIMIT, LIMIT)
-        against = np.exp(np.where(one, -z, z))
-        out -= np.bincount(r, np.log(1 + against.astype(np.float64)), n)
+        own, xs, s = gate[a:b], x[:, a:b], sign[a:b]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        g, size = own[begin], np.diff(np.append(begin, b - a))
+        r = g // gates
+        one_by_one = lambda v: np.repeat(v.astype(np.float32), size)  # noqa: E731, B023
+        sums = lambda v: np.add.reduceat(v, begin, axis=-1, dtype=np.float64)  # noqa: E731, B023
+        inner = sum(one_by_one(weights[k, g]) * xs[k] for k in range(4))
+        z = np.clip(one_by_one(stretch[r]) * inner + one_by_one(shift[r]), -LIMIT, LIMIT)
+        against = np.exp(-s * z)
+        out -= np.bincount(r, sums(np.log(1 + against)), n)
         wrong = against / (1 + against)
-        error, flat = np.where(one, wrong, -wrong), wrong * (1 - wrong)
-        for k in range(4):
-            curve[k] += np.bincount(g, flat * xs[k] ** 2, n * gates)
-            weights[k] += PACE * np.bincount(g, error * xs[k], n * gates) / curve[k]
-        stretch_curve += np.bincount(r, flat * inner**2, n)
-        stretch += PACE * np.bincount(r, error * inner, n) / stretch_curve
-        shift_curve += np.bincount(r, flat, n)
-        shift += PACE * np.bincount(r, error, n) / shift_curve
+        error, flat = s * wrong, wrong * (1 - wrong)
+        curve[:, g] += sums(flat * xs * xs)
+        weights[:, g] += PACE * sums(error * xs) / curve[:, g]
+        stretch_curve += np.bincount(r, sums(flat * inner * inner), n)
+        stretch += PACE * np.bincount(r, sums(error * inner), n) / stretch_curve
+        shift_curve += np.bincount(r, sums(flat), n)
+        shift += PACE * np.bincount(r, sums(error), n) / shift_curve
     # A rare token that the document foretells: one more bit says whether it is that one.
     asked = (t.symbol == model.rare) & (last >= 0) & (t.symbol[np.maximum(last, 0)] == model.rare)
     where = np.flatnonzero(asked)
