@@ -13,6 +13,7 @@ it by pairs of the bucket that are still in different components.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from concord.llm.components import components
 from concord.llm.words import Words, long_ints, mixed, slices, words_of
-from concord.session import settle
+from concord.session import scratch_dir, settle
 
 GRAM, PERCENT, ORDERS = 4, 85, 3
 #: Counters of the sketch for each order.  They only put members into an order, so they decide speed, not results.
@@ -167,6 +168,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.astype(np.int64)))
 
 
+def by_class(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder in buckets of ``class``, so that later joins on it move the other side only."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"concord_{uuid.uuid4().hex}"
+    df.repartition(buckets, "class").write.bucketBy(buckets, "class").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def both_lists(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) of classes with both sides' lists."""
     side = lambda s: lists.select(F.col("class").alias(s), F.col("list").alias(f"{s}_list"))
@@ -249,14 +259,16 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     hubs = prefix.groupBy("member").agg(
         F.min("class").alias("least"), F.max("class").alias("most"), F.max_by("class", "typical").alias("hub"),
         F.max_by("size", "typical").alias("hub_size")).filter(F.col("least") != F.col("most")).select("member", "hub", "hub_size")
-    members = settle(prefix.select("member", "class", "size").join(hubs.hint("shuffle_hash"), "member").distinct())
-
-    # Texts of the classes that share a bucket with one of a fitting size; a class is read from its first document.
     by_size = Window.partitionBy("member").orderBy("size")
     fits = F.coalesce(compatible("size", F.lag("size").over(by_size), percent), F.lit(False)) | F.coalesce(
         compatible("size", F.lead("size").over(by_size), percent), F.lit(False))
-    asked = members.withColumn("fits", fits).filter("fits").select("class").distinct()
-    texts = settle(text.join(asked.join(classes, "class").select("class", F.col("first_id").alias("doc_id")), "doc_id").select("class", "text"))
+    met = prefix.select("member", "class", "size").join(hubs.hint("shuffle_hash"), "member").distinct()
+    members = settle(met.withColumn("fits", fits))
+
+    # Texts of the classes that share a bucket with one of a fitting size; a class is read from its first document.
+    asked = members.filter("fits").select("class").distinct()
+    members = members.drop("fits")
+    texts = by_class(text.join(asked.join(classes, "class").select("class", F.col("first_id").alias("doc_id")), "doc_id").select("class", "text"))
 
     def lists(wanted: DataFrame, order: int | None) -> DataFrame:
         return texts.join(wanted, "class", "left_semi").mapInArrow(
