@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import exact, licences, mixing, near, packing, pieces, quality, substring, topk, toxicity
+from concord.llm import crosstok, exact, licences, mixing, near, packing, parsing, pieces, quality, substring, topk, toxicity, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,6 +87,22 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.mark(_table(spark, sf, "documents"))
 
 
+@query
+def op11_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.compare_with_next(_table(spark, sf, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return turns.audits(turns.damage(_table(spark, sf, "conversations")))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return crosstok.align(
+        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {
