@@ -216,9 +216,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     dealt = _plain(docs).withColumn("_hash", F.xxhash64("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
     made = settle(dealt.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(_along, _FIELDS))
     begin = made.filter("kind = 'first'")
-    # one number per range
-    ranges = begin.select("part").withColumn("_next", F.lead("part").over(Window.orderBy("part"))).crossJoin(
-        begin.agg(F.min("part").alias("_least"))).select("part", F.coalesce("_next", "_least").alias("_next"))
+    by_range = Window.orderBy("part")  # over one number per range
+    ranges = begin.select("part").select("part", F.coalesce(F.lead("part").over(by_range), F.first("part").over(by_range)).alias("_next"))
     ends = made.filter("kind = 'last'").select("part", "doc_id", "text", "fingerprint").join(ranges, "part").join(
         begin.select(F.col("part").alias("_next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")), "_next")
     across = ends.select("part", "doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(_across, _FIELDS)
