@@ -494,6 +494,10 @@ add("dense_cosine_topk", """SELECT vec_id, label, cosine, rank FROM (SELECT *, r
     FROM vec_edges) q WHERE rank <= 5""")
 add("vector_link", f"""SELECT vec_id, label, cosine FROM ({K.greedy('SELECT 0 AS g, * FROM vec_edges WHERE cosine > 0', ['g'], 'vec_id', 'label', ['cosine'], True)}) w
     JOIN vec_edges USING (vec_id, label)""")
+# of each label's vectors only the ten best can be in the optimum, as there are ten labels
+add("vector_assign", "SELECT * FROM (WITH " + K.optimal("""SELECT 0 AS g, vec_id, label, cosine FROM vec_edges WHERE cosine > 0
+    QUALIFY row_number() OVER (PARTITION BY label ORDER BY cosine DESC) <= 10""", ["g"], "vec_id", "label", K.micro("cosine"), 100).replace(
+        "AS (SELECT g, mask, max", "AS MATERIALIZED (SELECT g, mask, max") + " SELECT vec_id, label, cosine FROM best) q")
 add("table_edges", "SELECT submission_id, ans_table, stu_table, n_cols, round(cosine, 6) AS cosine FROM tab_edges")
 add("table_map", "SELECT submission_id, ans_table, stu_table, original_name, n_cols, round(cosine, 6) AS cosine FROM tab_map")
 add("table_map_text", "SELECT submission_id, ans_table, stu_table, round(cosine, 6) AS cosine FROM text_map")

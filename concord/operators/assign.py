@@ -3,6 +3,10 @@
 Every operator takes an edge table and returns the chosen edges.  Groups of at most
 ``cap`` edges are folded into one row and solved there; larger groups, however large,
 are solved by rounds of joins and aggregates with the same result.
+
+The optimum is made unique: equal totals are decided by the total of a 20-bit tie value per
+edge, equal totals of these by that of a second value.  So a large group may be thinned out
+and taken apart before it is solved, and the fold and the rounds agree.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.session import GREEDY_FOLD, OPTIMAL_FOLD, settle
@@ -83,21 +87,40 @@ def _greedy_rounds(edges, group, left, right, carried, descending) -> DataFrame:
         )
 
 
+# Bits of an edge's first and second tie value.
+TIE_BITS, SECOND_BITS = 20, 16
+
+
+def _tie(left: str, right: str) -> tuple[Column, Column]:
+    """An edge's two tie values, from the hexadecimal md5 of left|right."""
+    digest = F.md5(F.concat_ws("|", F.col(left).cast("string"), F.col(right).cast("string")))
+
+    def bits(start: int, digits: int) -> Column:
+        return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+
+    return bits(1, TIE_BITS // 4), bits(1 + TIE_BITS // 4, SECOND_BITS // 4)
+
+
 def _solver():
     """The per-group solver; nested so that tasks receive it by value."""
     import hashlib
     import heapq
 
-    def tie(a, b) -> int:
-        return int(hashlib.md5(f"{a}|{b}".encode()).hexdigest()[:5], 16)
+    digits, more, second_bits, tie_bits = TIE_BITS // 4, SECOND_BITS // 4, SECOND_BITS, TIE_BITS
+
+    def ties(a, b) -> tuple[int, int]:
+        digest = hashlib.md5(f"{a}|{b}".encode()).hexdigest()
+        return int(digest[:digits], 16), int(digest[digits : digits + more], 16)
 
     def solve(lefts, rights, weights) -> list[int]:
-        """Positions of the chosen edges: largest total weight, then largest total tie value."""
-        unit = (1 << 20) * (len(weights) + 1)
+        """Positions of the chosen edges: largest total weight, then largest totals of the tie values."""
+        step = (len(weights) + 1) << second_bits
+        unit = step * (len(weights) + 1) << tie_bits
         number = {r: j for j, r in enumerate(dict.fromkeys(rights))}
         arcs: dict = {}
         for pos, (a, b, w) in enumerate(zip(lefts, rights, weights)):
-            arcs.setdefault(a, []).append((number[b], -(int(w) * unit + tie(a, b)), pos))
+            first, second = ties(a, b)
+            arcs.setdefault(a, []).append((number[b], -(int(w) * unit + first * step + second), pos))
         owner: dict = {}
         price: dict = {}
         base: dict = {}
@@ -144,17 +167,67 @@ def optimal(
 ) -> DataFrame:
     """The set of edges with the largest total ``weight`` (BIGINT, above 0) that uses each end once.
 
-    Equal totals are decided by the larger total of a 20-bit md5 value per edge; groups over
-    ``cap`` edges reach the same total and decide equal totals by the order of their bids.
+    Equal totals are decided by the larger total of a 20-bit md5 value per edge, then of a second
+    such value; so there is one answer, whichever way a group is solved.  A group over ``cap`` edges
+    loses the edges that cannot be in the optimum and falls apart into connected components; only
+    components that are still over ``cap`` go through rounds.  (Open: where more than
+    ``OPTIMAL_FOLD`` edges of one component could each be in an optimum, say a block of over a
+    hundred ends a side with one weight, the bids decide equal totals.)
     """
     edges = settle(edges)
     small, large = split_by_size(edges, group, cap)
     chosen = _optimal_folded(small, group, left, right, weight)
+    if large is None:
+        return chosen
+    parts = _components(settle(_contenders(large, group, left, right, weight)), group, left, right)
+    by = [*group, "_part"]
+    small, large = split_by_size(parts, by, cap)
+    chosen = chosen.unionByName(_optimal_folded(small, by, left, right, weight).drop("_part"))
     if large is not None:
-        chosen = chosen.unionByName(_optimal_rounds(large, group, left, right, weight))
+        chosen = chosen.unionByName(_optimal_rounds(large, by, left, right, weight).drop("_part"))
     return chosen
 
 
+def _contenders(edges: DataFrame, group: list[str], left: str, right: str, weight: str, salts: int = 16) -> DataFrame:
+    """Edges that can be in the optimum: of each end of a group's smaller side its k best, k being the number of such ends.
+
+    The other ends of that side take at most k - 1 of these, so a worse edge could be exchanged for a free better one.
+    The best are ranked within ``salts`` shares of an end's edges first, so an end with very many edges is not one task.
+    """
+    def ends(side: str, out: str) -> DataFrame:
+        return edges.select(*group, side).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias(out))
+
+    sizes = ends(left, "_nl").join(ends(right, "_nr"), group)
+    first, second = _tie(left, right)
+    by_left = F.col("_nl") <= F.col("_nr")
+    marked = edges.join(sizes, group).withColumns({
+        "_k": F.least("_nl", "_nr"), "_end": F.when(by_left, F.col(left).cast("string")).otherwise(F.col(right).cast("string")),
+        "_t": first, "_u": second}).withColumn("_share", F.pmod("_t", F.lit(salts)))
+    for keys in ([*group, "_end", "_share"], [*group, "_end"]):
+        best = Window.partitionBy(*keys).orderBy(F.desc(weight), F.desc("_t"), F.desc("_u"), left, right)
+        marked = marked.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= F.col("_k"))
+    return marked.select(*edges.columns)
+
+
+def _components(edges: DataFrame, group: list[str], left: str, right: str, out: str = "_part") -> DataFrame:
+    """``edges`` with a column ``out``: the least left end that is connected with the edge.
+
+    Labels go over to the right ends and back, then each is replaced by its own label's label, until none changes.
+    """
+    edges = settle(edges)
+    labels = edges.select(*group, left, F.col(left).alias("_label")).distinct()
+    while True:
+        there = edges.join(labels, [*group, left]).groupBy(*group, right).agg(F.min("_label").alias("_label"))
+        here = settle(edges.join(there, [*group, right]).groupBy(*group, left).agg(F.min("_label").alias("_label")))
+        again = here.select(*group, F.col(left).alias("_label"), F.col("_label").alias("_least"))
+        before = labels.withColumnRenamed("_label", "_old")
+        moved = settle(here.join(again, [*group, "_label"]).join(before, [*group, left]).select(
+            *group, left, F.col("_least").alias("_label"), (F.col("_least") != F.col("_old")).alias("_moved")))
+        labels = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            return edges.join(labels.withColumnRenamed("_label", out), [*group, left])
+
+
 def _optimal_folded(edges, group, left, right, weight) -> DataFrame:
     carried = [left, right, weight, *[c for c in edges.columns if c not in (*group, left, right, weight)]]
     solve = _solver()
@@ -187,12 +260,15 @@ def _optimal_folded(edges, group, left, right, weight) -> DataFrame:
 
 
 def _optimal_rounds(edges, group, left, right, weight) -> DataFrame:
-    """Auction rounds with falling bid increments, all groups together.
+    """Auction rounds with falling bid increments, all groups together, then ties among what is left.
 
     Both ends bid: a left end for its right ends or for itself (staying single), a right end
     likewise with nothing to gain, which makes a complete assignment always possible.  With
     weights scaled by more than the number of bidders and a last increment of one, the
-    assignment is optimal.
+    assignment is optimal.  Its prices show which edges can be in any optimum: those that cost
+    their left end no more than the number of bidders against its best offer.  These few are
+    folded once more, component by component, for the tie values; only a component of more than
+    ``OPTIMAL_FOLD`` such edges keeps what the bids decided.
     """
     money = "decimal(38,0)"
     a, b = F.concat(F.lit("L"), F.col(left)), F.concat(F.lit("R"), F.col(right))
@@ -241,10 +317,18 @@ def _optimal_rounds(edges, group, left, right, weight) -> DataFrame:
         if step == 1:
             break
         step = max(1, step // 6)
-    picks = state.filter("owner like 'L%' and item like 'R%'").select(
-        *group, F.expr("substr(owner, 2)").alias("_l"), F.expr("substr(item, 2)").alias("_r")
-    )
-    return (
-        edges.withColumn("_l", F.col(left).cast("string")).withColumn("_r", F.col(right).cast("string"))
-        .join(picks, [*group, "_l", "_r"], "left_semi").drop("_l", "_r")
-    )
+    offers = arcs.join(state.drop("owner"), [*group, "item"]).select(
+        *group, "bidder", "item", (F.col("worth") - F.col("price")).alias("gain"))
+    best = offers.groupBy(*group, "bidder").agg(F.max("gain").alias("most"))
+    tight = offers.filter("bidder like 'L%' and item like 'R%'").join(best, [*group, "bidder"]).filter(
+        F.col("most") - F.col("gain") <= n).select(*group, F.expr("substr(bidder, 2)").alias("_l"), F.expr("substr(item, 2)").alias("_r"))
+    named = edges.withColumn("_l", F.col(left).cast("string")).withColumn("_r", F.col(right).cast("string"))
+    left_over = _components(named.join(tight, [*group, "_l", "_r"], "left_semi"), group, left, right, "_tight")
+    by = [*group, "_tight"]
+    small, large = split_by_size(left_over, by, OPTIMAL_FOLD)
+    chosen = _optimal_folded(small, by, left, right, weight)
+    if large is not None:
+        picks = state.filter("owner like 'L%' and item like 'R%'").select(
+            *group, F.expr("substr(owner, 2)").alias("_l"), F.expr("substr(item, 2)").alias("_r"))
+        chosen = chosen.unionByName(large.join(picks, [*group, "_l", "_r"], "left_semi"))
+    return chosen.drop("_l", "_r", "_tight")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import names, similarity
 from concord.operators import assign, pairs
-from concord.session import literal_rows, settle
+from concord.session import OPTIMAL_FOLD, literal_rows, settle
 
 
 def key_check(df: DataFrame, keys: list[str], table: str) -> DataFrame:
@@ -120,3 +120,10 @@ def vector_link(cosines: DataFrame, id_col: str, min_cosine: float) -> DataFrame
     """One vector per target and one target per vector, greedily by cosine."""
     edges = cosines.select(id_col, F.inline(F.filter("near", lambda n: n["cosine"] > min_cosine))).withColumn("_all", F.lit(0))
     return assign.greedy(edges, ["_all"], id_col, "target", ["cosine"]).drop("_all")
+
+
+def vector_assign(cosines: DataFrame, id_col: str, min_cosine: float, cap: int = OPTIMAL_FOLD) -> DataFrame:
+    """One vector per target and one target per vector with the largest total cosine."""
+    edges = cosines.select(id_col, F.inline(F.filter("near", lambda n: n["cosine"] > min_cosine))).withColumns(
+        {"_all": F.lit(0), "_weight": pairs.micro(F.col("cosine"))})
+    return assign.optimal(edges.filter("_weight > 0"), ["_all"], id_col, "target", "_weight", cap).drop("_all", "_weight")

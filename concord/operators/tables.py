@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions import similarity, texts, typerules, vocab
 from concord.functions.names import simple_canonical
 from concord.operators import assign, pairs
-from concord.session import settle
+from concord.session import OPTIMAL_FOLD, settle
 
 TABLE = ["submission_id", "cleaned_name"]
 
@@ -110,12 +110,13 @@ def table_map(
     min_cosine: float = vocab.TABLE_MIN_COSINE,
     plain: bool = False,
     shapes: DataFrame | None = None,
+    cap: int = OPTIMAL_FOLD,
 ) -> DataFrame:
     """One-to-one table mapping by common columns first, cosine second; pairs under ``min_cosine`` are dropped."""
     edges = table_edges(answer, columns, plain, shapes).withColumn(
         "weight", (F.lit(PAIR_BONUS) + F.col("n_cols") * 1000) * 1000000 + pairs.micro(F.col("cosine"))
     )
-    chosen = assign.optimal(edges, ["submission_id"], "ans_table", "stu_table", "weight")
+    chosen = assign.optimal(edges, ["submission_id"], "ans_table", "stu_table", "weight", cap)
     return complete_map(chosen.filter(F.col("cosine") >= min_cosine).drop("weight"), answer, submissions)
 
 

@@ -395,6 +395,12 @@ def vector_link(spark, sf):
     return records.vector_link(_vector_cosines(spark, sf), "vec_id", 0.0).select("vec_id", F.col("target").alias("label"), "cosine")
 
 
+@query
+def vector_assign(spark, sf):
+    """One vector per label centroid with the largest total cosine; one group of all pairs, far over the fold's size given."""
+    return records.vector_assign(_vector_cosines(spark, sf), "vec_id", 0.0, cap=1_000).select("vec_id", F.col("target").alias("label"), "cosine")
+
+
 # --- tables and columns -------------------------------------------------------------------
 
 @query

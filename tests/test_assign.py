@@ -106,3 +106,29 @@ def test_no_edges(spark):
     df = spark.createDataFrame([], "g int, i int, j int, w long")
     assert assign.optimal(df, ["g"], "i", "j", "w").count() == 0
     assert assign.greedy(df, ["g"], "i", "j", ["w"]).count() == 0
+
+
+@pytest.mark.parametrize("cap", [1, 9])
+def test_optimal_gives_one_answer_at_every_size(spark, cap):
+    """Tied blocks, some linked with one another, solved in a task and as large groups."""
+    rows = [(0, i, j, 5) for i in range(3) for j in range(3)] + [(0, 10 + i, 10 + j, 2) for i in range(3) for j in range(3)]
+    rows += [(1, i, j, 1 + (i * j) % 2) for i in range(4) for j in range(5)] + [(2, i, 7, 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, i int, j int, w long")
+    whole, parts = (sorted(tuple(r) for r in assign.optimal(df, ["g"], "i", "j", "w", cap=c).select("g", "i", "j", "w").collect()) for c in (10_000, cap))
+    assert whole == parts and len(whole) == 11
+
+
+def test_only_edges_that_can_win_are_kept(spark):
+    rng = random.Random(9)
+    rows = [(0, i, j, 10**12 + rng.randint(0, 3)) for i in range(3) for j in range(200)] + [(1, i, j, rng.randint(1, 5)) for i in range(40) for j in range(2)]
+    df = spark.createDataFrame(rows, "g int, i int, j int, w long")
+    kept = assign._contenders(df, ["g"], "i", "j", "w")
+    assert {r.g: r["count"] for r in kept.groupBy("g").count().collect()} == {0: 9, 1: 4}
+    whole, parts = (sorted(tuple(r) for r in assign.optimal(df, ["g"], "i", "j", "w", cap=c).collect()) for c in (10_000, 20))
+    assert whole == parts and len(whole) == 5
+
+
+def test_components(spark):
+    rows = [(0, k, k) for k in range(30)] + [(0, k + 1, k) for k in range(29) if k != 14] + [(1, 5, 1), (1, 6, 1), (1, 7, 2)]
+    got = {(r.g, r.i): r._part for r in assign._components(spark.createDataFrame(rows, "g int, i int, j int"), ["g"], "i", "j").collect()}
+    assert got == {(0, k): 0 if k < 15 else 15 for k in range(30)} | {(1, 5): 5, (1, 6): 5, (1, 7): 7}
