@@ -631,4 +631,6 @@ add("report_round_trip", """SELECT submission_id, round(count(*)::DOUBLE / 3, 4)
     WHERE a.num_columns = r.num_columns AND a.num_rows = r.num_rows GROUP BY 1""")
 add("incremental_intake", """SELECT user_id::VARCHAR AS submission_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors
     FROM events GROUP BY 1""")
+add("order_intake", """SELECT o_custkey::VARCHAR AS submission_id, count(DISTINCT o_orderpriority) AS priorities, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order,
+    round(median(o_totalprice), 4) AS middle_price FROM orders GROUP BY 1""")
 add("catalog_intake", "SELECT submission_id, round(avg(match::INT), 6) AS column_ratio FROM col_pairs GROUP BY submission_id")

@@ -803,21 +803,41 @@ def report_round_trip(spark, sf):
 
 @query
 def incremental_intake(spark, sf):
-    """Events graded per user as files arrive, one user a submission."""
-    out, checkpoint = _scratch(spark, "intake"), _scratch(spark, "intake-state")
-    schema = read_table(spark, sf, "events").schema
+    """Events totalled per user as files arrive, one user a submission; every user's rows are spread over three files, one a batch."""
+    folder, out, checkpoint = (_scratch(spark, n) for n in ("events", "intake", "intake-state"))
+    events = read_table(spark, sf, "events")
+    events.repartition(3).write.parquet(folder)
 
-    def grade(batch):
+    def totals(batch):
         return batch.groupBy(F.col("user_id").cast("string").alias("submission_id")).agg(
             F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
-    intake.grade_arrivals(spark, f"{sf}/events*.parquet", schema, grade, out, checkpoint).awaitTermination()
-    return store.read_store(spark, out).select("submission_id", "events", "errors")
+    def merge(parts):
+        return parts.groupBy("submission_id").agg(F.sum("events").alias("events"), F.sum("errors").alias("errors"))
+
+    intake.total_arrivals(spark, folder, events.schema, totals, merge, out, checkpoint, files_per_batch=1, merge_every=2).awaitTermination()
+    return intake.read_totals(spark, merge, out)
+
+
+@query
+def order_intake(spark, sf):
+    """Customers graded on their orders, which come in four files, two a batch: grades that do not add up, over all rows so far."""
+    folder, out, rows, checkpoint = (_scratch(spark, n) for n in ("orders", "grades", "rows", "grades-state"))
+    orders = read_table(spark, sf, "orders")
+    orders.repartition(4).write.parquet(folder)
+
+    def grade(o):
+        return o.groupBy(F.col("o_custkey").cast("string").alias("submission_id")).agg(
+            F.count_distinct("o_orderpriority").alias("priorities"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"),
+            F.median("o_totalprice").alias("middle_price"))
+
+    intake.grade_parts(spark, folder, orders.schema, grade, out, rows, checkpoint, 2, submission="o_custkey").awaitTermination()
+    return store.read_store(spark, out).select("submission_id", "priorities", "last_order", F.round("middle_price", 4).alias("middle_price"))
 
 
 @query
 def catalog_intake(spark, sf):
-    """Whole catalogs graded as their files arrive: the column ratio of every submission."""
+    """Whole catalogs graded as their files arrive, one submission in one file: the column ratio of every submission."""
     folder, out, checkpoint = (_scratch(spark, n) for n in ("catalogs", "grades", "grades-state"))
     raw = synthetic.raw_columns(spark, sf)
     raw.repartition(4, "submission_id").write.parquet(folder)
