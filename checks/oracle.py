@@ -608,14 +608,42 @@ add("part_name_link", _link(("part", "p_name"), ("part", "upper(p_type || ' ' ||
 add("score_card", """SELECT o_custkey, round(f, 4) AS finished, round(p, 4) AS prioritised, round(l, 4) AS large, round(f * 4 + p * 2 + l * 4, 2) AS total FROM (
     SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS f, avg((o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT) AS p, avg((o_totalprice > 250000)::INT) AS l
     FROM orders GROUP BY 1) q""")
-add("summary", f"""SELECT submission_id, round(c, 4) AS column_ratio, round(f, 4) AS fk_ratio, round(d, 4) AS data_ratio, round(b, 4) AS business_ratio,
+SUMMARY = f"""SELECT submission_id, round(c, 4) AS column_ratio, round(f, 4) AS fk_ratio, round(d, 4) AS data_ratio, round(b, 4) AS business_ratio,
     round(v, 4) AS view_ratio, round(c * 3, 2) AS mark_a1, round(f * 2, 2) AS mark_a2, round(d * 1, 2) AS mark_a3, round(v * 3, 2) AS mark_b,
     round(b * 1, 2) AS mark_c, least(round(c * 3 + f * 2 + d * 1 + v * 3 + b * 1, 2), 10::DOUBLE) AS total FROM (
       SELECT submission_id, coalesce(c, 0) AS c, coalesce(f, 0) AS f, coalesce(d, 0) AS d, coalesce(b, 0) AS b, coalesce(v, 0) AS v FROM subs
       LEFT JOIN (SELECT submission_id, avg(match::INT) AS c FROM col_pairs GROUP BY 1) c USING (submission_id)
       LEFT JOIN (SELECT submission_id, avg(is_matched::INT) AS f FROM fk_pairs GROUP BY 1) f USING (submission_id)
       LEFT JOIN (SELECT submission_id, avg((data_ok = {lit(vocab.YES)})::INT) AS d, avg((rule_ok = {lit(vocab.YES)})::INT) AS b FROM report GROUP BY 1) r USING (submission_id)
-      LEFT JOIN (SELECT submission_id, count(*)::DOUBLE / 3 AS v FROM one_views GROUP BY 1) v USING (submission_id)) q""")
+      LEFT JOIN (SELECT submission_id, count(*)::DOUBLE / 3 AS v FROM one_views GROUP BY 1) v USING (submission_id)) q"""
+add("summary", SUMMARY)
+SQL["summary_from_files"] = SQL["summary"]
+
+# a folder of four submissions with the answer's types, four fifths of its rows, and one table that can't be read
+_first = {t: cols[0].split()[0] for t, cols in synthetic.ANSWER.items()}
+FOLDER = {
+    "subs": "SELECT CAST(key + 10000000 AS VARCHAR) AS submission_id, key FROM (VALUES " + ", ".join(f"({k})" for k in synthetic.FOLDER_KEYS) + ") v(key)",
+    "raw_cols": f"""SELECT submission_id, key, t, {K._named('t', 'tbl')} AS original_name, row_number() OVER (PARTITION BY submission_id, t ORDER BY ordinal)::INT AS ordinal,
+        variants[{K._variant('t', 'ordinal')} + 1] AS column_name, dtype AS data_type
+        FROM subs, spec WHERE t < 8 AND NOT {K._dropped('t')} AND {K._variant('t', 'ordinal')} <> 3""",
+    "raw_counts": f"SELECT submission_id, {K._named('t', 'tbl')} AS original_name, row_count FROM (" + " UNION ALL ".join(
+        f"SELECT submission_id, key, {n} AS t, {lit(t)} AS tbl, (SELECT count(*) FROM {t} WHERE {c} % 5 <> key % 5) AS row_count FROM subs"
+        for n, (t, c) in enumerate(_first.items())) + f") q WHERE NOT {K._dropped('t')}",
+    "raw_fks": K.TABLES["raw_fks"] + " AND false",
+    "raw_views": K.TABLES["raw_views"] + " WHERE false",
+}
+
+
+def add_folder(name: str, final: str) -> None:
+    SQL[name] = K.statement(final, {**EXTRA, **FOLDER})
+
+
+add_folder("folder_catalog", f"""SELECT * FROM cols UNION ALL
+    SELECT {lit(vocab.ANSWER_ID)} AS submission_id, original_name, ans_table AS cleaned_name, ans_ordinal AS ordinal, ans_col AS column_name, ans_type AS data_type FROM ans""")
+add_folder("folder_counts", f"""SELECT submission_id, original_name, row_count, false AS failed FROM raw_counts
+    UNION ALL SELECT {lit(vocab.ANSWER_ID)}, original_name, row_count, false FROM ans_counts
+    UNION ALL VALUES ({lit(str(synthetic.UNREADABLE[0] + 10000000))}, {lit(synthetic.UNREADABLE[1])}, NULL, true)""")
+add_folder("folder_summary", SUMMARY)
 add("batch_stats", """SELECT count(schema_score) AS submissions, round(avg(schema_score), 4) AS average, max(schema_score) AS highest, min(schema_score) AS lowest
     FROM schema_scores""")
 add("report_enriched", """SELECT submission_id, schema_score, business_score, business_max, business_complete,

@@ -143,6 +143,8 @@ def per_submission(submissions: DataFrame, items: DataFrame, limit: int = 10_000
     rows = items.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"an answer has at most {limit} entries of a kind")
+    if not rows:
+        return submissions.select("submission_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema]).filter(F.lit(False))
     return submissions.select("submission_id", F.inline(literal_rows([r.asDict() for r in sorted(rows)])))
 
 

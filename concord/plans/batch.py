@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from concord.functions import names, texts, vocab
 from concord.operators import columns as col_ops
 from concord.operators import counts, keys, pairs, scores, tables, views
-from concord.session import settle
-from concord.sources import catalog, synthetic
+from concord.session import local_table, settle
+from concord.sources import catalog, folders, synthetic
 
 
 class Batch:
@@ -152,6 +152,27 @@ class Batch:
         return scores.schema_score(self.table_results, self.submissions, self.answer_columns)
 
 
+def folder_batch(spark: SparkSession, root: str, **settings) -> Batch:
+    """The batch of a folder of Parquet submissions, the answer's folder among them.
+
+    Footers know neither keys nor views, so the marks for these stay 0; give ``keys``, ``fks`` or ``views`` (and the
+    answer's) where they are known from elsewhere.
+    """
+    found = settle(folders.read_folder(spark, root))
+    columns = catalog.prepare_columns(folders.columns_in(found))
+    counts_of = folders.counts_in(found)
+    key = "original_name string, column_name string, position int"
+    fk = "fk_name string, parent_table string, fk_column string, ref_table string, pk_column string, ordinal int"
+    view = "view_name string, num_columns int, num_rows bigint"
+    none = {"keys": f"submission_id string, pk_name string, {key}", "answer_keys": key.replace("original", "cleaned"), "fks": f"submission_id string, {fk}",
+            "answer_fks": fk, "views": f"submission_id string, {view}", "answer_views": view}
+    inputs = {name: local_table(spark, [], schema) for name, schema in none.items()} | {
+        "submissions": settle(folders.of_students(found).select("submission_id").distinct()),
+        "columns": folders.of_students(columns), "answer_columns": folders.of_answer(columns),
+        "counts": folders.of_students(counts_of), "answer_counts": folders.of_answer(counts_of)}
+    return Batch(**(inputs | settings))
+
+
 def star_batch(spark: SparkSession, sf: str) -> Batch:
     """The batch derived from the star tables: one submission per customer."""
     batch = Batch(

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from concord.functions import names, similarity, texts, typerules, vocab
 from concord.operators import assign, counts, keys, lookup, pairs, records, scores, tables, views
 from concord.operators import columns as col_ops
-from concord.plans.batch import Batch, star_batch
+from concord.plans import reports
+from concord.plans.batch import Batch, folder_batch, star_batch
 from concord.session import dictionary, local_table, scratch_dir, settle
-from concord.sources import catalog, store, synthetic
+from concord.sources import catalog, folders, store, synthetic
 from concord.sources.tables import read_table
 from concord.streaming import intake
 
@@ -778,6 +779,41 @@ def report_enriched(spark, sf):
                             "table_match_ratio": F.round("table_match_ratio", 6)})
 
 
+# --- folders and report files -------------------------------------------------------------
+
+def _folder(spark, sf):
+    root = _scratch(spark, "submissions")
+    synthetic.write_folders(spark, sf, root)
+    return root
+
+
+@query
+def folder_catalog(spark, sf):
+    """Column catalog of a folder of Parquet submissions, the answer included, from footers alone."""
+    return catalog.prepare_columns(folders.columns_in(folders.read_folder(spark, _folder(spark, sf))))
+
+
+@query
+def folder_counts(spark, sf):
+    """Row counts of the same folder; one table can't be read."""
+    c = folders.counts_in(folders.read_folder(spark, _folder(spark, sf)))
+    return c.select("submission_id", "original_name", "row_count", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def folder_summary(spark, sf):
+    """Marks of the submissions in the folder."""
+    return folder_batch(spark, _folder(spark, sf), expected=synthetic.EXPECTED_DELTA, n_views=len(synthetic.VIEWS)).summary
+
+
+@query
+def summary_from_files(spark, sf):
+    """Every report written as one file per submission, and the summary worked out again from the files."""
+    b, path = star_batch(spark, sf), _scratch(spark, "reports")
+    reports.write_reports(b, path)
+    return reports.summary_from_files(spark, path, b.n_views, b.submissions)
+
+
 # --- stores and streams -------------------------------------------------------------------
 
 @query

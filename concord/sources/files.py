@@ -19,3 +19,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder; none where there is no such folder."""
     system, place = _located(spark, path)
     return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file from the driver."""
+    system, place = _located(spark, path)
+    out = system.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()

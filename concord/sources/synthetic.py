@@ -6,12 +6,13 @@ All choices are integer arithmetic on the customer key, so any engine can rebuil
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.session import literal_rows, local_table
-from concord.sources import catalog
+from concord.sources import catalog, files
 from concord.sources.tables import read_table
 
 # The answer catalog: the star tables with their columns and types.
@@ -251,3 +252,33 @@ def raw_views(spark: SparkSession, sf: str, answer_views: DataFrame) -> DataFram
             F.concat(F.lit("select * from "), F.col("view_name")).alias("definition"),
         )
     )
+
+
+# Submissions that are also written as folders of real tables, and one with a table that can't be read.
+FOLDER_KEYS = (1, 2, 3, 4)
+UNREADABLE = (2, "audit_log")
+
+
+def write_folders(spark: SparkSession, sf: str, root: str) -> None:
+    """A folder of submissions: the answer's tables whole, each student's without a fifth of the rows.
+
+    Tables, columns and their names are missing or changed as in ``raw_columns``; types stay.
+    """
+    star = star_tables(spark, sf)
+
+    def write(job: tuple[DataFrame, str]) -> None:
+        job[0].write.parquet(f"{root}/{job[1]}")
+
+    jobs = [(df, f"dapan/{table}.parquet") for table, df in star.items()]
+    for key in FOLDER_KEYS:
+        for t, (table, df) in enumerate(star.items()):
+            if (key + t) % 11 == 0:
+                continue
+            number = f"{key % 97 + 1:02d}. " if key % 2 == 0 else "tbl_"
+            named = number + table if (key + t) % 5 == 0 else table
+            kept = [F.col(col).alias(variants[(key * 7 + t * 3 + o) % 10]) for n, _, o, col, _, variants, _ in spec() if n == t and (key * 7 + t * 3 + o) % 10 != 3]
+            jobs.append((df.filter(F.col(df.columns[0]) % 5 != key % 5).select(*kept), f"sv_{key + 10000000}/{named}"))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, jobs))
+    key, table = UNREADABLE
+    files.write_text(spark, f"{root}/sv_{key + 10000000}/{table}.parquet", "not a table")
