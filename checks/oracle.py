@@ -72,7 +72,7 @@ def alias(x: str, pairs: dict[str, str]) -> str:
 
 PAIR = ["ans_table", "stu_table", "cid"]
 ends = "ans_table, stu_table, cid"
-FIRST_COLS = "list_slice(list(column_name ORDER BY ordinal, column_name), 1, 30)"
+FIRST_COLS = "list(column_name ORDER BY ordinal, column_name)"
 COLTEXT = "cleaned_name || '.' || column_name || ' (' || data_type || ')'"
 
 EXTRA: dict[str, str] = {
@@ -397,7 +397,10 @@ add("catalog_early_rows", f"""SELECT submission_id, {alias('original_name', _ear
 add("catalog_stats", """SELECT submission_id, tables, columns, coalesce(tables_with_pk, 0) AS tables_with_pk, coalesce(tables_with_fk, 0) AS tables_with_fk,
     coalesce(relationships, 0) AS relationships FROM (SELECT submission_id, count(DISTINCT cleaned_name) AS tables, count(*) AS columns FROM cols GROUP BY 1) c
     LEFT JOIN (SELECT submission_id, count(DISTINCT original_name) AS tables_with_pk FROM raw_keys GROUP BY 1) k USING (submission_id)
-    LEFT JOIN (SELECT submission_id, count(DISTINCT parent_table) AS tables_with_fk, count(*) AS relationships FROM raw_fks GROUP BY 1) f USING (submission_id)""")
+    LEFT JOIN (SELECT submission_id, count(DISTINCT parent_table) AS tables_with_fk, count(DISTINCT (fk_name, parent_table, ref_table)) AS relationships FROM raw_fks GROUP BY 1) f USING (submission_id)""")
+SQL["catalog_stats_composite"] = SQL["catalog_stats"].replace("count(DISTINCT (fk_name, parent_table, ref_table))", "count(DISTINCT parent_table)")
+add("wide_table_texts", """SELECT submission_id, 'TABLE WIDE: ' || array_to_string(l, ', ') AS text, 'TABLE WIDE: ' || array_to_string(list_slice(l, 1, 30), ', ') AS short_text
+    FROM (SELECT submission_id, list(column_name ORDER BY ordinal, column_name) AS l FROM cols GROUP BY 1) q""")
 add("nested_schema", """SELECT submission_id, cleaned_name, min(original_name) AS original_name,
     string_agg(column_name || ' ' || data_type, ', ' ORDER BY original_name, ordinal) AS cols, count(DISTINCT original_name) > 1 AS collision
     FROM cols GROUP BY 1, 2""")
@@ -662,3 +665,5 @@ add("incremental_intake", """SELECT user_id::VARCHAR AS submission_id, count(*)
 add("order_intake", """SELECT o_custkey::VARCHAR AS submission_id, count(DISTINCT o_orderpriority) AS priorities, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order,
     round(median(o_totalprice), 4) AS middle_price FROM orders GROUP BY 1""")
 add("catalog_intake", "SELECT submission_id, round(avg(match::INT), 6) AS column_ratio FROM col_pairs GROUP BY submission_id")
+SQL["name_hits_joined"] = SQL["name_hits"]
+SQL["blocked_lookup_joined"] = SQL["blocked_lookup"]

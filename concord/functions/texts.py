@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from concord.functions import vocab
 
 
-def table_text(table: Column, columns: Column, limit: int = vocab.TABLE_TEXT_COLUMNS) -> Column:
-    """'TABLE name: a, b, c' with the first ``limit`` column names."""
-    listed = F.array_join(F.slice(columns, 1, limit), ", ")
+def table_text(table: Column, columns: Column, limit: int | None = None) -> Column:
+    """'TABLE name: a, b, c' with all column names, or the first ``limit`` (``vocab.TABLE_TEXT_COLUMNS`` for the short form)."""
+    listed = F.array_join(F.slice(columns, 1, limit) if limit else columns, ", ")
     return F.when(listed == "", F.concat(F.lit("TABLE "), table)).otherwise(
         F.concat(F.lit("TABLE "), table, F.lit(": "), listed)
     )
 
 
-def table_text_full(table: Column, columns: Column, pk: Column, fks: Column, limit: int = vocab.TABLE_TEXT_FKS) -> Column:
-    """Table text with types, the key and the first ``limit`` foreign keys.
+def table_text_full(table: Column, columns: Column, pk: Column, fks: Column, limit: int | None = None) -> Column:
+    """Table text with types, the key and all foreign keys, or the first ``limit`` (``vocab.TABLE_TEXT_FKS`` for the short form).
 
     ``columns`` holds structs (name, type); ``fks`` structs (parent, parent_cols, ref, ref_cols).
     """
     cols = F.array_join(F.transform(columns, lambda c: F.format_string("%s (%s)", c["name"], c["type"])), ", ")
     key = F.when(F.size(pk) > 0, F.concat(F.lit(" | PK:"), F.array_join(pk, "_"))).otherwise(F.lit(""))
     refs = F.transform(
-        F.slice(fks, 1, limit),
+        F.slice(fks, 1, limit) if limit else fks,
         lambda f: F.format_string(
             " | FK %s(%s)->%s(%s)", f["parent"], F.array_join(f["parent_cols"], "_"),
             f["ref"], F.array_join(f["ref_cols"], "_"),

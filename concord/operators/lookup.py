@@ -8,32 +8,29 @@ from pyspark.sql import functions as F
 from concord.functions import names, similarity, vocab
 from concord.operators import pairs
 from concord.operators.tables import shape_columns, table_shapes
-from concord.session import literal_rows, settle
+from concord.session import settle
 
 
-def _short_list(ans: DataFrame) -> list:
-    rows = ans.select("a", "cleaned_name").limit(pairs.ANSWER_LIST_LIMIT + 1).collect()
-    if len(rows) > pairs.ANSWER_LIST_LIMIT:
-        raise ValueError(f"an answer has at most {pairs.ANSWER_LIST_LIMIT} tables")
-    return rows
+def table_blocks(answer: DataFrame, shapes: DataFrame, min_table: float = vocab.FUZZY_MIN, limit: int = pairs.ANSWER_LIST_LIMIT) -> DataFrame:
+    """(submission, ans_table, original_name, shape): tables of equal canonical name, else similar ones.
 
-
-def table_blocks(answer: DataFrame, shapes: DataFrame, min_table: float = vocab.FUZZY_MIN) -> DataFrame:
-    """(submission, ans_table, original_name, shape): tables of equal canonical name, else similar ones."""
+    A name without a letter or digit is like no other.
+    """
     ans = answer.select("cleaned_name", F.col("original_name").alias("ans_original")).distinct().withColumn(
         "a", names.canonical("ans_original")
     )
     stu = shapes.select("submission_id", "original_name", "shape").withColumn("b", names.canonical("original_name"))
     stu = settle(stu)
-    equal = settle(stu.join(ans, stu.b == ans.a).select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape"))
-    # distinct table names against the answer's short list of them
-    near = pairs.spread(stu.select("b").distinct().filter(~F.col("b").startswith("stage "))).withColumn(
-        "_items", literal_rows([r.asDict() for r in sorted(_short_list(ans))])
-    )
-    score = "greatest({}, {}, {})".format(*[f("an.a", "b") for f in (
-        similarity.token_set_ratio_sql, similarity.ratio_sql, similarity.partial_ratio_sql)])
-    kept = F.expr(f"filter(_items, an -> {score} >= {min_table})")
-    near = settle(near.select("b", F.explode(kept).alias("an")).select("b", "an.cleaned_name"))
+    equal = settle(stu.join(ans.filter("a <> ''"), F.col("b") == F.col("a")).select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape"))
+    # distinct table names against the answer's
+    def like(a: str, b: str) -> str:
+        score = ", ".join(f(f"{a}_canon", f"{b}_canon") for f in (similarity.token_set_ratio_sql, similarity.ratio_sql, similarity.partial_ratio_sql))
+        return f"({a}_canon <> '' AND {b}_canon <> '' AND greatest({score}) >= {min_table})"
+
+    found = pairs.like_names(
+        ans.select(F.col("a").alias("ans_name"), F.col("a").alias("ans_name_canon")).distinct(),
+        stu.select(F.col("b").alias("stu_name"), F.col("b").alias("stu_name_canon")).distinct().filter(~F.col("b").startswith("stage ")), like, min_table, limit)
+    near = settle(found.withColumnsRenamed({"ans_name": "a", "stu_name": "b"}).join(ans, "a").select("b", "cleaned_name"))
     similar = (
         pairs.join_back(stu, near, ["b"]).select("submission_id", F.col("cleaned_name").alias("ans_table"), "original_name", "shape")
         .join(equal.select("submission_id", "ans_table").distinct(), ["submission_id", "ans_table"], "left_anti")
@@ -41,7 +38,7 @@ def table_blocks(answer: DataFrame, shapes: DataFrame, min_table: float = vocab.
     return equal.unionByName(similar)
 
 
-def blocked_lookup(answer: DataFrame, columns: DataFrame, submissions: DataFrame, threshold: float = vocab.FUZZY_MIN) -> DataFrame:
+def blocked_lookup(answer: DataFrame, columns: DataFrame, submissions: DataFrame, threshold: float = vocab.FUZZY_MIN, limit: int = pairs.ANSWER_LIST_LIMIT) -> DataFrame:
     """Result 1 with the first candidate's score at or above ``threshold``, else 0 with the best score.
 
     Candidates run in table, then column order.  Scores are worked out per distinct name pair,
@@ -49,7 +46,7 @@ def blocked_lookup(answer: DataFrame, columns: DataFrame, submissions: DataFrame
     """
     shapes = settle(table_shapes(columns))
     content = settle(shape_columns(columns, shapes).withColumn("b", names.canonical("column_name")))
-    blocks = settle(table_blocks(answer, shapes))
+    blocks = settle(table_blocks(answer, shapes, limit=limit))
     ans = answer.select(
         F.col("cleaned_name").alias("ans_table"), F.col("column_name").alias("ans_col"), names.canonical("column_name").alias("a")
     )

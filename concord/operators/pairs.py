@@ -91,10 +91,12 @@ def micro(c: Column) -> Column:
 
 
 def exact_name(a: str, b: str) -> str:
-    """SQL: raw names a, b with canonical forms a_canon, b_canon count as the same name."""
+    """SQL: raw names a, b with canonical forms a_canon, b_canon count as the same name.
+
+    A name without a letter or digit has an empty form, which is the same as no other; the raw names may still be.
+    """
     return (
-        f"({a}_canon = {b}_canon OR replace({a}_canon, ' ', '') = replace({b}_canon, ' ', '') "
-        f"OR lower({a}) = lower({b}))"
+        f"(({a}_canon <> '' AND replace({a}_canon, ' ', '') = replace({b}_canon, ' ', '')) OR lower({a}) = lower({b}))"
     )
 
 
@@ -107,14 +109,28 @@ def name_hits(
 ) -> DataFrame:
     """Distinct (ans_name, stu_name) that are the same name or score at least ``threshold``."""
     ans, stu = _distinct_names(answers, "ans_name"), _distinct_names(students, "stu_name")
-    listed = sorted(ans.limit(limit + 1).collect())
+    return like_names(ans, stu, lambda a, b: _is_hit(a, b, threshold), threshold, limit)
+
+
+def like_names(
+    ans: DataFrame, stu: DataFrame, test: Callable[[str, str], str], threshold: float, limit: int = ANSWER_LIST_LIMIT
+) -> DataFrame:
+    """Distinct (ans_name, stu_name) that pass ``test``, SQL over two names and their forms ``<name>_canon``.
+
+    ``test`` holds for equal names in lower case at most, or from ``threshold`` on by a ratio, partial ratio or token
+    set ratio of the forms.  A short answer is tried inside each student name's row; a longer one of any size
+    meets the names through joins on letters that miss no such pair.  Both give the same pairs.
+    """
+    listed = sorted(ans.select("ans_name", "ans_name_canon").limit(limit + 1).collect())
     if len(listed) > limit:
         pairs = _plausible(ans, stu, threshold).unionByName(
-            ans.join(stu, F.lower("ans_name") == F.lower("stu_name"))
+            ans.join(stu, F.lower("ans_name") == F.lower("stu_name")).select("ans_name", "ans_name_canon", "stu_name", "stu_name_canon")
         ).distinct()
-        return pairs.filter(_is_hit("ans_name", "stu_name", threshold)).select("ans_name", "stu_name")
+        return pairs.filter(test("ans_name", "stu_name")).select("ans_name", "stu_name")
+    if not listed:
+        return stu.select(F.lit(None).cast("string").alias("ans_name"), "stu_name").filter(F.lit(False))
     entries = literal_rows([r.asDict() for r in listed])
-    kept = F.expr(f"filter(answer_list, an -> {_is_hit('an.ans_name', 'stu_name', threshold)})")
+    kept = F.expr(f"filter(answer_list, an -> {test('an.ans_name', 'stu_name')})")
     return spread(stu).withColumn("answer_list", entries).select("stu_name", F.explode(kept).alias("a")).select("a.ans_name", "stu_name")
 
 
@@ -135,7 +151,7 @@ def plain_hits(answers: DataFrame, students: DataFrame, threshold: float = vocab
 
 
 def _is_hit(a: str, b: str, threshold: float) -> str:
-    return f"({exact_name(a, b)} OR {similarity.smart_sql(a + '_canon', b + '_canon')} >= {threshold})"
+    return f"({exact_name(a, b)} OR ({a}_canon <> '' AND {b}_canon <> '' AND {similarity.smart_sql(a + '_canon', b + '_canon')} >= {threshold}))"
 
 
 def per_submission(submissions: DataFrame, items: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -38,13 +38,10 @@ def shape_columns(columns: DataFrame, shapes: DataFrame) -> DataFrame:
     return columns.join(sample, TABLE).select("shape", "ordinal", "column_name", "data_type")
 
 
-def first_columns(columns: DataFrame, key: str, limit: int = vocab.TABLE_TEXT_COLUMNS) -> DataFrame:
-    """The first ``limit`` column names per table, in order."""
-    w = Window.partitionBy(key).orderBy("ordinal", "column_name")
-    head = columns.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
-    return head.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "column_name"))), lambda c: c["column_name"]).alias("first_columns")
-    )
+def first_columns(columns: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """The column names per table in order, all or the first ``limit``."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda c: c["column_name"])
+    return columns.groupBy(key).agg((F.slice(listed, 1, limit) if limit else listed).alias("first_columns"))
 
 
 def answer_texts(answer: DataFrame) -> DataFrame:

@@ -78,6 +78,19 @@ def catalog_stats(spark, sf):
     return catalog.statistics(_columns(spark, sf), synthetic.raw_keys(spark, sf), synthetic.raw_fks(spark, sf))
 
 
+def _composite_fks(spark, sf):
+    """One constraint per parent table, of several columns."""
+    return synthetic.raw_fks(spark, sf).select(
+        "submission_id", F.concat(F.lit("FK_"), "parent_table").alias("fk_name"), "parent_table", F.lit("all").alias("ref_table"),
+        F.substring("fk_name", 4, 1).cast("int").alias("ordinal"), "fk_column", "pk_column")
+
+
+@query
+def catalog_stats_composite(spark, sf):
+    """The same figures where foreign keys have several columns."""
+    return catalog.statistics(_columns(spark, sf), synthetic.raw_keys(spark, sf), _composite_fks(spark, sf))
+
+
 @query
 def nested_schema(spark, sf):
     folded = catalog.fold_schema(_columns(spark, sf))
@@ -177,11 +190,7 @@ def submission_ids(spark, sf):
 @query
 def fk_fold(spark, sf):
     """One constraint per parent table, its columns in order."""
-    flat = synthetic.raw_fks(spark, sf)
-    composite = flat.select(
-        "submission_id", F.concat(F.lit("FK_"), "parent_table").alias("fk_name"), "parent_table", F.lit("all").alias("ref_table"),
-        F.substring("fk_name", 4, 1).cast("int").alias("ordinal"), "fk_column", "pk_column")
-    return catalog.fold_fks(composite).select(
+    return catalog.fold_fks(_composite_fks(spark, sf)).select(
         "submission_id", "fk_name", "parent_table", "ref_table",
         F.array_join("parent_cols", "|").alias("parent_cols"), F.array_join("ref_cols", "|").alias("ref_cols"))
 
@@ -292,6 +301,12 @@ def name_hits(spark, sf):
     return pairs.name_hits(synthetic.answer_columns(spark), _columns(spark, sf))
 
 
+@query
+def name_hits_joined(spark, sf):
+    """The same pairs met through joins on letters, as for an answer of any length."""
+    return pairs.name_hits(synthetic.answer_columns(spark), _columns(spark, sf), limit=0)
+
+
 @query
 def jaccard_pairs(spark, sf):
     p = _same_table_pairs(spark, sf).select("ans_name", "stu_name").distinct()
@@ -335,6 +350,14 @@ def table_texts(spark, sf):
         "submission_id", "cleaned_name", texts.table_text(F.col("cleaned_name"), F.col("first_columns")).alias("text"))
 
 
+@query
+def wide_table_texts(spark, sf):
+    """All columns of a submission as one table: texts hold every name."""
+    wide = tables.first_columns(_columns(spark, sf), "submission_id")
+    return wide.select("submission_id", texts.table_text(F.lit("WIDE"), F.col("first_columns")).alias("text"),
+                       texts.table_text(F.lit("WIDE"), F.col("first_columns"), vocab.TABLE_TEXT_COLUMNS).alias("short_text"))
+
+
 @query
 def full_table_texts(spark, sf):
     """Table descriptions with types, keys and foreign keys."""
@@ -536,6 +559,12 @@ def blocked_lookup(spark, sf):
     return lookup.blocked_lookup(synthetic.answer_columns(spark), _columns(spark, sf), synthetic.submissions(spark, sf))
 
 
+@query
+def blocked_lookup_joined(spark, sf):
+    """The same lookup with table names met through joins on letters."""
+    return lookup.blocked_lookup(synthetic.answer_columns(spark), _columns(spark, sf), synthetic.submissions(spark, sf), limit=0)
+
+
 @query
 def lookup_totals(spark, sf):
     return lookup.lookup_totals(blocked_lookup(spark, sf))

@@ -213,13 +213,13 @@ def fold_schema(columns: DataFrame) -> DataFrame:
 
 
 def statistics(columns: DataFrame, keys: DataFrame, fks: DataFrame) -> DataFrame:
-    """Per submission: tables, columns, tables with a key, tables with foreign keys, relationships."""
+    """Per submission: tables, columns, tables with a key, tables with foreign keys, relationships (a key of several columns is one)."""
     cols = columns.groupBy("submission_id").agg(
         F.count_distinct("cleaned_name").alias("tables"), F.count(F.lit(1)).alias("columns")
     )
     pk = keys.groupBy("submission_id").agg(F.count_distinct("original_name").alias("tables_with_pk"))
     fk = fks.groupBy("submission_id").agg(
-        F.count_distinct("parent_table").alias("tables_with_fk"), F.count(F.lit(1)).alias("relationships")
+        F.count_distinct("parent_table").alias("tables_with_fk"), F.count_distinct("fk_name", "parent_table", "ref_table").alias("relationships")
     )
     return (
         cols.join(pk, "submission_id", "left").join(fk, "submission_id", "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, texts
 from concord.session import settle
+from concord.sources import files
 
 
 def replace_submissions(df: DataFrame, path: str, buckets: int = 64) -> None:
@@ -21,11 +21,8 @@ def replace_submissions(df: DataFrame, path: str, buckets: int = 64) -> None:
     """
     spark = df.sparkSession
     fresh = settle(df.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(buckets)).cast("int")))
-    try:
+    if files.exists(spark, path):
         stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
-    if stored is not None:
         # at most ``buckets`` values
         touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
         others = stored.filter(F.col("bucket").isin(touched)).join(
@@ -33,7 +30,7 @@ def replace_submissions(df: DataFrame, path: str, buckets: int = 64) -> None:
         )
         fresh = settle(fresh.unionByName(others))
     (
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
 
 
@@ -84,10 +81,8 @@ def embed_cached(texts_df: DataFrame, cache_path: str, embed: Callable[[DataFram
     spark = texts_df.sparkSession
     embed = embed or (lambda df: df.withColumn("vector", texts.hash_vector(F.col("text"))))
     wanted = texts_df.select("text").distinct().select(F.sha2("text", 256).alias("key"), "text")
-    try:
-        cached = spark.read.parquet(cache_path)
-    except AnalysisException:
-        cached = None
-    missing = wanted if cached is None else wanted.join(cached.select("key"), "key", "left_anti")
+    missing = wanted
+    if files.exists(spark, cache_path):
+        missing = wanted.join(spark.read.parquet(cache_path).select("key"), "key", "left_anti")
     embed(missing).write.mode("append").parquet(cache_path)
     return spark.read.parquet(cache_path).join(wanted.select("key"), "key", "left_semi")
