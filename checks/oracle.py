@@ -497,6 +497,11 @@ add("dense_cosine_topk", """SELECT vec_id, label, cosine, rank FROM (SELECT *, r
     FROM vec_edges) q WHERE rank <= 5""")
 add("vector_link", f"""SELECT vec_id, label, cosine FROM ({K.greedy('SELECT 0 AS g, * FROM vec_edges WHERE cosine > 0', ['g'], 'vec_id', 'label', ['cosine'], True)}) w
     JOIN vec_edges USING (vec_id, label)""")
+EXTRA["half_edges"] = """SELECT * FROM (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+    FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) q WHERE cosine >= 0.3"""
+add("vector_nearest", "SELECT a_id, b_id, cosine FROM half_edges QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY cosine DESC, b_id) = 1")
+add("vector_pairs", f"""SELECT a_id, b_id, cosine FROM ({K.greedy('SELECT 0 AS g, * FROM half_edges', ['g'], 'a_id', 'b_id', ['cosine'], True)}) w
+    JOIN half_edges USING (a_id, b_id)""")
 # of each label's vectors only the ten best can be in the optimum, as there are ten labels
 add("vector_assign", "SELECT * FROM (WITH " + K.optimal("""SELECT 0 AS g, vec_id, label, cosine FROM vec_edges WHERE cosine > 0
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY cosine DESC) <= 10""", ["g"], "vec_id", "label", K.micro("cosine"), 100).replace(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity
@@ -92,10 +93,10 @@ def record_link(left: DataFrame, right: DataFrame, min_jaccard: float, min_score
     return assign.greedy(edges, ["_all"], "a_name", "b_name", ["score"]).drop("_all")
 
 
-def centroids(vectors: DataFrame, label: str, vector: str, width: int) -> DataFrame:
-    """Mean vector per label, one partial sum per place."""
-    means = vectors.groupBy(label).agg(*[F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(width)])
-    return means.select(label, F.array(*[f"_{i}" for i in range(width)]).alias("centroid"))
+def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean vector per label, of any width: partial sums per place, then the places in order."""
+    places = vectors.select(label, F.posexplode(vector).alias("_place", "_x")).groupBy(label, "_place").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    return places.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_m"))), lambda p: p["_m"]).alias("centroid"))
 
 
 def target_cosines(vectors: DataFrame, vector: str, targets: DataFrame, target: str, limit: int = 10_000) -> DataFrame:
@@ -127,3 +128,64 @@ def vector_assign(cosines: DataFrame, id_col: str, min_cosine: float, cap: int =
     edges = cosines.select(id_col, F.inline(F.filter("near", lambda n: n["cosine"] > min_cosine))).withColumns(
         {"_all": F.lit(0), "_weight": pairs.micro(F.col("cosine"))})
     return assign.optimal(edges.filter("_weight > 0"), ["_all"], id_col, "target", "_weight", cap).drop("_all", "_weight")
+
+
+def _directions(df: DataFrame, id_col: str, vector: str, out: str) -> DataFrame:
+    """Distinct usable vectors scaled to length 1, each with the least id that has it; null, NaN, infinite and zero ones have no direction."""
+    usable = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.filter(usable).groupBy(F.transform(vector, lambda x: x.cast("double")).alias("_v")).agg(F.min(id_col).alias(out))
+    length = F.sqrt(similarity.dot(F.col("_v"), F.col("_v")))
+    return rows.withColumn("_n", length).filter("_n > 0").select(out, F.size("_v").alias("_w"), F.transform("_v", lambda x: x / F.col("_n")).alias(f"{out}_u"))
+
+
+def _angle(a: Column, b: Column) -> Column:
+    """Between two directions, the shorter one taken as filled up with zeros."""
+    product = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product)))
+
+
+def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, min_cosine: float, pivots: int = 32, salts: int = 8) -> DataFrame:
+    """(a_id, b_id, cosine) of all pairs of directions of two sets with a cosine of ``min_cosine`` (above 0) or more.
+
+    Copies of a vector are one, named by their least id; vectors of other widths are never alike.  Exact, by the
+    triangle inequality of angles: each right vector belongs to its nearest of a few pivots and to a ring of its angle to that
+    pivot; a left one meets only pivots and rings that a partner can be in, and there only those whose angles to all
+    pivots differ by no more than the allowed angle.  A ring's members are spread over ``salts`` tasks.
+    """
+    reach = math.acos(min_cosine)
+    slack = 1e-7
+    a, b = settle(_directions(left, id_col, vector, "a_id")), settle(_directions(right, id_col, vector, "b_id"))
+    chosen = b.orderBy(F.xxhash64("b_id_u"), "b_id").select("b_id_u").limit(pivots).collect()
+    if not chosen:
+        return a.join(b, a["_w"] == b["_w"]).select("a_id", "b_id", F.lit(0.0).alias("cosine"))
+    listed = literal_rows([{"p": [float(x) for x in r[0]]} for r in chosen])
+
+    def placed(df: DataFrame, u: str, out: str) -> DataFrame:
+        angles = F.transform("_pivots", lambda p: _angle(F.col(u), p["p"]))
+        return df.withColumn("_pivots", listed).withColumn(out, angles).drop("_pivots").withColumn("_least", F.array_min(out))
+
+    ring = placed(b, "b_id_u", "b_at").select(
+        "b_id", "_w", "b_id_u", "b_at", (F.array_position("b_at", F.col("_least")) - 1).cast("int").alias("pivot"),
+        F.floor(F.col("_least") / reach).cast("int").alias("ring"), F.pmod(F.xxhash64("b_id"), F.lit(salts)).cast("int").alias("salt"))
+    near = F.filter(F.transform("a_at", lambda x, i: F.struct(i.cast("int").alias("pivot"), x.alias("angle"))),
+                    lambda p: p["angle"] <= F.col("_least") + (2 * reach + slack))
+    meets = placed(a, "a_id_u", "a_at").select("a_id", "_w", "a_id_u", "a_at", F.explode(near).alias("n")).select(
+        "a_id", "_w", "a_id_u", "a_at", F.col("n.pivot").alias("pivot"), F.explode(F.sequence(
+            F.floor(F.greatest(F.col("n.angle") - (reach + slack), F.lit(0.0)) / reach).cast("int"),
+            F.floor((F.col("n.angle") + (reach + slack)) / reach).cast("int"))).alias("ring")
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    apart = F.exists(F.zip_with("a_at", "b_at", lambda x, y: F.abs(x - y)), lambda d: d > reach + slack)
+    met = meets.join(ring, ["pivot", "ring", "salt", "_w"]).filter(~apart)
+    value = F.round(similarity.dot(F.col("a_id_u"), F.col("b_id_u")), 6)
+    return met.select("a_id", "b_id", value.alias("cosine")).filter(F.col("cosine") >= min_cosine)
+
+
+def nearest_pairs(pairs_found: DataFrame) -> DataFrame:
+    """Each left vector's nearest right one, the smaller id among equals."""
+    return pairs_found.groupBy("a_id").agg(F.max(F.struct("cosine", (-F.col("b_id")).alias("b"))).alias("m")).select(
+        "a_id", (-F.col("m.b")).alias("b_id"), F.col("m.cosine").alias("cosine"))
+
+
+def pair_off(pairs_found: DataFrame) -> DataFrame:
+    """One right vector per left one and the other way round, greedily by cosine."""
+    return assign.greedy(pairs_found.withColumn("_all", F.lit(0)), ["_all"], "a_id", "b_id", ["cosine"]).drop("_all")

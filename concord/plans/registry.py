@@ -404,7 +404,7 @@ def embedding_cache(spark, sf):
 
 def _vector_cosines(spark, sf):
     v = read_table(spark, sf, "embeddings")
-    return records.target_cosines(v, "embedding", records.centroids(v, "label", "embedding", 64), "label")
+    return records.target_cosines(v, "embedding", records.centroids(v, "label", "embedding"), "label")
 
 
 @query
@@ -419,6 +419,23 @@ def vector_link(spark, sf):
     return records.vector_link(_vector_cosines(spark, sf), "vec_id", 0.0).select("vec_id", F.col("target").alias("label"), "cosine")
 
 
+def _halves(spark, sf):
+    v = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return records.vector_pairs(v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1"), "vec_id", "embedding", 0.3)
+
+
+@query
+def vector_nearest(spark, sf):
+    """The nearest vector of odd id for every vector of even id, from cosine 0.3 on."""
+    return records.nearest_pairs(_halves(spark, sf))
+
+
+@query
+def vector_pairs(spark, sf):
+    """Vectors of even and of odd id linked one-to-one."""
+    return records.pair_off(_halves(spark, sf)).select("a_id", "b_id", "cosine")
+
+
 @query
 def vector_assign(spark, sf):
     """One vector per label centroid with the largest total cosine; one group of all pairs, far over the fold's size given."""
