@@ -672,3 +672,8 @@ add("order_intake", """SELECT o_custkey::VARCHAR AS submission_id, count(DISTINC
 add("catalog_intake", "SELECT submission_id, round(avg(match::INT), 6) AS column_ratio FROM col_pairs GROUP BY submission_id")
 SQL["name_hits_joined"] = SQL["name_hits"]
 SQL["blocked_lookup_joined"] = SQL["blocked_lookup"]
+add("ordered_catalog", """SELECT submission_id, original_name, ordinal, column_name, data_type,
+    row_number() OVER (ORDER BY submission_id, original_name, ordinal, column_name, data_type) AS row_number FROM cols""")
+add("tied_pairs", """SELECT p_partkey, s_suppkey, p_size FROM
+    (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS r FROM part) p JOIN
+    (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS r FROM supplier) s ON p_size = s_nationkey AND p.r = s.r""")

@@ -49,7 +49,8 @@ def greedy(
     small, large = split_by_size(edges, group, cap)
     chosen = _greedy_folded(small, group, left, right, carried, descending)
     if large is not None:
-        chosen = chosen.unionByName(_greedy_rounds(large, group, left, right, carried, descending))
+        scores = order[: min([order.index(c) for c in (left, right) if c in order], default=len(order))]
+        chosen = chosen.unionByName(_greedy_rounds(large, group, left, right, carried, descending, scores))
     return chosen
 
 
@@ -65,15 +66,23 @@ def _greedy_folded(edges, group, left, right, carried, descending) -> DataFrame:
     return rows.select(*group, F.inline(kept))
 
 
-def _greedy_rounds(edges, group, left, right, carried, descending) -> DataFrame:
+def _greedy_rounds(edges, group, left, right, carried, descending, scores) -> DataFrame:
     """Rounds of mutual best edges: an edge first at both ends is always taken by the walk.
 
     The best edge per end is a max or min aggregate, combined before the shuffle, so an end
-    with very many edges costs no more than one row per input task.
+    with very many edges costs no more than one row per input task.  From the second round on
+    blocks of equal scores are paired whole.
     """
     best = F.max if descending else F.min
     taken = None
     while True:
+        if taken is not None and carried[: len(scores)] == scores:
+            paired = settle(_tied_blocks(edges, group, left, right, carried, descending, scores))
+            taken = taken.unionByName(paired)
+            edges = settle(
+                edges.join(paired.select(*group, left), [*group, left], "left_anti")
+                .join(paired.select(*group, right), [*group, right], "left_anti")
+            )
         edge = F.struct(*carried).alias("_e")
         per_left = edges.groupBy(*group, left).agg(best(edge).alias("_e")).select(*group, "_e")
         per_right = edges.groupBy(*group, right).agg(best(edge).alias("_e")).select(*group, "_e")
@@ -87,6 +96,41 @@ def _greedy_rounds(edges, group, left, right, carried, descending) -> DataFrame:
         )
 
 
+def _tied_blocks(edges, group, left, right, carried, descending, scores) -> DataFrame:
+    """What the walk takes from complete blocks of equal scores, all at once.
+
+    A block is a set of left and a set of right ends, each linked with all of the other side by an edge of one score, the best
+    that any of them has, and with no one else by such an edge.  Nothing outside can come between, so the walk takes the
+    first left end with the first right end, the second with the second, and so on.  Ends of one block are known by
+    the count and two combined hashes of those they are linked with by their best score.
+    """
+    best = F.max if descending else F.min
+    score = F.struct(*scores) if scores else F.struct(F.lit(0).alias("_none"))
+    edges = edges.withColumn("_score", score)
+    top = edges.join(edges.groupBy(*group, left).agg(best("_score").alias("_bl")), [*group, left]).join(
+        edges.groupBy(*group, right).agg(best("_score").alias("_br")), [*group, right])
+    top = settle(top.select(*group, left, right, (F.col("_score") == F.col("_bl")).alias("_l"), (F.col("_score") == F.col("_br")).alias("_r")).filter("_l or _r"))
+
+    def of(others: str, out: str) -> list[Column]:
+        return [F.count(F.lit(1)).alias(f"{out}n"), F.bit_xor(F.xxhash64(others)).alias(f"{out}x"), F.bit_xor(F.xxhash64(F.lit("second"), others)).alias(f"{out}y")]
+
+    lefts = settle(top.filter("_l").groupBy(*group, left).agg(*of(right, "_s")))
+    block = [*group, "_sn", "_sx", "_sy"]
+    members = lefts.groupBy(*block).agg(*of(left, "_m"))
+    rights = top.filter("_r").groupBy(*group, right).agg(*of(left, "_t"))
+    held = top.filter("_l and _r").join(lefts, [*group, left]).join(members, block).join(rights, [*group, right]).filter(
+        "_tn = _mn and _tx = _mx and _ty = _my")
+    whole = held.groupBy(*group, left, "_sn", "_sx", "_sy").agg(F.count(F.lit(1)).alias("_held")).filter("_held = _sn")
+
+    def ranked(df: DataFrame, end: str) -> DataFrame:
+        w = Window.partitionBy(*block).orderBy(F.desc(end) if descending else F.asc(end))
+        return df.withColumn("_rank", F.row_number().over(w))
+
+    a = settle(ranked(whole.select(*block, left), left))
+    b = ranked(held.join(whole.select(*block).distinct(), block, "left_semi").select(*block, right).distinct(), right)
+    return edges.join(a.join(b, [*block, "_rank"]).select(*group, left, right), [*group, left, right], "left_semi").select(*group, *carried)
+
+
 # Bits of an edge's first and second tie value.
 TIE_BITS, SECOND_BITS = 20, 16
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity, texts, typerules, vocab
-from concord.operators import assign, counts, keys, lookup, pairs, records, scores, tables, views
+from concord.operators import assign, counts, keys, lookup, order, pairs, records, scores, tables, views
 from concord.operators import columns as col_ops
 from concord.plans import reports
 from concord.plans.batch import Batch, folder_batch, star_batch
@@ -68,6 +68,12 @@ def alias_columns(spark, sf):
     return catalog.prepare_columns(synthetic.raw_columns(spark, sf), aliases=COLUMN_ALIASES)
 
 
+@query
+def ordered_catalog(spark, sf):
+    """Every column in the order of its submission, table and ordinal, with a running number over all of them."""
+    return order.numbered(_columns(spark, sf).drop("cleaned_name"), ["submission_id", "original_name", "ordinal"])
+
+
 @query
 def catalog_early_rows(spark, sf):
     return catalog.prepare_rows_early(synthetic.raw_columns(spark, sf), {**COLUMN_ALIASES, "events": "event_log"})
@@ -794,6 +800,14 @@ def part_name_link(spark, sf):
     return records.record_link(a, b, 0.5, 70.0).select("a_name", "b_name", "score")
 
 
+@query
+def tied_pairs(spark, sf):
+    """Parts handed to suppliers whose nation is numbered like their size, larger sizes first: large blocks of equal scores."""
+    edges = read_table(spark, sf, "part").join(read_table(spark, sf, "supplier"), F.col("p_size") == F.col("s_nationkey")).select(
+        F.lit(0).alias("_all"), "p_partkey", "s_suppkey", "p_size")
+    return assign.greedy(edges, ["_all"], "p_partkey", "s_suppkey", ["p_size"]).drop("_all")
+
+
 @query
 def score_card(spark, sf):
     """Weighted marks per customer from checks on the orders."""

@@ -132,3 +132,18 @@ def test_components(spark):
     rows = [(0, k, k) for k in range(30)] + [(0, k + 1, k) for k in range(29) if k != 14] + [(1, 5, 1), (1, 6, 1), (1, 7, 2)]
     got = {(r.g, r.i): r._part for r in assign._components(spark.createDataFrame(rows, "g int, i int, j int"), ["g"], "i", "j").collect()}
     assert got == {(0, k): 0 if k < 15 else 15 for k in range(30)} | {(1, 5): 5, (1, 6): 5, (1, 7): 7}
+
+
+def test_tied_blocks_take_few_rounds(spark, monkeypatch):
+    """A large block of one score, blocks that hang together, and one that an end with a better edge reaches into."""
+    rows = [(0, i, j, 5) for i in range(60) for j in range(70)]
+    rows += [(0, 100 + i, 100 + j, 7) for i in range(9) for j in range(4)] + [(0, 100, 50, 5), (0, 200, 104, 6), (0, 108, 104, 7)]
+    rows += [(1, i, j, 3) for i in range(6) for j in range(6)] + [(1, 50, 5, 9), (1, 3, 60, 3), (1, 50, 60, 9)]
+    rows += edges(12, 30, 6, 2)[:0] + [(2 + g, i, j, w) for g, i, j, w in edges(12, 10, 6, 2)]
+    settled = []
+    original = assign.settle
+    monkeypatch.setattr(assign, "settle", lambda df: settled.append(1) or original(df))
+    df = spark.createDataFrame(rows, "g int, i int, j int, w int")
+    got = sorted((r.g, r.i, r.j, r.w) for r in assign.greedy(df, ["g"], "i", "j", ["w"], cap=1).collect())
+    assert got == sorted(e for es in grouped(rows).values() for e in walk(es))
+    assert len(settled) < 70  # seven tables a round: under ten rounds for blocks of 60 pairs
