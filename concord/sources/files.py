@@ -27,3 +27,25 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = system.create(place, True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file whole."""
+    system, place = _located(spark, path)
+    opened = system.open(place)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, place = _located(spark, path)
+    if not system.rename(place, _located(spark, to)[1]):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file, or a folder with all that it holds."""
+    system, place = _located(spark, path)
+    system.delete(place, True)

@@ -2,40 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, texts
-from concord.session import settle
 from concord.sources import files
 
 
-def replace_submissions(df: DataFrame, path: str, buckets: int = 64) -> None:
+#: Versions of a store after which they are merged into one.
+MERGE_EVERY = 16
+
+
+def replace_submissions(df: DataFrame, path: str, buckets: int = 64, merge_every: int = MERGE_EVERY) -> None:
     """Write rows keyed by ``submission_id``; submissions present in ``df`` replace their stored rows.
 
-    The store is partitioned by a hash bucket of the id, not by the id itself, so millions of
-    submissions do not become millions of folders.  Only the buckets of the new submissions
-    are rewritten, each from its other submissions and the new rows.
+    The rows become a new version in a folder of its own, next to a list of its submissions; nothing that is stored is
+    written again.  A manifest, a small file that names the versions from old to new, is put in place last: until then
+    readers see the old state, and a writer that fails changes nothing.  Every ``merge_every`` versions the
+    rows that still count are merged into one, in ``buckets`` parts.  One writer at a time.
     """
     spark = df.sparkSession
-    fresh = settle(df.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(buckets)).cast("int")))
-    if files.exists(spark, path):
-        stored = spark.read.parquet(path)
-        # at most ``buckets`` values
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
-        others = stored.filter(F.col("bucket").isin(touched)).join(
-            fresh.select("submission_id").distinct(), "submission_id", "left_anti"
-        )
-        fresh = settle(fresh.unionByName(others))
-    (
-        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    )
+    number, versions = _manifest(spark, path)
+    versions = [*versions, _write_version(df, path)]
+    if len(versions) >= merge_every:
+        versions = [_write_version(_live(spark, path, versions).repartition(buckets, "submission_id"), path)]
+    _commit(spark, path, number + 1, versions)
+
+
+def _write_version(df: DataFrame, path: str) -> str:
+    """Rows in a new folder, and which submissions they are of."""
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/rows/{name}")
+    df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows/{name}").select("submission_id").distinct().write.parquet(f"{path}/ids/{name}")
+    return name
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number and versions of the manifest in force; 0 and none where nothing is stored."""
+    numbers = [int(n) for n in files.children(spark, f"{path}/manifest") if n.isdigit()]
+    if not numbers:
+        if [n for n in files.children(spark, path) if n not in ("rows", "ids", "manifest") and not n.startswith(".")]:
+            raise ValueError(f"{path} holds something else than a store")
+        return 0, []
+    last = max(numbers)
+    return last, files.read_text(spark, f"{path}/manifest/{last}").split()
+
+
+def _commit(spark: SparkSession, path: str, number: int, versions: list[str]) -> None:
+    """The new manifest under its number: written beside, then renamed."""
+    if files.exists(spark, f"{path}/manifest/{number}"):
+        raise RuntimeError(f"another writer has changed {path}")
+    beside = f"{path}/manifest/_{uuid.uuid4().hex}"
+    files.write_text(spark, beside, "\n".join(versions))
+    files.rename(spark, beside, f"{path}/manifest/{number}")
+
+
+def _live(spark: SparkSession, path: str, versions: list[str]) -> DataFrame:
+    """Rows of every version without the submissions of later ones; the newest is taken as it is."""
+    out, later = None, None
+    for name in reversed(versions):
+        rows, ids = spark.read.parquet(f"{path}/rows/{name}"), spark.read.parquet(f"{path}/ids/{name}")
+        kept = rows if later is None else rows.join(later, "submission_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept, allowMissingColumns=True)
+        later = ids if later is None else later.unionByName(ids)
+    return out
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """The rows that count as of now."""
+    _, versions = _manifest(spark, path)
+    if not versions:
+        raise ValueError(f"nothing is stored in {path}")
+    return _live(spark, path, versions)
+
+
+def remove_unused(spark: SparkSession, path: str) -> None:
+    """Folders and manifests that the manifest in force does not name; not while anyone still reads an older state."""
+    number, versions = _manifest(spark, path)
+    for part, kept in (("rows", versions), ("ids", versions), ("manifest", [str(number)])):
+        for name in files.children(spark, f"{path}/{part}"):
+            if name not in kept and not name.startswith("."):
+                files.remove(spark, f"{path}/{part}/{name}")
 
 
 def resolve_ids(keys: DataFrame, tables: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:

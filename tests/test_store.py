@@ -16,6 +16,46 @@ def test_replace_touches_only_the_given_submissions(spark, tmp_path):
     assert [(r.table_name, r.n) for r in rows if r.submission_id == "7"] == [("c", 9)]
 
 
+def test_a_writer_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.replace_submissions(spark.createDataFrame([("1", "a", 1), ("2", "a", 2)], ROWS), path)
+    before = sorted(map(tuple, store.read_store(spark, path).collect()))
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    bad = spark.createDataFrame([("1", "b", 5), ("2", "b", 0)], ROWS).select(
+        "submission_id", "table_name", F.when(F.col("n") == 0, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("n")).alias("n"))
+    for name in (None, "_commit", "_write_version"):
+        with monkeypatch.context() as m:
+            if name:
+                m.setattr(store, name, stop)
+            try:
+                store.replace_submissions(bad if name is None else spark.createDataFrame([("1", "c", 7)], ROWS), path)
+            except Exception as failed:  # noqa: BLE001
+                assert "stop" in str(failed)
+        assert sorted(map(tuple, store.read_store(spark, path).collect())) == before
+    store.replace_submissions(spark.createDataFrame([("1", "c", 7)], ROWS), path)
+    assert sorted(map(tuple, store.read_store(spark, path).collect())) == [("1", "c", 7), ("2", "a", 2)]
+
+
+def test_versions_are_merged_and_old_ones_removed(spark, tmp_path):
+    path, want = str(tmp_path / "store"), {}
+    for k in range(7):
+        rows = [(str(i), "t", k) for i in range(k, k + 3)]
+        want |= {i: n for i, _, n in rows}
+        before = {p.name for p in (tmp_path / "store" / "rows").glob("*")} if k else set()
+        store.replace_submissions(spark.createDataFrame(rows, ROWS), path, buckets=2, merge_every=3)
+        assert before <= {p.name for p in (tmp_path / "store" / "rows").glob("*")}
+        assert {r.submission_id: r.n for r in store.read_store(spark, path).collect()} == want
+    old = store.read_store(spark, path)
+    store.replace_submissions(spark.createDataFrame([("0", "new", 100)], ROWS), path)
+    assert {r.submission_id: r.n for r in old.collect()} == want  # a reader keeps the state that it began with
+    store.remove_unused(spark, path)
+    assert {r.submission_id: r.n for r in store.read_store(spark, path).collect()} == want | {"0": 100}
+    assert len(list((tmp_path / "store" / "rows").iterdir())) <= 3 and len([p for p in (tmp_path / "store" / "manifest").iterdir() if p.name.isdigit()]) == 1
+
+
 def test_report_per_submission_has_a_header_and_comes_back(spark, tmp_path):
     path = str(tmp_path / "report")
     df = spark.createDataFrame([("00000007", "v", 3), ("00000008", "w", 4)], ROWS)
