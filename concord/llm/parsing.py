@@ -132,8 +132,8 @@ def phrases(docs: DataFrame, from_level: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, texts = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("text").to_pylist()
-                nulls, size = np.array([x is None for x in part.column("doc_id").to_pylist()], bool), np.array([*map(len, texts)], np.int64)
+                ids, texts = part.column("doc_id").fill_null(0).to_numpy(), part.column("text").to_pylist()
+                nulls, size = part.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.array([*map(len, texts)], np.int64)
                 for number, (rows, first, names, start) in enumerate(levels(texts), 1):
                     if number < from_level:
                         continue
@@ -141,7 +141,7 @@ def phrases(docs: DataFrame, from_level: int = 2) -> DataFrame:
                     end = np.append(start[1:], 0)
                     end[first[1:] - 1] = size[rows]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.nan_to_num(ids[row]).astype(np.int64), mask=nulls[row]), pa.array(np.full(len(row), number, np.int32)),
+                        pa.array(ids[row], mask=nulls[row]), pa.array(np.full(len(row), number, np.int32)),
                         pa.array(start), pa.array(end - start), pa.array(long_ints(names)),
                     ], ["doc_id", "level", "start", "length", "name"])
 

@@ -67,7 +67,7 @@ def test_a_shared_passage_keeps_its_names_at_any_offset():
 
 
 def test_phrases_cover_each_text(spark):
-    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "null id, some text"), (50, None)]
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "null id, some text"), (50, None), (2**60 + 1, "a long id, some text")]
     got = parsing.phrases(spark.createDataFrame(rows, "doc_id bigint, text string"), from_level=1).collect()
     by = {}
     for r in got:
