@@ -677,3 +677,7 @@ add("ordered_catalog", """SELECT submission_id, original_name, ordinal, column_n
 add("tied_pairs", """SELECT p_partkey, s_suppkey, p_size FROM
     (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS r FROM part) p JOIN
     (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS r FROM supplier) s ON p_size = s_nationkey AND p.r = s.r""")
+SQL["domain_text_joined"] = SQL["domain_text"]
+add("phrase_hits", """SELECT DISTINCT doc_id, phrase FROM documents JOIN (SELECT DISTINCT lower(p) AS phrase FROM (
+      SELECT substr(text, (k * length(text) // 3 + 1)::INT, 24) AS p FROM benchmark, (VALUES (0), (1), (2)) t(k) UNION ALL SELECT p_name FROM part) u WHERE p <> '') q
+    ON contains(lower(text), phrase)""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions import names, similarity, texts, typerules, vocab
-from concord.operators import assign, counts, keys, lookup, order, pairs, records, scores, tables, views
+from concord.operators import assign, counts, keys, lookup, order, pairs, phrases, records, scores, tables, views
 from concord.operators import columns as col_ops
 from concord.plans import reports
 from concord.plans.batch import Batch, folder_batch, star_batch
@@ -389,6 +389,22 @@ def domain_text(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", texts.domain_text(F.col("text")).alias("text"))
 
 
+@query
+def domain_text_joined(spark, sf):
+    """The same texts by the join that takes a dictionary of any size."""
+    entries = local_table(spark, [(n, p, s) for n, (p, s) in enumerate(vocab.DOMAIN_PATTERNS.items())], "position int, phrase string, synonyms array<string>")
+    return phrases.expanded(read_table(spark, sf, "documents"), "doc_id", "text", entries)
+
+
+@query
+def phrase_hits(spark, sf):
+    """Part names, and every run of 24 characters that starts a third of a benchmark passage apart, found in whole documents."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.substring("text", F.floor(k * F.length("text") / 3).cast("int") + 1, F.lit(24)))
+    passages = read_table(spark, sf, "benchmark").select(F.explode(starts).alias("phrase"))
+    wanted = passages.unionByName(read_table(spark, sf, "part").select(F.col("p_name").alias("phrase")))
+    return phrases.phrase_hits(read_table(spark, sf, "documents"), "doc_id", "text", wanted)
+
+
 @query
 def gram_cosine(spark, sf):
     """Cosine of every answer table text with every distinct student table text."""
