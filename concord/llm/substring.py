@@ -96,7 +96,8 @@ def _windows(size: int):
                 done += part.num_rows
                 w = words_of(part.column("text"))
                 h = w.hashes()
-                own = long_ints(_sequence_hash(w, h)) == np.asarray(part.column("sequence"))
+                sequence = long_ints(_sequence_hash(w, h))
+                own = sequence == np.asarray(part.column("sequence"))
                 ask = np.zeros(len(h), bool)
                 for row, at in enumerate(places):
                     a, b = w.first[row], w.first[row + 1]
@@ -106,7 +107,7 @@ def _windows(size: int):
                 row = w.row[starts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(long_ints(w.window_hashes(h, starts, size))), pa.array(np.asarray(part.column("doc_id"))[row]),
-                    pa.array((starts - w.first[row]).astype(np.int32))], ["window", "doc_id", "start"])
+                    pa.array(sequence[row]), pa.array((starts - w.first[row]).astype(np.int32))], ["window", "doc_id", "sequence", "start"])
 
     return run
 
@@ -162,12 +163,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         shared.hint("shuffle_hash"), "anchor").groupBy("doc_id", "sequence").agg(F.collect_list("place").alias("places"))
     places = settle(places.join(first.select("sequence", F.col("first_id").alias("doc_id")), ["doc_id", "sequence"]))
     chosen = settle(text.join(places, "doc_id"))
-    windows = chosen.mapInArrow(_windows(window), "window bigint, doc_id bigint, start int")
+    windows = chosen.mapInArrow(_windows(window), "window bigint, doc_id bigint, sequence bigint, start int")
     least = settle(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(
         F.col("least") < F.col("most")).select("window", "least"))
-    found = windows.join(least.hint("shuffle_hash"), "window").filter(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(
+    found = windows.join(least.hint("shuffle_hash"), "window").filter(F.col("doc_id") > F.col("least")).groupBy("doc_id", "sequence").agg(
         F.collect_list("start").alias("starts"))
-    cut = settle(chosen.drop("places").join(found, "doc_id").mapInArrow(
+    cut = settle(chosen.drop("places").join(found, ["doc_id", "sequence"]).mapInArrow(
         _cut(window, with_text), "doc_id bigint, sequence bigint, n_removed bigint, kept_sha256 string, kept_text string"))
     nothing = hashlib.sha256(b"").hexdigest()
     out = every.join(first, ["sequence", "n_words"], "left").join(cut.distinct(), ["doc_id", "sequence"], "left")

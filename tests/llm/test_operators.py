@@ -59,6 +59,13 @@ def test_substring_dedup(docs, none):
     assert substring.dedup(none).count() == 0
 
 
+def test_substring_dedup_of_two_texts_under_one_id(spark):
+    clean = " ".join(f"c{i}" for i in range(222))
+    rows = [(1, A, "x"), (2, B + " " + A, "x"), (2, clean, "x"), (2, clean, "x")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")).collect())
+    assert got == {(1, 120, 0): 1, (2, 200, 120): 1, (2, 222, 0): 2}
+
+
 def test_exact_dedup(docs, none):
     got = exact.mark(docs).collect()
     assert len(got) == len(ROWS) and exact.mark(none).count() == 0
