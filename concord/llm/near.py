@@ -2,8 +2,8 @@
 
 Two sets that are similar enough share one of their first few members, whatever order is laid over all members (the
 prefix filter).  Each of ORDERS orders puts members that a sketch of the whole corpus holds for rare first and breaks
-ties by its own hash.  The first order's prefixes generate candidates; prefixes under the others are then intersected,
-and what is left is verified on the whole sets.
+ties by its own hash.  The first order's prefixes generate candidates; a pair is verified on the whole sets only if its
+prefixes meet under every order.
 
 Equal sets are one class.  In a prefix's bucket every class is first held against one hub, the bucket's most typical
 class, so that a large group of near copies gives as many pairs as it has members.  Links that the hubs don't show are
@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,9 @@ CHUNK, FAN_IN = 1 << 12, 64
 NEAR = 50
 #: A set of so many members for each bucket in which it meets a hub is held against it.
 MEETS = 200
+#: Pairs of one class that meet in one place; pairs compared at once (both sides' rows fit into 16 bits).
+PAIRS, SLICE_PAIRS = 500, 30_000
+_ORDER_COLUMNS = [f"order_{k}" for k in range(1, ORDERS)]
 #: 48 bits name a member of a set.
 _NAME = np.uint64((1 << 48) - 1)
 
@@ -146,51 +152,126 @@ def _prefix_rows(gram: int, percent: int, sketch):
     return run
 
 
-def _list_rows(gram: int, percent: int, sketch, order: int | None):
-    """(class, list): whole sets, or their prefixes under one order, of texts whose class is the expected one."""
+def _with_orders(gram: int, percent: int, sketch):
+    """(class, text) with the prefixes under the orders after the first, 32 bits of each member (they only rule out)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows, names = sets_of(words_of(part.column("text"), lower=True), gram)
                 sizes = np.bincount(rows, minlength=part.num_rows)
-                own = pa.array(class_of(rows, names, sizes))
-                found = _lists(names, sizes)
-                if order is not None:
+                orders = []
+                for order in range(1, ORDERS):
                     at = prefixes(rows, names, sizes, sketch.value, order, percent)
-                    found = _lists(names[at], np.bincount(rows[at], minlength=part.num_rows))
-                made = pa.RecordBatch.from_arrays([own, found], ["class", "list"])
-                yield made.filter(pc.equal(own, part.column("class")))
+                    orders.append(_lists(names[at].astype(np.uint32).view(np.int32), np.bincount(rows[at], minlength=part.num_rows)))
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("text"), *orders], ["class", "text", *_ORDER_COLUMNS])
 
     return run
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.astype(np.int64)))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
 
 
-def by_class(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder in buckets of ``class``, so that later joins on it move the other side only."""
+def _shared(a_row: np.ndarray, a_name: np.ndarray, b_row: np.ndarray, b_name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of side a, and which of side b, the other side of the same pair has.  Members of a pair differ."""
+    a = a_row.astype(np.uint64) << np.uint64(48) | a_name
+    b = b_row.astype(np.uint64) << np.uint64(48) | b_name
+    order = np.argsort(a)
+    at = np.minimum(np.searchsorted(a[order], b), max(len(a) - 1, 0))
+    in_a = a[order][at] == b if len(a) else np.zeros(len(b), bool)
+    in_b = np.zeros(len(a), bool)
+    in_b[order[at[in_a]]] = True
+    return in_b, in_a
+
+
+def _compare(gram: int, percent: int, sketch, full: bool):
+    """Both texts of each pair as sets: their share, whether they link, and in what they differ if they are near.
+
+    They link if their prefixes meet under every order and the whole sets share enough.  A text that stands in many
+    pairs of a slice as ``b`` is cut into words once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "a_text", SLICE_PAIRS):
+                n = part.num_rows
+                _, first, which = np.unique(np.asarray(part.column("b")), return_index=True, return_inverse=True)
+                both = pa.concat_arrays([part.column("a_text"), part.column("b_text").take(pa.array(first))])
+                rows, names = sets_of(words_of(both, lower=True), gram)
+                sizes = np.bincount(rows, minlength=n + len(first))
+                begin = np.cumsum(sizes) - sizes
+
+                def sides(places: np.ndarray, which=which, rows=rows, names=names, n=n, total=len(sizes)):
+                    """Pair and name of the members at some places, for a and, once for each of its pairs, for b."""
+                    places = np.sort(places)
+                    held = np.bincount(rows[places], minlength=total)
+                    start = np.cumsum(held) - held
+                    a = places[: held[:n].sum()]
+                    size = held[n + which]
+                    pair = np.repeat(np.arange(n), size)
+                    b = places[np.repeat(start[n + which] - (np.cumsum(size) - size), size) + np.arange(len(pair))]
+                    return rows[a], names[a], pair, names[b]
+
+                meets = np.ones(n, bool)
+                for order in range(ORDERS):
+                    a_row, a_name, b_row, b_name = sides(prefixes(rows, names, sizes, sketch.value, order, percent))
+                    in_b, _ = _shared(a_row, a_name, b_row, b_name)
+                    meets &= np.bincount(a_row[in_b], minlength=n) > 0
+                a_row, a_name, b_row, b_name = sides(np.arange(len(rows)))
+                in_b, in_a = _shared(a_row, a_name, b_row, b_name)
+                common = np.bincount(a_row[in_b], minlength=n)
+                union = sizes[:n] + sizes[n + which] - common
+                linked = meets & (100 * common >= percent * union)
+                if not full:
+                    kept = pa.array(linked)
+                    yield pa.RecordBatch.from_arrays([part.column("a").filter(kept), part.column("b").filter(kept)], ["a", "b"])
+                    continue
+                near = 100 * common >= NEAR * union
+                lists = []
+                for row, name, drop in ((b_row, b_name, in_a), (a_row, a_name, in_b)):
+                    stays = ~drop & near[row]
+                    found = _lists(name[stays].astype(np.int64), np.bincount(row[stays], minlength=n))
+                    lists.append(pc.if_else(pa.array(near), found, pa.nulls(n, found.type)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), part.column("size"), pa.array(100.0 * common / np.maximum(union, 1)), pa.array(linked), *lists],
+                    ["class", "hub", "size", "share", "linked", "missing", "extra"])
+
+    return run
+
+
+@contextmanager
+def by_class(df: DataFrame, with_orders, fields: str) -> Iterator[DataFrame]:
+    """One row of ``df`` for each class, passed through ``with_orders`` and written to the shared folder in buckets of
+    ``class``, so that later joins on it move the other side only.  The session's catalog knows the table meanwhile."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"concord_{uuid.uuid4().hex}"
-    df.repartition(buckets, "class").write.bucketBy(buckets, "class").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    rows = df.repartition(buckets, "class").dropDuplicates(["class"]).mapInArrow(with_orders, fields)
+    rows.write.bucketBy(buckets, "class").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
-def both_lists(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) of classes with both sides' lists."""
-    side = lambda s: lists.select(F.col("class").alias(s), F.col("list").alias(f"{s}_list"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+def with_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b, ...) with columns of both classes, as a_<column> and b_<column>.
 
-
-def sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    Only what belongs to ``a`` moves, to where ``b`` is; a ``b`` of many pairs is copied once for each PAIRS of them.
+    """
+    side = lambda s: table.select(F.col("class").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("copies"))
+    dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+    b = side("b").join(copies, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(side("a"), "a").join(b, ["b", "copy"]).drop("copy")
 
 
-def share():
-    """Jaccard similarity of both lists in percent.  A quotient of small whole numbers never rounds across a whole one."""
-    common = F.size(F.array_intersect("a_list", "b_list"))
-    return 100 * common / (F.size("a_list") + F.size("b_list") - common)
+def busier_last(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b), each turned so that ``b`` is the class with more pairs."""
+    often = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("often"))
+    side = lambda s: often.select(F.col("class").alias(s), F.col("often").alias(f"{s}_often"))
+    turned = F.col("a_often") > F.col("b_often")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def compatible(x: str, y: str, percent: int):
@@ -206,12 +287,16 @@ def differences(held: DataFrame, percent: int) -> DataFrame:
     extra, hub_size, and the difference's place in the class's list, rare ones first.
     """
     missing, extra = F.size("missing"), F.size("extra")
-    rows = settle(held.select("class", "hub", "size", "linked", (missing + extra).alias("n"), (100 * missing + percent * extra).alias("weight"),
-                              (F.col("size") - extra + missing).alias("hub_size"), F.explode(F.concat("missing", "extra")).alias("member")))
+    about = held.select("class", "hub", "size", "linked", (missing + extra).alias("n"), (100 * missing + percent * extra).alias("weight"),
+                        (F.col("size") - extra + missing).alias("hub_size"))
+    rows = held.select("class", "hub", "linked", F.explode(F.concat("missing", "extra")).alias("member"))
     often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("linked").alias("all_linked")).filter("often > 1")
-    place = F.row_number().over(Window.partitionBy("hub", "class").orderBy(F.coalesce("often", F.lit(1)), "member"))
-    placed = rows.join(often, ["hub", "member"], "left").withColumn("place", place)
-    return settle(placed.filter("often > 1 and not all_linked").drop("often", "all_linked"))
+    # A class's other differences are rarer: as many places come before those that others share.
+    own = Window.partitionBy("hub", "class")
+    shared = rows.drop("linked").join(often, ["hub", "member"]).select(
+        "hub", "class", "member", "all_linked", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("often", "member")).alias("rank"))
+    return settle(shared.filter("not all_linked").join(about, ["hub", "class"]).select(
+        "class", "hub", "member", "size", "linked", "n", "weight", "hub_size", (F.col("n") - F.col("shared") + F.col("rank")).alias("place")))
 
 
 def may_link(x: str, y: str, percent: int):
@@ -253,7 +338,9 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
         _classes(gram), "doc_id bigint, text_hash bigint, n_shingles bigint, class bigint"))
     sketch = spark.sparkContext.broadcast(_sketch(text, gram))
     full = every.filter("n_shingles > 0")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    # A class's text is that of its first document, found by id and text; rows without an id come last.
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("pick")
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"), pick).select("class", "first_id", F.col("pick.text_hash").alias("text_hash"))
     prefix = text.select("text").mapInArrow(_prefix_rows(gram, percent, sketch), "member bigint, class bigint, size bigint, typical bigint")
     # Buckets of at least two classes, each with its most typical class.
     hubs = prefix.groupBy("member").agg(
@@ -268,22 +355,32 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     # Texts of the classes that share a bucket with one of a fitting size; a class is read from its first document.
     asked = members.filter("fits").select("class").distinct()
     members = members.drop("fits")
-    texts = by_class(text.join(asked.join(classes, "class").select("class", F.col("first_id").alias("doc_id")), "doc_id").select("class", "text"))
+    named = text.withColumn("text_hash", F.xxhash64("text"))
+    one = named.filter("doc_id is not null").unionByName(named.filter("doc_id is null").distinct()).alias("one")
+    wanted = asked.join(classes, "class").alias("wanted")
+    chosen = one.join(wanted, F.col("one.doc_id").eqNullSafe(F.col("wanted.first_id")) & (F.col("one.text_hash") == F.col("wanted.text_hash")))
+    fields = "class bigint, text string, " + ", ".join(f"{c} array<int>" for c in _ORDER_COLUMNS)
+    with by_class(chosen.select("class", "text"), _with_orders(gram, percent, sketch), fields) as texts:
+        root = _roots(members, texts, gram, percent, sketch)
+    ends = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    ids = ends.join(ends.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "component_id")
+    return every.join(ids, "class", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
 
-    def lists(wanted: DataFrame, order: int | None) -> DataFrame:
-        return texts.join(wanted, "class", "left_semi").mapInArrow(
-            _list_rows(gram, percent, sketch, order), "class bigint, list array<bigint>").dropDuplicates(["class"])
+
+def _roots(members: DataFrame, texts: DataFrame, gram: int, percent: int, sketch) -> DataFrame:
+    """(node, root) for each linked class.  ``members`` has (member, class, size, hub, hub_size), ``texts`` each class's text."""
+    def compared(pairs: DataFrame, full: bool = False) -> DataFrame:
+        fields = "class bigint, hub bigint, size bigint, share double, linked boolean, missing array<bigint>, extra array<bigint>"
+        return with_sides(pairs, texts, ["text"]).mapInArrow(_compare(gram, percent, sketch, full), fields if full else "a bigint, b bigint")
 
     # Classes against the hub of their bucket: how much they share, and in what they differ if it is half or more.
     # Large sets that meet a hub in very few buckets are left to the pairs below.
     to_hub = settle(members.filter((F.col("class") != F.col("hub")) & compatible("size", "hub_size", percent)).groupBy(
         F.col("class").alias("a"), F.col("hub").alias("b"), "size").agg(F.count(F.lit(1)).alias("meets")).filter(
         F.col("meets") * MEETS >= F.col("size")).drop("meets"))
-    held = both_lists(to_hub, lists(sides(to_hub), None)).withColumn("share", share())
+    held = settle(compared(to_hub, full=True))
     near = F.col("share") >= NEAR
-    held = settle(held.select(
-        F.col("a").alias("class"), F.col("b").alias("hub"), "size", "share", (F.col("share") >= percent).alias("linked"),
-        F.when(near, F.array_except("b_list", "a_list")).alias("missing"), F.when(near, F.array_except("a_list", "b_list")).alias("extra")))
     linked = held.filter("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     root = components(linked)
     rooted = lambda df: df.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -294,9 +391,8 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
         F.min_by(F.struct("class", "size", "n", "place", "weight", "hub_size"), F.struct("weight", "class")).alias("y"))
     x, y = met.filter("not linked").alias("x"), second.select("hub", "member", "y.*").alias("y")
     again = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.member") == F.col("y.member")) & (F.col("x.class") != F.col("y.class"))
-                   & may_link("x", "y", percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    again = settle(again.distinct())
-    linked = settle(linked.unionByName(both_lists(again, lists(sides(again), None)).filter(share() >= percent).select("a", "b")))
+                   & may_link("x", "y", percent)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    linked = settle(linked.unionByName(compared(settle(again.distinct()))))
     root = components(linked)
     near_hub = apart_from_hub(rooted(met), percent)
     # Classes that are far from their hub, or not held against it, are compared with those of their bucket that are in
@@ -312,13 +408,8 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     far = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root")) & reach
                  & (~F.col("y.far") | (F.col("x.class") < F.col("y.class"))) & compatible("x.size", "y.size", percent)).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    # Prefixes under all orders must meet before whole sets are compared.
-    apart = settle(far.unionByName(near_hub).distinct())
-    for order in range(1, ORDERS):
-        apart = settle(both_lists(apart, lists(sides(apart), order)).filter(F.arrays_overlap("a_list", "b_list")).select("a", "b"))
-    linked = linked.unionByName(both_lists(apart, lists(sides(apart), None)).filter(share() >= percent).select("a", "b"))
-    root = components(linked)
-    ends = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ids = ends.join(ends.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "component_id")
-    return every.join(ids, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+    # Prefixes under all orders must meet before texts are read.
+    apart = busier_last(settle(far.unionByName(near_hub).distinct()))
+    meet = [F.arrays_overlap(f"a_{c}", f"b_{c}") for c in _ORDER_COLUMNS]
+    apart = settle(with_sides(apart, texts, _ORDER_COLUMNS).filter(reduce(and_, meet)).select("a", "b"))
+    return components(linked.unionByName(compared(apart)))

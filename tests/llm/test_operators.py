@@ -111,6 +111,27 @@ def test_near_duplicates(spark, docs, none):
     assert near.near_duplicates(docs).count() == len(ROWS)
 
 
+def test_near_duplicates_through_a_row_without_an_id(spark):
+    words = [f"b{k}" for k in range(200)]
+    step = lambda n: " ".join(words[n:] + [f"e{k}" for k in range(n)])
+    rows = [(7, step(0), "x"), (None, step(10), "x"), (None, step(10), "x"), (8, step(20), "x"), (8, "other words are here", None), (None, None, "x"), (None, "alone " * 9, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, class string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(df).collect())
+    assert not 100 * len(_shingles(step(0), 4) & _shingles(step(20), 4)) >= 85 * len(_shingles(step(0), 4) | _shingles(step(20), 4))
+    assert got == {(7, 197, 7): 1, (None, 197, 7): 2, (8, 197, 7): 1, (8, 1, 8): 1, (None, 0, None): 1, (None, 1, None): 1}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("concord_")]
+
+
+def test_pairs_spread_over_copies_of_a_busy_class(spark, monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", 3)
+    pairs = spark.range(10).selectExpr("id as a", "if(id < 8, 20, 21) as b")
+    table = spark.range(22).selectExpr("id as class", "concat('t', id) as text")
+    got = sorted(tuple(r) for r in near.with_sides(pairs, table, ["text"]).select("a", "b", "a_text", "b_text").collect())
+    assert got == [(i, b := 20 if i < 8 else 21, f"t{i}", f"t{b}") for i in range(10)]
+    turned = {tuple(r) for r in near.busier_last(pairs.selectExpr("b as a", "a as b")).collect()}
+    assert {p for p in turned if 20 in p} == {(i, 20) for i in range(8)}
+
+
 def test_bins_fill_exactly_where_they_can():
     plan = packing.bins({7: 3, 3: 6, 2: 1, 10: 2}, 10)
     used = Counter()
