@@ -286,17 +286,17 @@ def differences(held: DataFrame, percent: int) -> DataFrame:
     that the hub lacks.  Columns: class, hub, member, size, linked, n differences, weight = 100 * missing + percent *
     extra, hub_size, and the difference's place in the class's list, rare ones first.
     """
-    missing, extra = F.size("missing"), F.size("extra")
-    about = held.select("class", "hub", "size", "linked", (missing + extra).alias("n"), (100 * missing + percent * extra).alias("weight"),
-                        (F.col("size") - extra + missing).alias("hub_size"))
-    rows = held.select("class", "hub", "linked", F.explode(F.concat("missing", "extra")).alias("member"))
+    rows = held.select("class", "hub", "size", "linked", F.size("missing").alias("missing"), F.size("extra").alias("extra"),
+                       F.explode(F.concat("missing", "extra")).alias("member"))
     often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("linked").alias("all_linked")).filter("often > 1")
     # A class's other differences are rarer: as many places come before those that others share.
     own = Window.partitionBy("hub", "class")
-    shared = rows.drop("linked").join(often, ["hub", "member"]).select(
-        "hub", "class", "member", "all_linked", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("often", "member")).alias("rank"))
-    return settle(shared.filter("not all_linked").join(about, ["hub", "class"]).select(
-        "class", "hub", "member", "size", "linked", "n", "weight", "hub_size", (F.col("n") - F.col("shared") + F.col("rank")).alias("place")))
+    shared = rows.join(often, ["hub", "member"]).withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
+        "rank", F.row_number().over(own.orderBy("often", "member")))
+    n = F.col("missing") + F.col("extra")
+    return settle(shared.filter("not all_linked").select(
+        "class", "hub", "member", "size", "linked", n.alias("n"), (100 * F.col("missing") + percent * F.col("extra")).alias("weight"),
+        (F.col("size") - F.col("extra") + F.col("missing")).alias("hub_size"), (n - F.col("shared") + F.col("rank")).alias("place")))
 
 
 def may_link(x: str, y: str, percent: int):
