@@ -24,8 +24,9 @@ from concord.llm.words import distinct, slices, words_of
 from concord.session import local_table, settle
 
 CAPACITY = 4096
-#: Words whose ids a worker remembers; then it forgets all of them.
-CACHE = 800_000
+#: Words whose ids a worker remembers; then it forgets all of them.  Words of more bytes, such as whole texts without
+#: a blank, are not remembered, so an entry has at most so many ids.
+CACHE, LONGEST = 800_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
@@ -172,7 +173,9 @@ class Encoder:
                 if len(known) >= CACHE:
                     known.clear()
                 named = part.encode().decode("latin-1").translate(self.letters)
-                ids = known[part] = struct.pack(f"<{len(made := self.tokenizer.model.tokenize(named))}I", *[t.id for t in made])
+                ids = struct.pack(f"<{len(made := self.tokenizer.model.tokenize(named))}I", *[t.id for t in made])
+                if len(named) <= LONGEST:
+                    known[part] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -193,7 +196,9 @@ class Encoder:
         missing = [k for k, v in enumerate(out) if v is None]
         places = zip(missing, found[missing].tolist(), w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist(), strict=True)
         for k, key, start, end in places:
-            out[k] = known[key] = self._word(raw[start:end].decode())
+            out[k] = self._word(raw[start:end].decode())
+            if end - start <= LONGEST:
+                known[key] = out[k]
         sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
         ids = np.frombuffer(b"".join(out), "<u4")
         begins = np.cumsum(sizes) - sizes
