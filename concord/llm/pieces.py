@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks, and pairs of tokens, that a worker remembers; then it forgets all of them.
-CACHE = 400_000
+#: Pairs of tokens that a worker remembers, and bytes (about) of chunks; then it forgets all of them.  Longer chunks,
+#: such as whole texts without a space, are not remembered.
+CACHE, CACHE_BYTES, LONGEST = 400_000, 160 << 20, 64
 #: Kinds of entries in the model file.
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 
@@ -62,6 +63,7 @@ class PieceModel:
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{none}]+|{SPACE}+|[{none}]" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """The text's letters, merged pair by pair, best score first, then leftmost."""
@@ -151,16 +153,24 @@ class PieceModel:
         found, known = self.chunk.findall((" " + text).replace(" ", SPACE)), self.known
         out = list(map(known.get, found))
         if None in out:
-            if len(known) > CACHE:
-                known.clear()
             for k, value in enumerate(out):
                 if value is None:
                     value = known.get(found[k])
                     if value is None:
-                        value = known[found[k]] = self._chunk(found[k])
+                        value = self._remembered(found[k], self._chunk(found[k]))
                     out[k] = value
         return out
 
+    def _remembered(self, chunk: str, value: tuple[str, str]) -> tuple[str, str]:
+        if len(chunk) <= LONGEST:
+            size = 300 + sum(4 * len(x) for x in (chunk, *value))
+            if self.held + size > CACHE_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[chunk] = value
+            self.held += size
+        return value
+
     def encode(self, text: str) -> list[int]:
         """Ids without an end id; an empty text has none."""
         return [int(i) for ids, _ in self._chunks(text) for i in ids.split()] if text else []

@@ -186,6 +186,26 @@ def test_pieces_equal_the_library(docs):
         assert r.n_tokens == len(r.ids.split()) and hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256
 
 
+def test_long_words_are_not_remembered(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["中文没有空格" * 400, "abc " * 5 + "x" * 500, "é" * 65, "中文没有空格" * 400, "plain words twice plain words twice"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = packing.Encoder(path), Tokenizer.from_file(path)
+    ids, at = own.ids(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, own.words.values())) <= 4 * packing.LONGEST and max(map(len, own.parts)) <= packing.LONGEST
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2000)
+    own, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in texts:
+        assert own.encode(text) == library.encode(text)
+        assert own.held <= 2000 and all(len(c) <= pieces.LONGEST for c in own.known)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(120)] + [(7, [1.0] * 6), (200, [1.0, float("nan")]), (201, None), (None, [1.0] * 6), (202, [2.0])]
