@@ -157,20 +157,16 @@ class PieceModel:
                 if value is None:
                     value = known.get(found[k])
                     if value is None:
-                        value = self._remembered(found[k], self._chunk(found[k]))
+                        value = self._chunk(found[k])
+                        if len(found[k]) <= LONGEST:
+                            if self.held > CACHE_BYTES:
+                                known.clear()
+                                self.held = 0
+                            known[found[k]] = value
+                            self.held += 300 + 4 * (len(found[k]) + len(value[1])) + len(value[0])
                     out[k] = value
         return out
 
-    def _remembered(self, chunk: str, value: tuple[str, str]) -> tuple[str, str]:
-        if len(chunk) <= LONGEST:
-            size = 300 + sum(4 * len(x) for x in (chunk, *value))
-            if self.held + size > CACHE_BYTES:
-                self.known.clear()
-                self.held = 0
-            self.known[chunk] = value
-            self.held += size
-        return value
-
     def encode(self, text: str) -> list[int]:
         """Ids without an end id; an empty text has none."""
         return [int(i) for ids, _ in self._chunks(text) for i in ids.split()] if text else []
