@@ -34,8 +34,8 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
-    learnt = labels.filter(_remainder(5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    grammar = toxicity.learn(docs.select("doc_id", "text").join(learnt, "doc_id").select("text", "toxic"))
+    learnt = toxicity.sampled(labels.filter(_remainder(5) != 0))
+    grammar = toxicity.learn(docs.select("doc_id", "text").join(F.broadcast(learnt), "doc_id").select("text", "toxic"))
     return toxicity.score(docs, grammar).select(
         "doc_id", (_remainder(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 

@@ -1,9 +1,13 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a composed weighted finite-state grammar over clauses.
 
-A lexical transducer rewrites the words of a clause to classes: insult (learned stems), threat, target, negation,
-reported speech, other.  A second transducer reads the classes and puts out weighted events: an insult or a threat,
-plain, negated, reported or aimed at a target.  Composed they turn a clause into counts of events; a document's
-score is a logistic function of its clauses' events.  Stems and weights are learned from labelled documents.
+Four transducers, each a table of states and arcs, read one another's symbols.  The lexicon turns words into classes:
+insult (learned stems), threat, target, negation, report, quote, other.  ``negations`` marks insults and threats that a
+negation reaches, ``reports`` those told of somebody else's words, ``targets`` those aimed at somebody.  ``compose`` makes
+one machine of the last three; each event that its arcs put out has a weight, and a clause weighs the sum of its
+path.  A document's score is a logistic function of the events of all its clauses.
+
+Stems and weights are learned from labelled documents, under constraints: what is negated or reported never speaks for
+toxicity, a plain insult never against it, and an aimed threat alone is enough, whether or not the sample shows one.
 """
 
 from __future__ import annotations
@@ -39,15 +43,121 @@ CLASSES = {
     "report": "said says say told claimed called reported quoted wrote sagte sagt meinte schrieb dit disait écrit dijo dice escribió".split(),
 }
 CLASS_OF = {word: name for name, words in CLASSES.items() for word in words}
-EVENTS = ["insult", "insult_negated", "insult_reported", "insult_aimed", "threat_aimed", "threat_reported", "clauses", "strongest"]
+THREATS = frozenset(CLASSES["threat"])
+EVENTS = ["insult", "insult_aimed", "threat", "threat_aimed", "insult_negated", "insult_reported", "threat_negated", "threat_reported"]
+FEATURES = [*EVENTS, "strongest"]
+#: Signs that the weights may have; a threat's least logit when it stands alone in a document.
+AT_LEAST_ZERO, AT_MOST_ZERO = ["insult", "insult_aimed", "threat", "threat_aimed", "strongest"], EVENTS[4:]
+THREAT_LOGIT = 1.0
 
 _word = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_token = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
 _clause_end = re.compile(r"[.!?;:\n]+")
 
 
+Symbol = str
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs: (state, symbol read) -> (next state, symbols put out).  "end" closes a clause and leads to the start."""
+
+    start: object
+    arcs: dict[tuple[object, Symbol], tuple[object, tuple[Symbol, ...]]]
+
+    def read(self, symbols: list[Symbol]) -> list[list[Symbol]]:
+        """What is put out at each symbol."""
+        state, out = self.start, []
+        for symbol in symbols:
+            state, told = self.arcs[state, symbol]
+            out.append(list(told))
+        return out
+
+
+def transducer(start: object, inputs: list[Symbol], step) -> Transducer:
+    """The table of a rule ``step(state, symbol) -> (state, symbols)``, for all states reached from the start."""
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        for symbol in inputs:
+            arcs[state, symbol] = step(state, symbol)
+            if (to := arcs[state, symbol][0]) not in seen:
+                seen.add(to)
+                todo.append(to)
+    return Transducer(start, arcs)
+
+
+def compose(first: Transducer, second: Transducer, inputs: list[Symbol]) -> Transducer:
+    """The machine that gives what ``second`` puts out when it reads what ``first`` puts out."""
+    def step(state, symbol):
+        to, told = first.arcs[state[0], symbol]
+        other, out = state[1], ()
+        for t in told:
+            other, more = second.arcs[other, t]
+            out += more
+        return (to, other), out
+
+    return transducer((first.start, second.start), inputs, step)
+
+
+WORDS = ["insult", "threat", "target", "negation", "report", "quote", "other", "end"]
+MARKED = ["insult_negated", "threat_negated", "insult_reported", "threat_reported"]
+
+
+def negations() -> Transducer:
+    """The state counts the words that a negation still reaches."""
+    def step(left, symbol):
+        if symbol == "end":
+            return 0, ("end",)
+        if symbol == "negation":
+            return REACH, ("other",)
+        if symbol == "quote":
+            return left, ("quote",)
+        return max(left - 1, 0), (f"{symbol}_negated" if left and symbol in ("insult", "threat") else symbol,)
+
+    return transducer(0, WORDS, step)
+
+
+def reports() -> Transducer:
+    """After a word of saying up to the clause's end, and within quotation marks, speech is somebody else's."""
+    def step(state, symbol):
+        told, quoted = state
+        if symbol == "end":
+            return (False, False), ("end",)
+        if symbol == "report":
+            return (True, quoted), ("other",)
+        if symbol == "quote":
+            return (told, not quoted), ()
+        return state, (f"{symbol}_reported" if (told or quoted) and symbol in ("insult", "threat") else symbol,)
+
+    return transducer((False, False), [*WORDS, *MARKED[:2]], step)
+
+
+def targets() -> Transducer:
+    """The state holds the words that a target still reaches and an insult or threat that waits for a target after it."""
+    def step(state, symbol):
+        left, waiting, more = state
+        flushed = (waiting,) if waiting else ()
+        if symbol == "end":
+            return (0, None, 0), flushed
+        if symbol == "target":
+            return (REACH, None, 0), ((f"{waiting}_aimed",) if waiting else ())
+        if symbol in ("insult", "threat"):
+            return ((left - 1, None, 0), (*flushed, f"{symbol}_aimed")) if left else ((0, symbol, REACH), flushed)
+        out = (symbol,) if symbol in MARKED else ()
+        if waiting and more == 1:
+            return (max(left - 1, 0), None, 0), (*flushed, *out)
+        return (max(left - 1, 0), waiting, max(more - 1, 0)), out
+
+    return transducer((0, None, 0), ["insult", "threat", "target", "other", "end", *MARKED], step)
+
+
+CLAUSE = compose(compose(negations(), reports(), WORDS), targets(), WORDS)
+
+
 @dataclass
 class Grammar:
-    """Learned stems with their log odds, and the weights of the events (a constant last)."""
+    """Learned stems with their log odds, and the weights of the features (a constant last)."""
 
     stems: dict[str, float]
     weights: np.ndarray
@@ -56,12 +166,16 @@ class Grammar:
         out = ahocorasick.Automaton()
         for stem, weight in self.stems.items():
             out.add_word(stem, (len(stem), weight))
-        for word in CLASSES["threat"]:
+        for word in THREATS:
             if word not in self.stems:
                 out.add_word(word, (len(word), 0.0))
         out.make_automaton()
         return out
 
+    def clause_weight(self, clause: str) -> float:
+        """Sum of the weights of the events on a clause's path."""
+        return float(sum(self.weights[EVENTS.index(e)] for e in events(clause.lower(), self.stems)[0]))
+
 
 def stem_weight(word: str, stems: dict[str, float]) -> float | None:
     """Weight of the heaviest stem that the word begins with."""
@@ -69,60 +183,43 @@ def stem_weight(word: str, stems: dict[str, float]) -> float | None:
     return max(found) if found else None
 
 
-def classes(clause: str, stems: dict[str, float]) -> list[tuple[str, float]]:
-    """The lexical transducer: (class, weight) of each word."""
+def classes(clause: str, stems: dict[str, float]) -> list[tuple[Symbol, float]]:
+    """The lexicon: (class, weight) of each word and quotation mark."""
     out = []
-    for word in _word.findall(clause):
+    for word in _token.findall(clause):
+        if word in "\"“”«»":
+            out.append(("quote", 0.0))
+            continue
         weight = stem_weight(word, stems)
         out.append(("insult", weight) if weight is not None else (CLASS_OF.get(word, "other"), 0.0))
     return out
 
 
-def events(symbols: list[tuple[str, float]], quoted: bool = False) -> np.ndarray:
-    """The clause transducer: its state is (words that a negation and a target still reach, reported or not)."""
-    out = np.zeros(len(EVENTS))
-    negated = aimed = 0
-    reported = quoted
-    ahead = [i for i, (name, _) in enumerate(symbols) if name == "target"]
-    for i, (name, weight) in enumerate(symbols):
-        if name == "negation":
-            negated = REACH + 1
-        elif name == "target":
-            aimed = REACH + 1
-        elif name == "report":
-            reported = True
-        elif name in ("insult", "threat"):
-            near = aimed > 0 or any(i < j <= i + REACH for j in ahead)
-            if name == "insult":
-                out[EVENTS.index("insult_negated" if negated > 0 else "insult_reported" if reported else "insult")] += 1
-                out[EVENTS.index("insult_aimed")] += near and negated <= 0
-                out[EVENTS.index("strongest")] = max(out[EVENTS.index("strongest")], weight)
-            elif near and negated <= 0:
-                out[EVENTS.index("threat_reported" if reported else "threat_aimed")] += 1
-        negated -= 1
-        aimed -= 1
-    out[EVENTS.index("clauses")] = float(out[:6].any())
-    return out
+def events(clause: str, stems: dict[str, float]) -> tuple[list[Symbol], float]:
+    """Events on the path of a clause, and its heaviest stem if an insult is meant."""
+    read = classes(clause, stems)
+    out = [e for told in CLAUSE.read([name for name, _ in read] + ["end"]) for e in told]
+    meant = any(e in ("insult", "insult_aimed") for e in out)
+    return out, max((weight for name, weight in read if name == "insult"), default=0.0) if meant else 0.0
 
 
-def document_events(text: str, machine: ahocorasick.Automaton, stems: dict[str, float]) -> np.ndarray:
-    """Events of all clauses of the whole text: damped sums, and the strongest stem."""
-    total = np.zeros(len(EVENTS))
+def document_features(text: str, machine: ahocorasick.Automaton, stems: dict[str, float]) -> np.ndarray:
+    """Damped sums of the events of all clauses of the whole text, and the heaviest stem of a meant insult."""
+    total, strongest = np.zeros(len(EVENTS)), 0.0
     low = text.lower()
     hits = [begin for end, (size, _) in machine.iter(low) if (begin := end + 1 - size) == 0 or not low[begin - 1].isalnum()]
     done = 0
     for begin in sorted(hits):
         if begin < done:
             continue
-        first = max((low.rfind(c, 0, begin) for c in ".!?;:\n"), default=-1) + 1
+        first = max((low.rfind(c, done, begin) for c in ".!?;:\n"), default=-1) + 1
         match = _clause_end.search(low, begin)
-        done = match.start() if match else len(low)
-        clause = low[first:done]
-        got = events(classes(clause, stems), clause.count('"') >= 2 or "“" in clause)
-        strongest = max(total[-1], got[-1])
-        total += got
-        total[-1] = strongest
-    return np.append(np.log1p(total[:-1]), total[-1])
+        first, done = max(first, done), match.start() if match else len(low)
+        found, weight = events(low[first:done], stems)
+        for e in found:
+            total[EVENTS.index(e)] += 1
+        strongest = max(strongest, weight)
+    return np.append(np.log1p(total), strongest)
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
@@ -138,32 +235,57 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
-        return Grammar({}, np.append(np.zeros(len(EVENTS)), 5.0 if toxic else -5.0))
+        return Grammar({}, _with_threats(np.append(np.zeros(len(FEATURES)), 5.0 if toxic else -5.0)))
     found = _counted(sample.filter("toxic = 1"), None).filter(F.col("n") >= max(3, TOXIC_SHARE * toxic)).collect()
     in_toxic = {r[0]: r[1] for r in found}
     in_clean = {r[0]: r[1] for r in _counted(sample.filter("toxic = 0"), set(in_toxic)).collect()}
     stems = chosen_stems(in_toxic, in_clean, toxic, clean)
-    grammar = Grammar(stems, np.zeros(len(EVENTS) + 1))
-    # Events repeat over documents, so distinct event rows with their counts are all that the fit needs.
-    fields = ", ".join(f"{e} double" for e in EVENTS)
-    rows = sample.mapInArrow(_event_rows(grammar), f"toxic int, {fields}").groupBy("toxic", *EVENTS).count().collect()
+    grammar = Grammar(stems, np.zeros(len(FEATURES) + 1))
+    # Events repeat over documents, so distinct rows of features with their counts are all that the fit needs.
+    fields = ", ".join(f"{e} double" for e in FEATURES)
+    rows = sample.mapInArrow(_feature_rows(grammar), f"toxic int, {fields}").groupBy("toxic", *FEATURES).count().collect()
     rows.sort()
     x = np.array([[*r[1:-1], 1.0] for r in rows])
     y, times = np.array([r[0] for r in rows], float), np.array([r[-1] for r in rows], float)
-    grammar.weights = weighted_logistic(x, y, times)
+    grammar.weights = _with_threats(weighted_logistic(x, y, times))
     return grammar
 
 
+def _with_threats(weights: np.ndarray) -> np.ndarray:
+    """An aimed threat's weight, raised until one alone gives THREAT_LOGIT; the constant is the last weight."""
+    out, at = weights.copy(), FEATURES.index("threat_aimed")
+    out[at] = max(out[at], (THREAT_LOGIT - out[-1]) / np.log(2))
+    return out
+
+
+def sampled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, toxic) of about ``sample_rows`` labelled documents, chosen by a hash of the id before any text is read.
+
+    Rows without an id or a label are left out; of several labels of a document the highest counts.
+    """
+    own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
+        F.max(F.col("toxic").cast("int")).alias("toxic"))
+    part, whole = min(1 << 40, int((1 << 40) * sample_rows / max(own.count(), 1))), 1 << 40
+    return own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < part)
+
+
 def weighted_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Newton's method with a little shrinkage; the events' weights stay at 0 or above, negated and reported ones aside."""
+    """Newton's method with a little shrinkage on the free weights; a weight that its bound stops stays at 0 until the
+    slope leads it back inside."""
+    low, high = np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf)
+    low[[FEATURES.index(f) for f in AT_LEAST_ZERO]] = 0
+    high[[FEATURES.index(f) for f in AT_MOST_ZERO]] = 0
     weights = np.zeros(x.shape[1])
-    for _ in range(60):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (times * (p - y)) + 0.05 * weights
+        free = ~((weights <= low) & (slope > 0) | (weights >= high) & (slope < 0))
         curve = (x * (times * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(len(weights))
-        move = np.linalg.solve(curve, slope)
-        weights = weights - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
-        if np.abs(move).max() < 1e-8:
+        move = np.zeros(len(weights))
+        move[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+        before = weights
+        weights = np.clip(weights - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9)), low, high)
+        if np.abs(weights - before).max() < 1e-8:
             break
     return weights
 
@@ -199,12 +321,12 @@ def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def _event_rows(grammar: Grammar):
+def _feature_rows(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = grammar.machine()
         for batch in batches:
-            got = np.array([document_events(t or "", machine, grammar.stems) for t in batch.column("text").to_pylist()]).reshape(-1, len(EVENTS))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(np.ascontiguousarray(c)) for c in got.T]], ["toxic", *EVENTS])
+            got = np.array([document_features(t or "", machine, grammar.stems) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(np.ascontiguousarray(c)) for c in got.T]], ["toxic", *FEATURES])
 
     return run
 
@@ -217,8 +339,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = grammar.machine()
         for batch in batches:
-            got = [document_events(t or "", machine, grammar.stems) for t in batch.column("text").to_pylist()]
-            x = np.array(got).reshape(-1, len(EVENTS)) @ grammar.weights[:-1] + grammar.weights[-1]
+            got = [document_features(t or "", machine, grammar.stems) for t in batch.column("text").to_pylist()]
+            x = np.array(got).reshape(-1, len(FEATURES)) @ grammar.weights[:-1] + grammar.weights[-1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], ["doc_id", "toxicity"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, toxicity double")

@@ -236,8 +236,8 @@ def test_toxicity(spark, docs, none):
     df = spark.createDataFrame([(1, "what a grumbo you are"), (2, "nothing"), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.toxicity for r in toxicity.score(df, grammar).collect()}
     assert got[1] > 0.5 > max(got[2], got[3]) and toxicity.score(none, grammar).count() == 0
-    names = dict(zip(toxicity.EVENTS, toxicity.events(toxicity.classes("you are not a grumbo", {"grumbo": 1.0})), strict=True))
-    assert names["insult_negated"] == 1 and names["insult"] == 0
+    found, _ = toxicity.events("you are not a grumbo", {"grumbo": 1.0})
+    assert found.count("insult_negated") == 1 and found.count("insult") == 0
     assert toxicity.learn(spark.createDataFrame([], "text string, toxic int")).stems == {}
 
 
