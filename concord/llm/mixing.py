@@ -41,8 +41,8 @@ LETTER_WEIGHTS = (0.35, 0.35, 0.45)
 RUNS, DEPTHS = np.array([0, 1, 2, 4, 16]), np.array([2, 6])
 #: Logits of "the same token as last time", by run.
 TRUST = np.array([0.0, 0.5, 2.0, 3.0, 4.5, 6.0])
-#: Tokens before the first update, then twice as many each time; curvature that the starting weights count for; pace.
-FIRST_BLOCK, INERTIA, PACE = 32, 20.0, 0.6
+#: Tokens before the first update and at most between two; curvature that the starting weights count for; pace.
+FIRST_BLOCK, LAST_BLOCK, INERTIA, PACE = 8, 512, 20.0, 0.6
 #: Mixed logits stay within.
 LIMIT = 14.0
 
@@ -54,7 +54,7 @@ def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Huffman code: bits of symbol s are places first[s] to first[s + 1] of (node, bit); and each node's chance of 1."""
     n = len(counts)
     if n == 1:
-        return np.array([0, 0]), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(2, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0)
     heap = [(int(c), s) for s, c in enumerate(counts)]
     heapq.heapify(heap)
     parent, side, one = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64), np.zeros(n - 1)
@@ -74,7 +74,7 @@ def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         nodes += [p[0] for p in path]
         bits += [p[1] for p in path]
         first.append(len(nodes))
-    return np.array(first), np.array(nodes, np.int64), np.array(bits, np.int64), one
+    return np.array(first, np.int32), np.array(nodes, np.int32), np.array(bits, np.int8), one
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -166,11 +166,12 @@ def slots(context: np.ndarray, node: np.ndarray, count: int) -> np.ndarray:
 def spread(code: tuple, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each bit of the symbols' codes: number of the symbol in the list, depth, node, bit."""
     first, nodes, bits, _ = code
-    size = first[symbols + 1] - first[symbols]
-    of = np.repeat(np.arange(len(symbols)), size)
-    depth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-    at = first[symbols][of] + depth
-    return of, depth, nodes[at], bits[at]
+    begin = first[symbols]
+    size = first[symbols + 1] - begin
+    of = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
+    until = np.cumsum(size, dtype=np.int64)
+    at = np.arange(len(of)) + np.repeat(begin - (until - size), size)
+    return of, (at - begin[of]).astype(np.int32), nodes[at], bits[at]
 
 
 def earlier(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,63 +223,80 @@ class Letters:
         return np.bincount(of, -np.logaddexp(0, np.where(bit == 1, -x, x)), len(words)) / np.log(10)
 
 
+def blocks(place: np.ndarray) -> np.ndarray:
+    """Block of a token by its place: they grow by about four tenths from FIRST_BLOCK tokens on, up to LAST_BLOCK."""
+    grown = (2 * np.log2(place / (2 * FIRST_BLOCK) + 1)).astype(np.int64)
+    edge = 2 * FIRST_BLOCK * (LAST_BLOCK // FIRST_BLOCK)
+    last = int(2 * np.log2(edge / (2 * FIRST_BLOCK) + 1))
+    return np.where(place < edge, grown, last + 1 + (place - edge) // LAST_BLOCK)
+
+
 def mix(t: Tokens, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the probability of each row's symbols (and of "again" for rare tokens), and which rare tokens remain to
     be named.  Rows don't influence each other."""
     n = len(t.first) - 1
     last, hit, run = earlier(t)
-    block = np.floor(np.log2(t.place // FIRST_BLOCK + 1)).astype(np.int64)
+    block = blocks(t.place)
     order = np.argsort(block, kind="stable")
-    of, depth, node, bit = spread(model.code, t.symbol[order])
-    of = order[of]
+    edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
     contexts = token_contexts(t)
     chance = logit(np.clip(model.code[3], 1e-6, 1 - 1e-6)).astype(np.float32)
-    run_class = np.searchsorted(RUNS, run, "right")
-    x = np.zeros((4, len(of)), np.float32)
-    x[0] = chance[node]
-    for k in range(CONTEXTS):
-        x[1 + k] = model.tables[k][slots(contexts[k][of], node, SLOTS)]
-    gates = len(TRUST) * (len(DEPTHS) + 1)
-    gate = t.row[of] * gates + np.searchsorted(DEPTHS, np.arange(depth.max(initial=0) + 1), "right")[depth]
-    # Bits of tokens after a known pair, as long as they agree with the token that followed it last time.
     first, nodes, bits, _ = model.code
-    told = np.flatnonzero((last >= 0)[of])
-    token, said = of[told], t.symbol[last[of[told]]]
-    there = first[said] + depth[told]
-    inside = there < first[said + 1]
-    told, token, there = told[inside], token[inside], there[inside]
-    agree = nodes[there] == node[told]
-    told, token, there = told[agree], token[agree], there[agree]
-    x[3, told] = np.where(bits[there] == 1, 1, -1) * TRUST[run_class[token]]
-    gate[told] += run_class[token] * (len(DEPTHS) + 1)
-    # Within a block, bits of one gate and hence of one row stand together, so that sums are sums of stretches.
-    key = block[of] * (n * gates) + gate
-    # Two bytes are sorted by counting, which most slices allow.
-    ranked = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 1 << 16 else key, kind="stable")
-    gate, sign, x = gate[ranked], np.where(bit[ranked] == 1, np.float32(1), np.float32(-1)), x[:, ranked]
-    edges = np.concatenate([[0], np.cumsum(np.bincount(block[of]))]) if len(of) else np.zeros(1, np.int64)
+    run_class = np.searchsorted(RUNS, run, "right").astype(np.int32)
+    told, said = last >= 0, t.symbol[np.maximum(last, 0)]
+    deep = len(DEPTHS) + 1
+    gates = len(TRUST) * deep
+    depth_class = np.searchsorted(DEPTHS, np.arange(int(np.diff(first).max(initial=0)) + 1), "right").astype(np.int32)
+    trust = TRUST.astype(np.float32)
     weights = np.tile(START, (n * gates, 1)).T.copy()
     curve = np.full((4, n * gates), INERTIA)
     stretch, stretch_curve = np.ones(n), np.full(n, INERTIA)
     shift, shift_curve = np.zeros(n), np.full(n, INERTIA)
     out = np.zeros(n)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if a == b:
+        tokens = order[a:b]
+        of, depth, node, bit = spread(model.code, t.symbol[tokens])
+        if not len(of):
             continue
-        own, xs, s = gate[a:b], x[:, a:b], sign[a:b]
-        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        g, size = own[begin], np.diff(np.append(begin, b - a))
+        gate = (t.row[tokens] * gates).astype(np.int32)[of] + depth_class[depth]
+        # Bits of tokens after a known pair, as long as they agree with the token that followed it last time.
+        again = np.zeros(len(of), np.float32)
+        at = np.flatnonzero(told[tokens][of])
+        token = tokens[of[at]]
+        there = first[said[token]] + depth[at]
+        inside = there < first[said[token] + 1]
+        at, token, there = at[inside], token[inside], there[inside]
+        agree = nodes[there] == node[at]
+        at, token, there = at[agree], token[agree], there[agree]
+        again[at] = np.where(bits[there] == 1, trust[run_class[token]], -trust[run_class[token]])
+        gate[at] += run_class[token] * deep
+        # Bits of one gate and hence of one row stand together, so that sums are sums of stretches.
+        # Two bytes are sorted by counting, which most slices allow.
+        ranked = np.argsort(gate.astype(np.uint16) if n * gates <= 1 << 16 else gate, kind="stable")
+        gate, of, node = gate[ranked], of[ranked], node[ranked]
+        s = np.where(bit[ranked] == 1, np.float32(1), np.float32(-1))
+        xs = np.empty((4, len(of)), np.float32)
+        xs[0], xs[3] = chance[node], again[ranked]
+        for k in range(CONTEXTS):
+            xs[1 + k] = model.tables[k][slots(contexts[k][tokens][of], node, SLOTS)]
+        begin = np.flatnonzero(np.diff(gate, prepend=-1))
+        g, size = gate[begin], np.diff(begin, append=len(of))
         r = g // gates
         one_by_one = lambda v: np.repeat(v.astype(np.float32), size)  # noqa: E731, B023
-        sums = lambda v: np.add.reduceat(v, begin, axis=-1, dtype=np.float64)  # noqa: E731, B023
-        inner = sum(one_by_one(weights[k, g]) * xs[k] for k in range(4))
-        z = np.clip(one_by_one(stretch[r]) * inner + one_by_one(shift[r]), -LIMIT, LIMIT)
+        sums = lambda v: np.add.reduceat(v, begin, axis=-1)  # noqa: E731, B023
+        inner = one_by_one(weights[0, g]) * xs[0]
+        for k in range(1, 4):
+            inner += one_by_one(weights[k, g]) * xs[k]
+        z = one_by_one(stretch[r]) * inner + one_by_one(shift[r])
+        np.clip(z, -LIMIT, LIMIT, out=z)
         against = np.exp(-s * z)
-        out -= np.bincount(r, sums(np.log(1 + against)), n)
         wrong = against / (1 + against)
+        out -= np.bincount(r, np.add.reduceat(np.log1p(against), begin, dtype=np.float64), n)
         error, flat = s * wrong, wrong * (1 - wrong)
-        curve[:, g] += sums(flat * xs * xs)
-        weights[:, g] += PACE * sums(error * xs) / curve[:, g]
+        slopes, flats = error * xs, flat * xs
+        flats *= xs
+        curve[:, g] += sums(flats)
+        weights[:, g] += PACE * sums(slopes) / curve[:, g]
         stretch_curve += np.bincount(r, sums(flat * inner * inner), n)
         stretch += PACE * np.bincount(r, sums(error * inner), n) / stretch_curve
         shift_curve += np.bincount(r, sums(flat), n)
@@ -349,7 +367,7 @@ def _tables(text: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     sizes = [2 * SLOTS] * CONTEXTS + [2 * LETTER_SLOTS] * LETTER_CONTEXTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, any_rows = [np.zeros(s, np.uint32) for s in sizes], False
+        own, any_rows = [np.zeros(s, np.int64) for s in sizes], False
         for batch in batches:
             for part in slices(batch):
                 any_rows = True
@@ -358,14 +376,14 @@ def _tables(text: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 contexts = token_contexts(t)
                 of, _, node, bit = spread(sent.value.code, t.symbol)
                 for k in range(CONTEXTS):
-                    own[k] += np.bincount(slots(contexts[k][of], node, SLOTS) * 2 + bit, minlength=sizes[k]).astype(np.uint32)
+                    own[k] += np.bincount(slots(contexts[k][of], node, SLOTS) * 2 + bit, minlength=sizes[k])
                 word = np.delete(t.symbol, t.first[1:] - 1) == sent.value.rare
                 _, at, _ = distinct(np.delete(t.hash, t.first[1:] - 1)[word])
                 _, _, bit, at = Letters.bits(w, np.flatnonzero(word)[at], sent.value)
                 for k in range(LETTER_CONTEXTS):
-                    own[CONTEXTS + k] += np.bincount(at[k] * 2 + bit, minlength=sizes[CONTEXTS + k]).astype(np.uint32)
+                    own[CONTEXTS + k] += np.bincount(at[k] * 2 + bit, minlength=sizes[CONTEXTS + k])
         if any_rows:
-            rows = np.concatenate(own).reshape(-1, CHUNK)
+            rows = np.minimum(np.concatenate(own), 2**32 - 1).astype(np.uint32).reshape(-1, CHUNK)
             for k, row in enumerate(rows):
                 if row.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row.tobytes()], pa.binary())], ["chunk", "counts"])

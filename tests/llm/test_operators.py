@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -265,3 +266,21 @@ def test_language_model(docs, none):
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + different + 1)) for w in words))
         assert -math.inf < r.score < 0
     assert mixing.score(none, ~held).count() == 0
+
+
+def test_mixing_blocks_and_rows():
+    """Blocks go on without a gap and stay short; what a document scores doesn't depend on its neighbours in a slice."""
+    place = np.arange(200_000)
+    block = mixing.blocks(place)
+    assert block[0] == 0 and (np.diff(block) >= 0).all() and np.bincount(block).max() <= mixing.LAST_BLOCK
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) for _ in range(n)) for n in (0, 1, 3, 40, 900, 7000)]
+    counts = np.array([900, 500, 300, 200, 100, 90, 30])
+    words = mixing.words_of(mixing.pa.array(["alpha beta gamma delta"])).hashes()
+    frequent = np.append(words, [mixing.END_HASH, np.uint64(1)])
+    order = np.argsort(frequent)
+    model = mixing.Model(frequent[order], order, counts, mixing.prefix_code(counts), mixing.prefix_code(np.ones(256)), 2120, 9, 2)
+    model.tables = np.random.default_rng(3).normal(0, 1, model.tables.shape).astype(np.float32)
+    run = lambda some: mixing.mix(mixing.Tokens.of(mixing.words_of(mixing.pa.array(some)), model), model)[0]
+    together = run(texts)
+    assert together == pytest.approx([run([t])[0] for t in texts], rel=1e-4) and (together < 0).all()
