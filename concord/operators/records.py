@@ -144,13 +144,36 @@ def _angle(a: Column, b: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product)))
 
 
-def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, min_cosine: float, pivots: int = 32, salts: int = 8) -> DataFrame:
+def _products(least: float):
+    """Pairs of two blocks with a product of ``least`` or more; nested so that tasks receive it by value."""
+    def products(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        sides = ((left, "a_id_u"), (right, "b_id_u"))
+        if not all(t.num_rows for t, _ in sides):  # a block that nothing meets
+            return pa.table({"a_id": left["a_id"][:0], "b_id": right["b_id"][:0], "cosine": np.zeros(0)})
+        a, b = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in sides)
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        for start in range(0, len(a), 256):
+            i, j = np.nonzero(a[start : start + 256] @ b.T >= least - 1e-9)
+            found.append((i + start, j))
+        i, j = (np.concatenate(x) for x in zip(*found))
+        product = np.zeros(len(i))
+        for k in range(a.shape[1]):  # place by place, as a sum over an array runs
+            product += a[i, k] * b[j, k]
+        return pa.table({"a_id": left["a_id"].take(pa.array(i)), "b_id": right["b_id"].take(pa.array(j)), "cosine": product})
+
+    return products
+
+
+def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, min_cosine: float, pivots: int = 32, block: int = 4096) -> DataFrame:
     """(a_id, b_id, cosine) of all pairs of directions of two sets with a cosine of ``min_cosine`` (above 0) or more.
 
     Copies of a vector are one, named by their least id; vectors of other widths are never alike.  Exact, by the
     triangle inequality of angles: each right vector belongs to its nearest of a few pivots and to a ring of its angle to that
-    pivot; a left one meets only pivots and rings that a partner can be in, and there only those whose angles to all
-    pivots differ by no more than the allowed angle.  A ring's members are spread over ``salts`` tasks.
+    pivot; a left one meets only pivots and rings that a partner can be in.  Both sides are dealt in blocks of about
+    ``block`` vectors, and two blocks that meet are multiplied in one task, so a task's memory does not grow with the sets.
     """
     reach = math.acos(min_cosine)
     slack = 1e-7
@@ -164,20 +187,30 @@ def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, mi
         angles = F.transform("_pivots", lambda p: _angle(F.col(u), p["p"]))
         return df.withColumn("_pivots", listed).withColumn(out, angles).drop("_pivots").withColumn("_least", F.array_min(out))
 
-    ring = placed(b, "b_id_u", "b_at").select(
-        "b_id", "_w", "b_id_u", "b_at", (F.array_position("b_at", F.col("_least")) - 1).cast("int").alias("pivot"),
-        F.floor(F.col("_least") / reach).cast("int").alias("ring"), F.pmod(F.xxhash64("b_id"), F.lit(salts)).cast("int").alias("salt"))
+    ring = settle(placed(b, "b_id_u", "b_at").select(
+        "b_id", "_w", "b_id_u", (F.array_position("b_at", F.col("_least")) - 1).cast("int").alias("pivot"), F.floor(F.col("_least") / reach).cast("int").alias("ring")))
+    largest = ring.groupBy("pivot", "ring", "_w").count().agg(F.max("count")).first()[0]
+    shares, salts = (max(1, math.ceil(n / block)) for n in (a.count(), largest))
+
+    def dealt(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     near = F.filter(F.transform("a_at", lambda x, i: F.struct(i.cast("int").alias("pivot"), x.alias("angle"))),
                     lambda p: p["angle"] <= F.col("_least") + (2 * reach + slack))
-    meets = placed(a, "a_id_u", "a_at").select("a_id", "_w", "a_id_u", "a_at", F.explode(near).alias("n")).select(
-        "a_id", "_w", "a_id_u", "a_at", F.col("n.pivot").alias("pivot"), F.explode(F.sequence(
+    meets = placed(a, "a_id_u", "a_at").select("a_id", "_w", "a_id_u", F.explode(near).alias("n")).select(
+        "a_id", "_w", "a_id_u", F.col("n.pivot").alias("pivot"), F.explode(F.sequence(
             F.floor(F.greatest(F.col("n.angle") - (reach + slack), F.lit(0.0)) / reach).cast("int"),
             F.floor((F.col("n.angle") + (reach + slack)) / reach).cast("int"))).alias("ring")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    apart = F.exists(F.zip_with("a_at", "b_at", lambda x, y: F.abs(x - y)), lambda d: d > reach + slack)
-    met = meets.join(ring, ["pivot", "ring", "salt", "_w"]).filter(~apart)
-    value = F.round(similarity.dot(F.col("a_id_u"), F.col("b_id_u")), 6)
-    return met.select("a_id", "b_id", value.alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    ).join(F.broadcast(ring.select("pivot", "ring", "_w").distinct()), ["pivot", "ring", "_w"], "left_semi")
+    keys = ["pivot", "ring", "_w", "share", "salt"]
+    lefts = meets.withColumn("share", dealt("a_id_u", shares)).withColumn("salt", each(salts))
+    rights = ring.withColumn("salt", dealt("b_id_u", salts)).withColumn("share", each(shares))
+    ids = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("a_id", a), ("b_id", b)))
+    met = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(_products(min_cosine - 1e-6), f"{ids}, cosine double")
+    return met.select("a_id", "b_id", F.round("cosine", 6).alias("cosine")).filter(F.col("cosine") >= min_cosine)
 
 
 def nearest_pairs(pairs_found: DataFrame) -> DataFrame:

@@ -39,3 +39,16 @@ def test_odd_vectors_and_copies(spark):
 def test_centroids_of_any_width(spark):
     df = spark.createDataFrame([("a", [float(k) for k in range(100)]), ("a", [float(k + 2) for k in range(100)])], "label string, v array<double>")
     assert records.centroids(df, "label", "v").first().centroid == [k + 1.0 for k in range(100)]
+
+
+def test_blocks_do_not_change_the_pairs(spark):
+    """Blocks far smaller than the sets; the vectors travel in no broadcast."""
+    rng = random.Random(5)
+    a, b = (spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(s, 300, 2)], "id bigint, v array<double>") for s in (0, 1))
+    whole = records.vector_pairs(a, b, "id", "v", 0.4, pivots=4)
+    small = records.vector_pairs(a, b, "id", "v", 0.4, pivots=4, block=16)
+    rows = sorted(map(tuple, whole.collect()))
+    assert rows and sorted(map(tuple, small.collect())) == rows
+    for line in small._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert "BroadcastExchange" not in line or "a_id" not in line
+    assert "FlatMapCoGroupsInArrow" in small._jdf.queryExecution().optimizedPlan().toString()
