@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,20 @@ def _grams(chars: Column, size: int) -> Column:
     return F.when(F.size(chars) >= size, F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)])))
 
 
+def _contained(sizes: list[int], known: dict[str, list[str]]):
+    """Function of a text: its phrases, searched for where it holds their anchor; nested so that tasks receive it by value."""
+    @F.pandas_udf("array<string>")
+    def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for text in texts:
+                held = known.keys() & {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
+                out.append([phrase for anchor in held for phrase in known[anchor] if phrase in text])
+            yield pd.Series(out, dtype=object)
+
+    return contained
+
+
 def anchors(phrases: DataFrame) -> DataFrame:
     """(phrase, anchor): of each distinct phrase in lower case the run of characters that the fewest phrases hold."""
     low = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct().withColumn("_chars", F.split("phrase", ""))
@@ -32,21 +49,23 @@ def phrase_hits(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame
     """Distinct (id, phrase) of texts that contain a phrase, both in lower case; null texts contain none.
 
     Only texts that hold a phrase's anchor are searched for the phrase itself.  Up to ``limit`` phrases travel to
-    every task, and texts stay where they are; more meet the texts' runs in a join on the anchor.
+    every task, and texts stay where they are and only their phrases leave them; more meet the texts' runs in a join
+    on the anchor.
     """
     known = settle(anchors(phrases))
     sizes = sorted(r[0] for r in known.select(F.length("anchor").alias("n")).distinct().collect())  # at most ANCHOR values
     low = texts.select(id_col, F.lower(text_col).alias("_low")).filter(F.col("_low").isNotNull())
     if not sizes:
         return low.select(id_col, F.lit("").alias("phrase")).filter(F.lit(False))
+    if known.count() <= limit:
+        listed: dict[str, list[str]] = {}
+        for r in known.collect():
+            listed.setdefault(r["anchor"], []).append(r["phrase"])
+        return low.select(id_col, F.explode(_contained(sizes, listed)("_low")).alias("phrase")).distinct()
     chars = low.withColumn("_chars", F.split("_low", ""))
     runs = F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams(F.col("_chars"), n), F.array().cast("array<string>")) for n in sizes])))
-    if known.count() <= limit:
-        met = chars.select(id_col, "_low", F.explode(runs).alias("anchor")).join(F.broadcast(known), "anchor")
-    else:
-        near = settle(chars.select(id_col, F.explode(runs).alias("anchor")).join(known, "anchor").select(id_col, "phrase").distinct())
-        met = near.join(low, id_col)
-    return met.filter(F.col("_low").contains(F.col("phrase"))).select(id_col, "phrase").distinct()
+    near = settle(chars.select(id_col, F.explode(runs).alias("anchor")).join(known, "anchor").select(id_col, "phrase").distinct())
+    return near.join(low, id_col).filter(F.col("_low").contains(F.col("phrase"))).select(id_col, "phrase").distinct()
 
 
 def expanded(

@@ -28,3 +28,14 @@ def test_expanded_with_any_dictionary(spark):
     texts = spark.createDataFrame([(1, "A Hound and a cat, a feline"), (2, "nothing"), (3, None)], "id int, t string")
     got = {r.id: r.text for r in phrases.expanded(texts, "id", "t", entries, "in:", "out:").collect()}
     assert got == {1: "in:\nA Hound and a cat, a feline\nout:\n- dog: hound\n- cat: feline, puss", 2: "in:\nnothing\nout:\n", 3: None}
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_only_phrases_leave_a_text(spark, limit):
+    """A text's runs are not made one by one in column expressions, which took minutes a GB; characters are code points."""
+    t = spark.createDataFrame([(1, "x\U0001F600yz-w" * 50), (2, "\U0001F600"), (None, "ab"), (1, "a\U0001F600yz-")], "id int, t string")
+    p = spark.createDataFrame([("\U0001F600yz-",), ("\U0001F600",), ("AB",)], "phrase string")
+    found = phrases.phrase_hits(t, "id", "t", p, limit)
+    assert {tuple(r) for r in found.collect()} - {(None, "ab")} == {(1, "\U0001F600yz-"), (1, "\U0001F600"), (2, "\U0001F600")}
+    if limit:
+        assert "ArrowEvalPython" in found._jdf.queryExecution().optimizedPlan().toString()
