@@ -170,8 +170,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         F.collect_list("start").alias("starts"))
     cut = settle(chosen.drop("places").join(found, ["doc_id", "sequence"]).mapInArrow(
         _cut(window, with_text), "doc_id bigint, sequence bigint, n_removed bigint, kept_sha256 string, kept_text string"))
+    # dealt by the keys of the join first, so what stays of the texts is shuffled once for both steps
+    cut = cut.repartition("doc_id", "sequence").distinct()
     nothing = hashlib.sha256(b"").hexdigest()
-    out = every.join(first, ["sequence", "n_words"], "left").join(cut.distinct(), ["doc_id", "sequence"], "left")
+    out = every.join(first, ["sequence", "n_words"], "left").join(cut, ["doc_id", "sequence"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     out = out.select(
         "doc_id", "n_words",

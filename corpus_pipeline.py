@@ -43,7 +43,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words that an earlier one holds; one that loses all its words goes."""
     docs = docs.select(*COLUMNS)
-    cut = substring.dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", "text_hash", "kept_text").distinct()
+    cut = substring.dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", "text_hash", "kept_text")
+    cut = cut.repartition("doc_id", "text_hash").distinct()
     joined = docs.withColumn("text_hash", F.xxhash64("text")).join(cut, ["doc_id", "text_hash"], "left")
     joined = joined.filter(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
     text = F.coalesce("kept_text", "text")

@@ -99,6 +99,12 @@ def test_dedup_stages(spark):
     assert 5 in dict(rows) and 1 not in dict(rows)
 
 
+def test_texts_that_lost_words_are_dealt_once_to_each_join(spark):
+    made = STAGES["substring dedup"](spark, frame(spark, ROWS), "")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\([^)]*kept_text", plan)
+
+
 def test_packing_stage(spark):
     from tokenizers import Tokenizer
 
