@@ -147,3 +147,28 @@ def test_tied_blocks_take_few_rounds(spark, monkeypatch):
     got = sorted((r.g, r.i, r.j, r.w) for r in assign.greedy(df, ["g"], "i", "j", ["w"], cap=1).collect())
     assert got == sorted(e for es in grouped(rows).values() for e in walk(es))
     assert len(settled) < 70  # seven tables a round: under ten rounds for blocks of 60 pairs
+
+
+@pytest.mark.parametrize("more", [False, True])
+def test_tied_blocks_are_found_in_the_first_round_from_sums_per_end(spark, monkeypatch, more):
+    """Two blocks that share no end need one round, and no join that would move the edges."""
+    rows = [(0, i, j, 5, "a") for i in range(40) for j in range(30)] + [(0, 100 + i, 100 + j, 7, "b") for i in range(9) for j in range(12)]
+    columns = ["g", "i", "j", "w", "note"] if more else ["g", "i", "j", "w"]
+    df = spark.createDataFrame(rows, "g int, i int, j int, w int, note string").select(*columns)
+    settled = []
+    original = assign.settle
+    monkeypatch.setattr(assign, "settle", lambda df: settled.append(df) or original(df))
+    got = sorted(tuple(r) for r in assign.greedy(df, ["g"], "i", "j", ["w"], cap=1).select(*columns).collect())
+    assert got == sorted(e[: len(columns)] for e in walk(rows))
+    assert not any("SortMergeJoin" in d._jdf.queryExecution().executedPlan().toString() and "note" in d.columns for d in settled)
+    assert len(settled) <= 8
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_equal_sets_at_other_scores_and_repeated_edges_are_no_block(spark, descending):
+    """Ends linked with one set by different scores, an end's pair met again by a lower score, and repeated edges."""
+    rows = [(0, i, j, 5 + (i == 2)) for i in range(4) for j in range(5)] + [(0, 1, 2, 3), (0, 3, 3, 9)]
+    rows += [(1, i, j, 4) for i in range(5) for j in range(5)] * 2 + [(2, i, j, 4) for i in range(5) for j in range(5)] + [(2, 1, 1, 4)]
+    df = spark.createDataFrame(rows, "g int, i int, j int, w int")
+    got = sorted((r.g, r.i, r.j, r.w) for r in assign.greedy(df, ["g"], "i", "j", ["w"], descending=descending, cap=1).collect())
+    assert got == sorted(e for es in grouped(rows).values() for e in walk(es, descending))
