@@ -37,6 +37,8 @@ COUNTERS = 1 << 18
 CHUNK, FAN_IN = 1 << 12, 64
 #: Share in percent from which a class counts as near its hub.
 NEAR = 50
+#: So many classes near one hub, at most, are paired with one another; among more, those that share differences from it.
+FEW = 16
 #: A set of so many members for each bucket in which it meets a hub is held against it.
 MEETS = 200
 #: Pairs of one class that meet in one place; pairs compared at once (both sides' rows fit into 16 bits).
@@ -89,6 +91,23 @@ def prefixes(rows: np.ndarray, names: np.ndarray, sizes: np.ndarray, sketch: np.
     return ranked[place < np.repeat(prefix_size(sizes, percent), sizes)]
 
 
+def parities(rows: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each set a bit for each place that a member can fall on, set if an odd number of members does.
+
+    A member that only one of two sets has turns one bit, so two sets differ in at least as many members as bits.  A set
+    has as many bits as members, rounded up to a power of two, 64 at least; halves laid over each other (xor) give those
+    of half the size.
+    """
+    words = (2 ** np.ceil(np.log2(np.maximum(sizes, 64) / 64))).astype(np.int64)
+    first = np.cumsum(words) - words
+    bit = 64 * first[rows] + (mixed(names, 41) >> np.uint64(20)).astype(np.int64) % (64 * words[rows])
+    at, held = np.unique(bit, return_counts=True)
+    at = at[held % 2 == 1]
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_or.at(out, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return _lists(out.view(np.int64), words)
+
+
 def _sketch(docs: DataFrame, gram: int) -> np.ndarray:
     """Occurrences of members over the whole corpus, ORDERS rows of COUNTERS counters (their size is fixed)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +172,8 @@ def _prefix_rows(gram: int, percent: int, sketch):
 
 
 def _with_orders(gram: int, percent: int, sketch):
-    """(class, text) with the prefixes under the orders after the first, 32 bits of each member (they only rule out)."""
+    """(class, text) with its set's size and parities, and the prefixes under the orders after the first, 32 bits of each
+    member (they only rule out)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -163,7 +183,8 @@ def _with_orders(gram: int, percent: int, sketch):
                 for order in range(1, ORDERS):
                     at = prefixes(rows, names, sizes, sketch.value, order, percent)
                     orders.append(_lists(names[at].astype(np.uint32).view(np.int32), np.bincount(rows[at], minlength=part.num_rows)))
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("text"), *orders], ["class", "text", *_ORDER_COLUMNS])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class"), part.column("text"), pa.array(sizes), parities(rows, names, sizes), *orders], ["class", "text", "size", "bits", *_ORDER_COLUMNS])
 
     return run
 
@@ -279,24 +300,42 @@ def compatible(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def similar_bits(percent: int):
+    """Whether the parities (see ``parities``) of pairs ``with_sides`` allow a link; sets of very unlike sizes may."""
+    def halved(x: str, y: str):
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    turned = F.zip_with(halved("a_bits", "b_bits"), halved("b_bits", "a_bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    few = (100 + percent) * F.aggregate(turned, F.lit(0), lambda total, n: total + n) <= (100 - percent) * (F.col("a_size") + F.col("b_size"))
+    return F.coalesce(few, F.lit(True))
+
+
 def differences(held: DataFrame, percent: int) -> DataFrame:
-    """One row for each class near a hub and each difference between them that others near the hub share.
+    """One row for each class near a hub of more than FEW and each difference between them that another component near
+    the hub shares.
 
-    ``held`` has (class, hub, size, linked, missing, extra): the hub's members that the class lacks, and the class's
+    ``held`` has (class, hub, size, linked, root, missing, extra): the hub's members that the class lacks, and the class's
     that the hub lacks.  Columns: class, hub, member, size, linked, n differences, weight = 100 * missing + percent *
-    extra, hub_size, and the difference's place in the class's list, rare ones first.
+    extra, hub_size, and the difference's place in the class's list, rare ones first.  Differences of one component alone
+    are left out, since links inside it are of no use; so are those that stand too late in their list for any link.
     """
-    rows = held.select("class", "hub", "size", "linked", F.size("missing").alias("missing"), F.size("extra").alias("extra"),
-                       F.explode(F.concat("missing", "extra")).alias("member"))
-    often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), F.min("linked").alias("all_linked")).filter("often > 1")
-    # A class's other differences are rarer: as many places come before those that others share.
+    several = [F.min("root").alias("root_1"), F.max("root").alias("root_2")]
+    hubs = held.groupBy("hub").agg(F.count(F.lit(1)).alias("classes"), *several).filter((F.col("classes") > FEW) & (F.col("root_1") != F.col("root_2"))).select("hub")
+    rows = held.join(hubs, "hub").select("class", "hub", "size", "linked", "root", F.size("missing").alias("missing"), F.size("extra").alias("extra"),
+                                         F.explode(F.concat("missing", "extra")).alias("member"))
+    often = rows.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("often"), *several).filter("root_1 <> root_2").select("hub", "member", "often")
+    # Two components share no other differences; those come first in a class's list, in as many places.
     own = Window.partitionBy("hub", "class")
-    shared = rows.join(often, ["hub", "member"]).withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
+    shared = rows.drop("root").join(often, ["hub", "member"]).withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
         "rank", F.row_number().over(own.orderBy("often", "member")))
     n = F.col("missing") + F.col("extra")
-    return settle(shared.filter("not all_linked").select(
+    placed = shared.select(
         "class", "hub", "member", "size", "linked", n.alias("n"), (100 * F.col("missing") + percent * F.col("extra")).alias("weight"),
-        (F.col("size") - F.col("extra") + F.col("missing")).alias("hub_size"), (n - F.col("shared") + F.col("rank")).alias("place")))
+        (F.col("size") - F.col("extra") + F.col("missing")).alias("hub_size"), (n - F.col("shared") + F.col("rank")).alias("place"))
+    # See may_link: weight > (100 - percent) * hub_size for a class that isn't linked to the hub, and one of both isn't.
+    least = F.col("weight") - F.when(F.col("linked"), 0).otherwise((100 - percent) * F.col("hub_size"))
+    return settle(placed.filter((100 + percent) * (F.col("n") - F.col("place") + 1) >= least))
 
 
 def may_link(x: str, y: str, percent: int):
@@ -323,6 +362,15 @@ def apart_from_hub(met: DataFrame, percent: int) -> DataFrame:
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
+def apart_among_few(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes near one hub of at most FEW, in different components; two linked to the hub are in one."""
+    hubs = held.groupBy("hub").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes").between(2, FEW)).select("hub")
+    near = held.select("class", "hub", "size", "linked", "root").join(hubs, "hub")
+    x, y = near.alias("x"), near.filter("not linked").alias("y")
+    return x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.linked") | (F.col("x.class") < F.col("y.class")))
+                  & compatible("x.size", "y.size", percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, to find the row again).
 
@@ -359,7 +407,7 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     one = named.filter("doc_id is not null").unionByName(named.filter("doc_id is null").distinct()).alias("one")
     wanted = asked.join(classes, "class").alias("wanted")
     chosen = one.join(wanted, F.col("one.doc_id").eqNullSafe(F.col("wanted.first_id")) & (F.col("one.text_hash") == F.col("wanted.text_hash")))
-    fields = "class bigint, text string, " + ", ".join(f"{c} array<int>" for c in _ORDER_COLUMNS)
+    fields = "class bigint, text string, size bigint, bits array<bigint>, " + ", ".join(f"{c} array<int>" for c in _ORDER_COLUMNS)
     with by_class(chosen.select("class", "text"), _with_orders(gram, percent, sketch), fields) as texts:
         root = _roots(members, texts, gram, percent, sketch)
     ends = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -386,7 +434,7 @@ def _roots(members: DataFrame, texts: DataFrame, gram: int, percent: int, sketch
     rooted = lambda df: df.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Others that a hub doesn't join may be near copies of one another: in each difference from the hub that they share,
     # they are held against the one that differs least, which joins large groups by as many pairs as they have members.
-    met = differences(held.filter(near), percent)
+    met = differences(rooted(held.filter(near)), percent)
     second = met.filter("not linked").groupBy("hub", "member").agg(
         F.min_by(F.struct("class", "size", "n", "place", "weight", "hub_size"), F.struct("weight", "class")).alias("y"))
     x, y = met.filter("not linked").alias("x"), second.select("hub", "member", "y.*").alias("y")
@@ -394,7 +442,7 @@ def _roots(members: DataFrame, texts: DataFrame, gram: int, percent: int, sketch
                    & may_link("x", "y", percent)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
     linked = settle(linked.unionByName(compared(settle(again.distinct()))))
     root = components(linked)
-    near_hub = apart_from_hub(rooted(met), percent)
+    near_hub = apart_from_hub(rooted(met), percent).unionByName(apart_among_few(rooted(held.filter(near)), percent))
     # Classes that are far from their hub, or not held against it, are compared with those of their bucket that are in
     # other components.  By the triangle inequality of the distance 1 - share, one that is far has no link to one that
     # is nearer than NEAR + 100 - percent.
@@ -408,8 +456,9 @@ def _roots(members: DataFrame, texts: DataFrame, gram: int, percent: int, sketch
     far = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root")) & reach
                  & (~F.col("y.far") | (F.col("x.class") < F.col("y.class"))) & compatible("x.size", "y.size", percent)).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    # Prefixes under all orders must meet before texts are read.
+    # Parities must be similar and prefixes under all orders meet before texts are read.
     apart = busier_last(settle(far.unionByName(near_hub).distinct()))
+    apart = settle(with_sides(apart, texts, ["size", "bits"]).filter(similar_bits(percent)).select("a", "b"))
     meet = [F.arrays_overlap(f"a_{c}", f"b_{c}") for c in _ORDER_COLUMNS]
     apart = settle(with_sides(apart, texts, _ORDER_COLUMNS).filter(reduce(and_, meet)).select("a", "b"))
     return components(linked.unionByName(compared(apart)))

@@ -123,6 +123,38 @@ def test_near_duplicates_through_a_row_without_an_id(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("concord_")]
 
 
+def test_differences_that_only_one_component_has_make_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(near, "FEW", 1)
+    held = spark.createDataFrame([  # (class, hub, size, linked, root, missing, extra); hub 1: one component, hub 2: two
+        (10, 1, 100, True, 1, [1, 2], [3]), (11, 1, 100, False, 1, [1, 2], [3]),
+        (20, 2, 100, True, 2, [*range(9)], [50, 51]), (21, 2, 100, False, 21, [*range(12)], [50, 52]), (22, 2, 100, False, 21, [*range(12)], [50, 52]),
+    ], "class bigint, hub bigint, size bigint, linked boolean, root bigint, missing array<bigint>, extra array<bigint>")
+    got = near.differences(held, 85).collect()
+    assert {(r["class"], r.member) for r in got if r["class"] == 21} == {(21, m) for m in [*range(9), 50]}
+    assert near.apart_among_few(held, 85).count() == 0
+    monkeypatch.setattr(near, "FEW", 3)
+    assert near.differences(held, 85).count() == 0 and {tuple(r) for r in near.apart_among_few(held, 85).collect()} == {(20, 21), (20, 22)}
+    assert {r.hub for r in got} == {2} and not {51, 52, 9, 10, 11} & {r.member for r in got}
+    assert all(r.place == r.n - 10 + 1 + rank for r, rank in zip(sorted((r for r in got if r["class"] == 21), key=lambda r: r.place), range(10)))
+
+
+def test_parities_rule_out_only_pairs_that_cannot_link(spark):
+    rng, sets = np.random.default_rng(3), []
+    for n in (1, 5, 63, 64, 65, 120, 128, 129, 500, 5000):
+        base = rng.choice(1 << 40, n, replace=False)
+        sets += [base, *(np.union1d(base[int(n * lost):], rng.choice(1 << 40, int(n * more))) for lost, more in ((0.02, 0), (0.1, 0), (0, 0.1), (0.07, 0.08), (0.5, 0.5)))]
+    sizes = np.array([len(x) for x in sets])
+    names = np.concatenate(sets).astype(np.uint64)
+    bits = near.parities(np.repeat(np.arange(len(sets)), sizes), names, sizes).to_pylist()
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])]
+    rows = [(a, b, int(sizes[a]), int(sizes[b]), bits[a], bits[b]) for a, b in pairs]
+    df = spark.createDataFrame(rows, "a int, b int, a_size bigint, b_size bigint, a_bits array<bigint>, b_bits array<bigint>")
+    kept = {(r.a, r.b) for r in df.filter(near.similar_bits(85)).collect()}
+    share = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) / len(np.union1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    assert {p for p in pairs if share[p] >= 0.85} <= kept
+    assert not [p for p in kept if share[p] < 0.5 and min(sizes[list(p)]) > 64]
+
+
 def test_pairs_spread_over_copies_of_a_busy_class(spark, monkeypatch):
     monkeypatch.setattr(near, "PAIRS", 3)
     pairs = spark.range(10).selectExpr("id as a", "if(id < 8, 20, 21) as b")
