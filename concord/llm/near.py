@@ -390,14 +390,14 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("pick")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"), pick).select("class", "first_id", F.col("pick.text_hash").alias("text_hash"))
     prefix = text.select("text").mapInArrow(_prefix_rows(gram, percent, sketch), "member bigint, class bigint, size bigint, typical bigint")
-    # Buckets of at least two classes, each with its most typical class.
-    hubs = prefix.groupBy("member").agg(
-        F.min("class").alias("least"), F.max("class").alias("most"), F.max_by("class", "typical").alias("hub"),
-        F.max_by("size", "typical").alias("hub_size")).filter(F.col("least") != F.col("most")).select("member", "hub", "hub_size")
+    # Buckets of at least two classes, each with its most typical class; rows move once.
+    bucket = Window.partitionBy("member")
+    met = prefix.repartition("member").dropDuplicates(["member", "class"]).withColumns({
+        "classes": F.count(F.lit(1)).over(bucket), "top": F.max(F.struct("typical", "class", "size")).over(bucket)}).filter("classes > 1").select(
+        "member", "class", "size", F.col("top.class").alias("hub"), F.col("top.size").alias("hub_size"))
     by_size = Window.partitionBy("member").orderBy("size")
     fits = F.coalesce(compatible("size", F.lag("size").over(by_size), percent), F.lit(False)) | F.coalesce(
         compatible("size", F.lead("size").over(by_size), percent), F.lit(False))
-    met = prefix.select("member", "class", "size").join(hubs.hint("shuffle_hash"), "member").distinct()
     members = settle(met.withColumn("fits", fits))
 
     # Texts of the classes that share a bucket with one of a fitting size; a class is read from its first document.
@@ -446,13 +446,14 @@ def _roots(members: DataFrame, texts: DataFrame, gram: int, percent: int, sketch
     # Classes that are far from their hub, or not held against it, are compared with those of their bucket that are in
     # other components.  By the triangle inequality of the distance 1 - share, one that is far has no link to one that
     # is nearer than NEAR + 100 - percent.
-    placed = rooted(members).join(held.select("class", "hub", "share"), ["class", "hub"], "left").withColumn(
-        "share", F.when(F.col("class") == F.col("hub"), 100.0).otherwise(F.col("share"))).withColumn("far", F.coalesce(F.col("share") < NEAR, F.lit(True)))
+    share = F.when(F.col("class") == F.col("hub"), 100.0).otherwise(F.col("share"))
+    placed = rooted(members).join(held.select("class", "hub", "share"), ["class", "hub"], "left").withColumn("far", F.coalesce(share < NEAR, F.lit(True))).withColumn(
+        "step", F.when(share.isNull(), 0).when(share < NEAR + 100 - percent, 1).otherwise(2).cast("byte"))
     open_ = placed.groupBy("member").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("far").alias("any_far")).filter(
         "x != y and any_far").select("member")
-    placed = settle(placed.join(open_, "member").select("member", "class", "size", "root", "share", "far"))
+    placed = settle(placed.join(open_, "member").select("member", "class", "size", "root", "step", "far"))
     x, y = placed.filter("far").alias("x"), placed.alias("y")
-    reach = F.col("x.share").isNull() | F.col("y.share").isNull() | (F.col("y.share") < NEAR + 100 - percent)
+    reach = (F.col("x.step") == 0) | (F.col("y.step") < 2)
     far = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.root") != F.col("y.root")) & reach
                  & (~F.col("y.far") | (F.col("x.class") < F.col("y.class"))) & compatible("x.size", "y.size", percent)).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
