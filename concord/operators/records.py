@@ -135,7 +135,14 @@ def _directions(df: DataFrame, id_col: str, vector: str, out: str) -> DataFrame:
     usable = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.filter(usable).groupBy(F.transform(vector, lambda x: x.cast("double")).alias("_v")).agg(F.min(id_col).alias(out))
     length = F.sqrt(similarity.dot(F.col("_v"), F.col("_v")))
-    return rows.withColumn("_n", length).filter("_n > 0").select(out, F.size("_v").alias("_w"), F.transform("_v", lambda x: x / F.col("_n")).alias(f"{out}_u"))
+    return rows.withColumn("_n", length).filter("_n > 0").select(
+        out, F.size("_v").alias("_w"), F.transform("_v", lambda x: x / F.col("_n")).alias(f"{out}_u"), F.col("_v").alias(f"{out}_v"))
+
+
+def _copies(df: DataFrame, id_col: str, vector: str, directions: DataFrame, out: str, key: str) -> DataFrame:
+    """(``key``, ``out``): every id, with the number of the direction that its vector has."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.transform(vector, lambda x: x.cast("double")).alias("_v"), F.col(id_col).alias(out))
+    return settle(rows.join(directions.select(F.col(f"{out}_v").alias("_v"), key), "_v").select(key, out).distinct())
 
 
 def _angle(a: Column, b: Column) -> Column:
@@ -175,9 +182,14 @@ def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, mi
     pivot; a left one meets only pivots and rings that a partner can be in.  Both sides are dealt in blocks of about
     ``block`` vectors, and two blocks that meet are multiplied in one task, so a task's memory does not grow with the sets.
     """
-    reach = math.acos(min_cosine)
-    slack = 1e-7
-    a, b = settle(_directions(left, id_col, vector, "a_id")), settle(_directions(right, id_col, vector, "b_id"))
+    a, b = (settle(_directions(df, id_col, vector, out).drop(f"{out}_v")) for df, out in ((left, "a_id"), (right, "b_id")))
+    return _direction_pairs(a, b, min_cosine, pivots, block)
+
+
+def _direction_pairs(a: DataFrame, b: DataFrame, min_cosine: float, pivots: int = 32, block: int = 4096) -> DataFrame:
+    """``vector_pairs`` of two settled tables of directions."""
+    reach = math.acos(min_cosine - 1e-6)  # a cosine is rounded before it is compared
+    slack = 1e-6
     chosen = b.orderBy(F.xxhash64("b_id_u"), "b_id").select("b_id_u").limit(pivots).collect()
     if not chosen:
         return a.join(b, a["_w"] == b["_w"]).select("a_id", "b_id", F.lit(0.0).alias("cosine"))
@@ -213,12 +225,46 @@ def vector_pairs(left: DataFrame, right: DataFrame, id_col: str, vector: str, mi
     return met.select("a_id", "b_id", F.round("cosine", 6).alias("cosine")).filter(F.col("cosine") >= min_cosine)
 
 
+def _numbered(df: DataFrame, id_col: str, vector: str, out: str, key: str) -> DataFrame:
+    """A settled table of directions, each with a number of its own."""
+    return settle(_directions(df, id_col, vector, out).withColumn(key, F.monotonically_increasing_id()))
+
+
+def nearest_vectors(left: DataFrame, right: DataFrame, id_col: str, vector: str, min_cosine: float) -> DataFrame:
+    """(a_id, b_id, cosine): for every left id, copies of a vector included, its nearest right one from ``min_cosine`` on; the smaller id among equals.
+
+    Found once per distinct vector and joined back.  Among right copies the least id is the one.
+    """
+    a, b = _numbered(left, id_col, vector, "a_id", "_a"), settle(_directions(right, id_col, vector, "b_id").drop("b_id_v"))
+    own = _copies(left, id_col, vector, a, "a_id", "_a")
+    found = _direction_pairs(a.select(F.col("_a").alias("a_id"), "_w", "a_id_u"), b, min_cosine)
+    return nearest_pairs(nearest_pairs(found).withColumnRenamed("a_id", "_a").join(own, "_a").drop("_a"))
+
+
+def link_vectors(left: DataFrame, right: DataFrame, id_col: str, vector: str, min_cosine: float) -> DataFrame:
+    """(a_id, b_id, cosine): one right id per left one and the other way round, greedily by cosine over the pairs of all ids.
+
+    Copies of a vector are ends of their own, linked with the same others by the same cosines; so cosines are worked
+    out once per pair of distinct vectors, and the copies are one class of ends in the greedy choice.
+    """
+    a, b = _numbered(left, id_col, vector, "a_id", "_a"), _numbered(right, id_col, vector, "b_id", "_b")
+    found = _direction_pairs(a.select(F.col("_a").alias("a_id"), "_w", "a_id_u"), b.select(F.col("_b").alias("b_id"), "_w", "b_id_u"), min_cosine)
+    ends = (_copies(left, id_col, vector, a, "a_id", "_a").select(F.col("_a").alias("_left"), "a_id"),
+            _copies(right, id_col, vector, b, "b_id", "_b").select(F.col("_b").alias("_right"), "b_id"))
+    edges = found.select(F.col("a_id").alias("_left"), F.col("b_id").alias("_right"), "cosine")
+    return pair_off(edges, ends)
+
+
 def nearest_pairs(pairs_found: DataFrame) -> DataFrame:
     """Each left vector's nearest right one, the smaller id among equals."""
     return pairs_found.groupBy("a_id").agg(F.max(F.struct("cosine", (-F.col("b_id")).alias("b"))).alias("m")).select(
         "a_id", (-F.col("m.b")).alias("b_id"), F.col("m.cosine").alias("cosine"))
 
 
-def pair_off(pairs_found: DataFrame) -> DataFrame:
-    """One right vector per left one and the other way round, greedily by cosine."""
-    return assign.greedy(pairs_found.withColumn("_all", F.lit(0)), ["_all"], "a_id", "b_id", ["cosine"]).drop("_all")
+def pair_off(pairs_found: DataFrame, ends: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One right vector per left one and the other way round, greedily by cosine.
+
+    With ``ends`` the pairs link classes of like vectors, as in ``assign.greedy``.
+    """
+    together = None if ends is None else tuple(df.withColumn("_all", F.lit(0)) for df in ends)
+    return assign.greedy(pairs_found.withColumn("_all", F.lit(0)), ["_all"], "a_id", "b_id", ["cosine"], ends=together).drop("_all")

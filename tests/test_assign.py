@@ -172,3 +172,24 @@ def test_equal_sets_at_other_scores_and_repeated_edges_are_no_block(spark, desce
     df = spark.createDataFrame(rows, "g int, i int, j int, w int")
     got = sorted((r.g, r.i, r.j, r.w) for r in assign.greedy(df, ["g"], "i", "j", ["w"], descending=descending, cap=1).collect())
     assert got == sorted(e for es in grouped(rows).values() for e in walk(es, descending))
+
+
+def test_greedy_over_classes_of_like_ends(spark):
+    """Edges between classes give what all their edges give, at any size; ends may be in several classes, null or repeated."""
+    rng = random.Random(1)
+    left = [(g, rng.randrange(4), rng.choice([None, *range(12)])) for g in (0, 1) for _ in range(10)]
+    right = [(g, rng.randrange(4), rng.randrange(12)) for g in (0, 1) for _ in range(10)]
+    edges = [(g, x, y, rng.randrange(3)) for g in (0, 1) for x in range(4) for y in range(4) if rng.random() < 0.8]
+    assert any(a is None for _, _, a in left)
+    walk, used, want = [], set(), set()
+    for g, x, y, s in edges:
+        walk += [(s, -1 if a is None else a, b, g) for h, c, a in left if (h, c) == (g, x) for k, d, b in right if (k, d) == (g, y)]
+    for s, a, b, g in sorted(walk, reverse=True):
+        if (a < 0 or ("l", g, a) not in used) and ("r", g, b) not in used:
+            used |= {("l", g, a), ("r", g, b)}
+            want.add((g, s, None if a < 0 else a, b))
+    e = spark.createDataFrame(edges, "g int, _left int, _right int, s int")
+    ends = spark.createDataFrame(left, "g int, _left int, a int"), spark.createDataFrame(right, "g int, _right int, b int")
+    for cap in (1, 100_000):
+        got = [tuple(r) for r in assign.greedy(e, ["g"], "a", "b", ["s"], cap=cap, ends=ends).select("g", "s", "a", "b").collect()]
+        assert set(got) == want and len(got) == len(want)

@@ -52,3 +52,34 @@ def test_blocks_do_not_change_the_pairs(spark):
     for line in small._jdf.queryExecution().executedPlan().toString().splitlines():
         assert "BroadcastExchange" not in line or "a_id" not in line
     assert "FlatMapCoGroupsInArrow" in small._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_are_whole(spark):
+    """Copies, an id with two vectors and a row that comes twice, against all pairs of ids: none is left out."""
+    rng = random.Random(11)
+    spots = [[float(x) for x in v] for v in ((1, 0, 0), (2, 1, 0), (0, 1, 1), (0, 0, 1))]
+    sets = [[(k, rng.choice(spots)) for k in range(s, 60, 2)] + [(s, spots[0]), (s, spots[3]), (s, spots[3])] for s in (0, 1)]
+    a, b = (spark.createDataFrame(s, "id bigint, v array<double>") for s in sets)
+    edges = {(round(cos(x, y), 6), i, j) for i, x in sets[0] for j, y in sets[1] if round(cos(x, y), 6) >= 0.3}
+    near = {i: min((-c, j) for c, k, j in edges if k == i) for _, i, _ in edges}
+    got = [tuple(r) for r in records.nearest_vectors(a, b, "id", "v", 0.3).select("a_id", "b_id", "cosine").collect()]
+    assert sorted(got) == sorted((i, j, -c) for i, (c, j) in near.items()) and len(got) == 30
+    used, want = [set(), set()], set()
+    for _, i, j in sorted(edges, reverse=True):
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i), used[1].add(j), want.add((i, j))
+    linked = [tuple(r) for r in records.link_vectors(a, b, "id", "v", 0.3).select("a_id", "b_id").collect()]
+    assert set(linked) == want and len(linked) == len(want)
+
+
+def test_cosines_that_round_up_to_the_threshold(spark):
+    """A cosine a little under the threshold is rounded up to it, and its vector lies a little beyond the border of a ring."""
+    reach = math.acos(0.3)
+
+    def at(angle, length=1.0):
+        return [length * math.cos(angle), length * math.sin(angle)]
+
+    b = [(k, at(0.0, k)) for k in range(1, 30)] + [(101, at(2 * reach + 2e-7))]  # the pivot is one of the many
+    df = [spark.createDataFrame(x, "id bigint, v array<double>") for x in ([(0, at(reach - 2e-7))], b)]
+    got = {(r.b_id, r.cosine) for r in records.vector_pairs(*df, "id", "v", 0.3, pivots=1).collect()}
+    assert got == {(k, 0.3) for k, _ in b}
