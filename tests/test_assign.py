@@ -193,3 +193,20 @@ def test_greedy_over_classes_of_like_ends(spark):
     for cap in (1, 100_000):
         got = [tuple(r) for r in assign.greedy(e, ["g"], "a", "b", ["s"], cap=cap, ends=ends).select("g", "s", "a", "b").collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_tied_pairs_forms_no_edges(spark, tmp_path):
+    """Two classes of 3,000 ends: their 9 million edges are not written, the result is that of the walk; a key may be in two classes."""
+    from pathlib import Path
+
+    from concord.plans.registry import QUERIES
+    from concord.session import scratch_dir
+
+    spark.range(3000).selectExpr("id AS p_partkey", "3 AS p_size").union(spark.sql("SELECT 2999L, 5")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3000).selectExpr("id AS s_suppkey", "3 AS s_nationkey").union(spark.sql("SELECT 7L, NULL UNION ALL SELECT 5000L, 5")).write.parquet(f"{tmp_path}/supplier.parquet")
+    kept = Path(scratch_dir(spark).removeprefix("file:"))
+    before = {p for p in kept.rglob("*.parquet")}
+    got = sorted((r.p_partkey, r.s_suppkey, r.p_size) for r in QUERIES["tied_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(k, k + 1, 3) for k in range(2999)] + [(2999, 5000, 5)]
+    written = [p.stat().st_size for p in kept.rglob("*.parquet") if p.is_file() and p not in before]
+    assert written and sum(written) < 2_000_000
