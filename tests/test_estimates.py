@@ -62,3 +62,20 @@ def test_joined_names_are_tested_once_a_pair(spark):
     found = pairs.like_names(a, b, lambda x, y: f"length({x}_canon) > 0 AND length({y}_canon) > 0", 75.0, limit=0)
     assert [tuple(r) for r in found.collect()] == [("order key", "orderkey")]
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shape_samples_go_to_the_columns(spark):
+    """The columns of all submissions are not shuffled to fetch one table of each shape."""
+    from concord.operators import tables
+
+    rows = [(f"s{k}", "T", "T", o, f"c{o}" if k % 3 else "x", "int") for k in range(30) for o in (1, 2)] + [("s99", "T", "T", 1, None, "int")]
+    columns = spark.createDataFrame(rows, "submission_id string, original_name string, cleaned_name string, ordinal int, column_name string, data_type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tables.shape_columns(columns, tables.table_shapes(columns))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted(str(r[1:]) for r in map(tuple, got.collect())) == sorted(map(str, [(1, "c1", "int"), (2, "c2", "int"), (1, "x", "int"), (2, "x", "int"), (1, None, "int")]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
