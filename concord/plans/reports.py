@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions import vocab
 from concord.operators import scores
 from concord.plans.batch import Batch
+from concord.session import plan_by_rows
 from concord.sources import folders, store
 
 # Kinds of report as in their file names, and headings of those that have no others.
@@ -39,6 +40,7 @@ def summary_from_files(spark: SparkSession, path: str, n_views: int = vocab.EXPE
 
     Without ``submissions`` those with a file of column pairs are marked.  A missing file counts 0.
     """
+    plan_by_rows(spark)
     pairs = _read(spark, path, PAIRS).withColumn("match", F.col("match").cast("boolean"))
     fks = _read(spark, path, FKS).withColumn("is_matched", F.col("is_matched").cast("boolean"))
     listed = pairs.select("submission_id").distinct() if submissions is None else submissions

@@ -1,6 +1,7 @@
 """Folders of Parquet submissions: catalogs and row counts from footers alone, reports as one file per submission.
 
-Both are Python data sources of Spark, so the work is dealt to tasks like any scan or write.  Paths are opened through
+Footers are read and reports written by Python data sources of Spark, report files are named and read in tasks, so the
+work is dealt like any scan or write, and the driver holds no list of files.  Paths are opened through
 pyarrow's file systems (local and shared folders, HDFS, object stores).
 """
 
@@ -10,8 +11,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from concord.functions import names, vocab
+from concord.session import settle
 from concord.sources.catalog import SPARK_TYPES
 
 CATALOG = "folder string, original_name string, ordinal int, column_name string, data_type string, row_count bigint, error string"
@@ -149,7 +152,7 @@ def _report_files():
 
     @dataclass
     class Written(WriterCommitMessage):
-        files: list[tuple[str, str]]
+        listing: str
 
     class Reports(DataSourceWriter):
         def __init__(self, options: dict, columns: list[str]):
@@ -161,47 +164,47 @@ def _report_files():
             return fs.FileSystem.from_uri(self.path)
 
         def write(self, rows: Iterator) -> Written:
-            """Rows come sorted by submission, so one file is open at a time; its name is its own until the commit."""
+            """Rows come sorted by submission, so one file is open at a time; it is listed, with the name that it is to have, in a file of the task."""
             import csv
             import io
+            import json
             import uuid
 
             system, root = self._open()
-            folder, attempt, done = f"{root}/_writing-{self.run}", uuid.uuid4().hex, []
+            folder, attempt = f"{root}/_writing-{self.run}", uuid.uuid4().hex
             system.create_dir(folder, recursive=True)
+            system.create_dir(f"{root}/_listed-{self.run}", recursive=True)
             now, out, text = None, None, None
-            for row in rows:
-                if out is None or row[0] != now:
-                    if out is not None:
-                        text.flush()
-                        text.close()
-                    now = row[0]
-                    done.append((f"{folder}/{now}-{attempt}", f"{root}/{now}_{self.report}.csv"))
-                    text = io.TextIOWrapper(system.open_output_stream(done[-1][0]), "utf-8", newline="")
-                    out = csv.writer(text)
-                    out.writerow(self.columns)
-                out.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row[1:]])
-            if out is not None:
-                text.flush()
-                text.close()
-            return Written(done)
+            with io.TextIOWrapper(system.open_output_stream(f"{root}/_listed-{self.run}/{attempt}"), "utf-8", newline="") as listing:
+                for row in rows:
+                    if out is None or row[0] != now:
+                        if out is not None:
+                            text.flush()
+                            text.close()
+                        now = row[0]
+                        written = f"{folder}/{now}-{attempt}"
+                        listing.write(json.dumps([written, f"{root}/{now}_{self.report}.csv"]) + "\n")
+                        text = io.TextIOWrapper(system.open_output_stream(written), "utf-8", newline="")
+                        out = csv.writer(text)
+                        out.writerow(self.columns)
+                    out.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row[1:]])
+                if out is not None:
+                    text.flush()
+                    text.close()
+            return Written(attempt)
 
         def commit(self, messages: list) -> None:
-            """The files of the tasks that count get their names, all others go."""
+            """Only the listings of the tasks that count stay."""
+            from pyarrow import fs
+
             system, root = self._open()
-            for message in messages:
-                for written, named in message.files if message else ():
-                    system.move(written, named)
-            self._clean(system, root)
+            counted = {m.listing for m in messages if m}
+            for listing in system.get_file_info(fs.FileSelector(f"{root}/_listed-{self.run}", allow_not_found=True)):
+                if listing.base_name not in counted:
+                    system.delete_file(listing.path)
 
         def abort(self, messages: list) -> None:
-            self._clean(*self._open())
-
-        def _clean(self, system, root: str) -> None:
-            from pyarrow import fs
-
-            if system.get_file_info(f"{root}/_writing-{self.run}").type == fs.FileType.Directory:
-                system.delete_dir(f"{root}/_writing-{self.run}")
+            _clean(self.path, self.run)
 
     class ReportFiles(DataSource):
         @classmethod
@@ -214,6 +217,43 @@ def _report_files():
     return ReportFiles
 
 
+def _clean(path: str, run: str) -> None:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    for folder in (f"{root}/_writing-{run}", f"{root}/_listed-{run}"):
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+
+
+def _name_files(path: str):
+    """Gives listed files their names; nested so that tasks receive it by value.  A task that is repeated finds some already named."""
+    def name(batches: Iterator) -> Iterator:
+        import io
+        import json
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            n = 0
+            for listing in batch.column(0).to_pylist():
+                with io.TextIOWrapper(system.open_input_stream(listing), "utf-8", newline="") as lines:
+                    for line in lines:
+                        written, named = json.loads(line)
+                        try:
+                            system.move(written, named)
+                        except OSError:
+                            kinds = [f.type for f in system.get_file_info([written, named])]
+                            if kinds != [fs.FileType.NotFound, fs.FileType.File]:
+                                raise
+                        n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return name
+
+
 def write_reports(df: DataFrame, path: str, report: str) -> None:
     """One file ``path``/<submission_id>_<report>.csv per submission, with a header; no folder for each.
 
@@ -222,15 +262,91 @@ def write_reports(df: DataFrame, path: str, report: str) -> None:
     """
     import uuid
 
-    df.sparkSession.dataSource.register(_report_files())
+    from pyarrow import fs
+
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(_report_files())
     others = [c for c in df.columns if c != "submission_id"]
     ordered = df.select(F.col("submission_id").cast("string"), *others).repartition("submission_id").sortWithinPartitions("submission_id", *others)
-    ordered.write.format("report_files").mode("append").option("report", report).option("run", uuid.uuid4().hex).save(path)
+    ordered.write.format("report_files").mode("append").option("report", report).option("run", run).save(path)
+    try:
+        system, root = fs.FileSystem.from_uri(path)
+        listings = [(f.path,) for f in system.get_file_info(fs.FileSelector(f"{root}/_listed-{run}", allow_not_found=True))]  # one a task
+        if listings:
+            dealt = spark.createDataFrame(listings, "listing string").repartition(len(listings))
+            dealt.mapInArrow(_name_files(path), "n bigint").agg(F.sum("n")).collect()
+    finally:
+        _clean(path, run)
+
+
+def _report_names(path: str, report: str):
+    """Names of the report files of one kind, in one task that holds few at a time; nested so that tasks receive it by value."""
+    suffix = f"_{report}.csv"
+
+    def found(batches: Iterator) -> Iterator:
+        import os
+        from itertools import batched
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+
+        def listed() -> Iterator[str]:
+            if isinstance(system, fs.LocalFileSystem):
+                with os.scandir(root) as entries:
+                    yield from (e.name for e in entries if e.name.endswith(suffix) and e.is_file())
+            else:  # no other file system of pyarrow lists bit by bit
+                yield from (f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File and f.base_name.endswith(suffix))
+
+        for _ in batches:
+            for some in batched((n for n in listed() if not n.startswith(("_", "."))), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["file"])
+
+    return found
+
+
+def _report_rows(path: str, width: int):
+    """Rows of report files as text, after the file's name; nested so that tasks receive it by value."""
+    def rows(batches: Iterator) -> Iterator:
+        import csv
+        import io
+        from itertools import batched
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+
+        def read(file: str) -> Iterator[list]:
+            with io.TextIOWrapper(system.open_input_stream(f"{root}/{file}"), "utf-8-sig", errors="replace", newline="") as text:
+                lines = (r for r in csv.reader(text, quoting=csv.QUOTE_NOTNULL) if r)  # an empty value that is not quoted is null
+                next(lines, None)
+                for r in lines:
+                    yield [file, *r[:width], *[None] * (width - len(r))]
+
+        every = (r for batch in batches for file in batch.column(0).to_pylist() for r in read(file))
+        for some in batched(every, 4_096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], ["file", *[f"c{k}" for k in range(width)]])
+
+    return rows
 
 
 def read_reports(spark: SparkSession, path: str, report: str, schema: str) -> DataFrame:
-    """The reports of one kind back, all submissions at once; the id is taken from the file's name."""
-    return (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path, pathGlobFilter=f"*_{report}.csv")
-        .withColumn("submission_id", F.regexp_replace(names.file_stem("_metadata.file_path"), f"_{report}$", ""))
-    )
+    """The reports of one kind back, all submissions at once; the id is taken from the file's name.
+
+    A folder has a file per submission and kind, so their names are listed in a task, kept in a table and dealt to the
+    tasks that read them.  A value that is not of its column's type is null.
+    """
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    if system.get_file_info(root).type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    fields = DataType.fromDDL(schema).fields
+    listed = settle(spark.range(1).mapInArrow(_report_names(path, report), "file string"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    text = ", ".join(["file string", *[f"c{k} string" for k in range(len(fields))]])
+    return listed.repartition(tasks, "file").mapInArrow(_report_rows(path, len(fields)), text).select(
+        *[F.col(f"c{k}").try_cast(f.dataType).alias(f.name) for k, f in enumerate(fields)],
+        F.regexp_replace(names.file_stem("file"), f"_{report}$", "").alias("submission_id"))

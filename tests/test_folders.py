@@ -91,3 +91,21 @@ def test_a_failed_write_changes_nothing(spark, tmp_path):
     assert {p.name: p.read_text() for p in tmp_path.glob("*.csv")} == before
     folders.write_reports(df.withColumn("n", F.col("n") + 1), str(tmp_path), "marks")
     assert sorted(r.n for r in folders.read_reports(spark, str(tmp_path), "marks", "n int").collect()) == [6, 7]
+
+
+def test_the_driver_lists_no_report_files(spark, tmp_path):
+    """Files are named and read in tasks; odd names and values come back, other files and folders are not read."""
+    rows = [(f"{k}", f"v{k}", k, None) for k in range(50)] + [("a b%20", "", 1, 2.5), ("x_counts", '"', None, None), ("y.z", "é\r\nf", 2, 0.0)]
+    df = spark.createDataFrame(rows, "submission_id string, name string, n bigint, share double").repartition(4)
+    folders.write_reports(df, str(tmp_path), "counts")
+    folders.write_reports(df.limit(0), str(tmp_path), "none")
+    (tmp_path / "_hidden_counts.csv").write_text("name,n,share\nno,1,1\n")
+    (tmp_path / "sub_counts.csv").mkdir()
+    (tmp_path / "short_counts.csv").write_text("name,n,share\n\nonly,word\n")
+    assert sum(p.is_file() for p in tmp_path.glob("*_counts.csv")) == 55
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(("_writing", "_listed"))]
+    back = folders.read_reports(spark, str(tmp_path), "counts", "name string, n bigint, share double")
+    assert not [f for f in back.inputFiles() if f.endswith(".csv")]
+    want = [(i, n or None, k, s) for i, n, k, s in rows] + [("short", "only", None, None)]
+    assert sorted(map(str, map(tuple, back.select("submission_id", "name", "n", "share").collect()))) == sorted(map(str, want))
+    assert folders.read_reports(spark, str(tmp_path), "none", "name string").collect() == []
