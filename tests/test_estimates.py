@@ -1,5 +1,7 @@
 """What the optimizer takes for the size of a table: too small a figure is broadcast through the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,22 @@ def test_shape_samples_go_to_the_columns(spark):
         assert sorted(str(r[1:]) for r in map(tuple, got.collect())) == sorted(map(str, [(1, "c1", "int"), (2, "c2", "int"), (1, "x", "int"), (2, "x", "int"), (1, None, "int")]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_foreign_keys_are_described_and_scored_once(spark):
+    """Texts are cut into grams per distinct text, not per row before that; a key with nulls in it keeps its row."""
+    from concord.operators import keys
+
+    columns = "fk_name string, parent_table string, parent_cols array<string>, ref_table string, ref_cols array<string>"
+    ans = spark.createDataFrame([("A", "orders", ["custkey"], "customer", ["custkey"])], columns)
+    rows = [(f"s{k}", f"F{k}", "Orders", ["custkey"], "Customer", ["custkey"]) for k in range(6)]
+    rows += [("s6", "N", "Orders", ["custkey", None], "Customer", ["custkey"]), ("s7", "M", None, ["custkey"], "Customer", ["custkey"])]
+    stu = spark.createDataFrame(rows, f"submission_id string, {columns}")
+    mapping = spark.createDataFrame([], "submission_id string, ans_table string, original_name string")
+    a, b = keys.fk_texts(ans), keys.fk_texts(stu)
+    plan = keys.fk_similarity(a, b, 0.5, "cosine")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[(stu|fk)_text#\d+\],", plan)
+    want = {r.submission_id: r.fk_text for r in b.collect()}
+    got = keys.fk_match(ans, stu, mapping, stu.select("submission_id").distinct()).collect()
+    assert len(got) == 8 and want["s0"] == want["s5"]
+    assert {r.submission_id: r.student_fk for r in got if r.is_matched} == {k: v for k, v in want.items() if v is not None}
